@@ -1 +1,8 @@
 """spikeloom: a Spark-native analytics engine for high-density sensor recordings."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel with their tasks: executors need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
