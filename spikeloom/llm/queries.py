@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from spikeloom.functions.keys import recording_key, unit_number
 from spikeloom.llm.components import components
 from spikeloom.llm.density import grid_clusters
+from spikeloom.llm.leaks import leaks
 from spikeloom.llm.linkage import link, prepared
+from spikeloom.llm.mixing import mix, shares
+from spikeloom.llm.textshape import text_statistics
 from spikeloom.session import table
 
 # -- 2: groups of linked units ---------------------------------------------------------------------------------------
@@ -114,3 +117,40 @@ SQL = {
         row_number() OVER (PARTITION BY cluster_key ORDER BY density DESC, unit_key) AS rank, unit_key
         FROM mem JOIN big USING (label) QUALIFY rank <= 5""",
 }
+
+# -- 6: leaked test items --------------------------------------------------------------------------------------------
+
+
+def p6_spans(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(table(spark, d, "documents"), table(spark, d, "benchmark_items"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_spans(spark, d).select("doc_id", "item_id")
+
+
+QUERIES |= {"p6_found": p6_found, "p6_spans": p6_spans}
+
+# -- 7: sources mixed to target weights ------------------------------------------------------------------------------
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return shares(*mix(table(spark, d, "documents"), table(spark, d, "mix_targets")))
+
+
+# -- 8: text statistics ----------------------------------------------------------------------------------------------
+
+
+def p8_stats(spark: SparkSession, d: str) -> DataFrame:
+    return text_statistics(table(spark, d, "documents"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_stats(spark, d).where(F.col("kind").isin("list", "table", "junk")).select("doc_id", "kind")
+
+
+QUERIES |= {"p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_stats": p8_stats}
