@@ -42,7 +42,7 @@ def regular_grid(
     newest: tuple[str, ...] = (),
     bandwidth_bins: int = 2,
     min_support: float = 2.0,
-    chunk_bins: int = 64,
+    chunk_bins: int = 32,
 ) -> DataFrame:
     """One row per source and bin from the source's first to its last filled bin.
 
@@ -50,7 +50,8 @@ def regular_grid(
 
     Output: ``source_key, bin_no, n_readings, support, value, status``.
     ``support`` is the effective number of readings under the kernel,
-    ``(sum w)^2 / sum w^2``. ``status`` is ``observed`` where the bin holds a
+    ``(sum w)^2 / sum w^2``; readings of less than a hundredth of the kernel's
+    peak together, at its very edge, give none. ``status`` is ``observed`` where the bin holds a
     reading, ``filled`` where it holds none but the support is at least
     ``min_support``, else ``missing`` (value NULL).
 
@@ -94,7 +95,9 @@ def regular_grid(
         .groupBy("source_key", "chunk", "b", "x")
         .agg(F.max("r").alias("r"))
     )
-    local, yy = F.col("x") - (F.col("chunk") * size).cast("double"), F.col("r.y")
+    # Powers count from the chunk's middle, which keeps them small and the sums exact enough.
+    middle = (F.col("chunk") * size).cast("double") + size / 2
+    local, yy = F.col("x") - middle, F.col("r.y")
     power = lambda p: F.lit(1.0) if p == 0 else local if p == 1 else power(p - 1) * local
     sums = [F.coalesce(F.sum(F.when(F.col("x").isNotNull(), power(p))), F.lit(0.0)).alias(f"m{p}") for p in range(5)]
     sums += [F.coalesce(F.sum(power(p) * yy), F.lit(0.0)).alias(f"y{p}") for p in range(4)]
@@ -105,7 +108,7 @@ def regular_grid(
     near = Window.partitionBy("source_key", "chunk").orderBy("b").rangeBetween(-k, k)
     wide = per_bin.select("source_key", "chunk", "b", "n", "grid", *[F.sum(c).over(near).alias(c) for c in [f"m{p}" for p in range(5)] + [f"y{p}" for p in range(4)]])
     wide = wide.where("grid")
-    g = (F.col("b") - F.col("chunk") * size).cast("double") + 0.5
+    g = F.col("b").cast("double") + 0.5 - middle
     m, ty = [F.col(f"m{p}") for p in range(5)], [F.col(f"y{p}") for p in range(4)]
     h2 = (k + 0.5) ** 2
     d = wide.select("source_key", "b", "n", *[_shifted(m, g, p).alias(f"d{p}") for p in range(5)], *[_shifted(ty, g, p).alias(f"t{p}") for p in range(4)])
@@ -114,10 +117,11 @@ def regular_grid(
     sq = F.col("d0") - 2 * F.col("d2") / h2 + F.col("d4") / (h2 * h2)
     d = d.select("source_key", "b", "n", s0.alias("s0"), s1.alias("s1"), s2.alias("s2"), e0.alias("e0"), e1.alias("e1"), sq.alias("sq"))
     det = F.col("s0") * F.col("s2") - F.col("s1") * F.col("s1")
-    fit = F.when(det > 1e-6 * F.col("s0") * F.col("s0"), (F.col("s2") * F.col("e0") - F.col("s1") * F.col("e1")) / det).when(F.col("s0") > 1e-9, F.col("e0") / F.col("s0"))
-    support = F.when(F.col("sq") > 1e-9, F.col("s0") * F.col("s0") / F.col("sq")).otherwise(0.0)
+    held = F.col("s0") >= 0.01
+    fit = F.when(held & (det > 1e-6 * F.col("s0") * F.col("s0")), (F.col("s2") * F.col("e0") - F.col("s1") * F.col("e1")) / det).when(held, F.col("e0") / F.col("s0"))
+    support = F.when(held, F.col("s0") * F.col("s0") / F.col("sq")).otherwise(0.0)
     out = d.select("source_key", F.col("b").alias("bin_no"), F.col("n").alias("n_readings"), support.alias("support"), fit.alias("fit"))
-    status = F.when(F.col("n_readings") > 0, "observed").when((F.col("support") >= min_support) & F.col("fit").isNotNull(), "filled").otherwise("missing")
+    status = F.when(F.col("n_readings") > 0, "observed").when((F.col("support") >= min_support - 1e-6) & F.col("fit").isNotNull(), "filled").otherwise("missing")
     return out.select(
         "source_key", "bin_no", "n_readings", "support",
         F.when(status != "missing", F.greatest(F.col("fit"), F.lit(0.0))).alias("value"), status.alias("status"),

@@ -369,9 +369,9 @@ def running_previous(spark, d):
 
 
 @query(f"""WITH {_CELL}, x AS (SELECT unit_key, dataset_id, ds_p_value AS p, count(*) OVER (PARTITION BY dataset_id) AS n, count(*) OVER (PARTITION BY dataset_id ORDER BY ds_p_value RANGE UNBOUNDED PRECEDING) AS k FROM ce WHERE ds_p_value IS NOT NULL)
-SELECT unit_key, round(least(1, min(p * n / k) OVER (PARTITION BY dataset_id ORDER BY p DESC RANGE UNBOUNDED PRECEDING)), 6) AS p_adjusted FROM x""")
+SELECT unit_key, round(least(1, min(p * n / k) OVER (PARTITION BY dataset_id ORDER BY p DESC RANGE UNBOUNDED PRECEDING)), 10) AS p_adjusted FROM x""")
 def bh_fdr(spark, d):
-    return population.fdr_adjusted(one_cell_each(spark, d), ["dataset_id"], "ds_p_value").select("unit_key", R("p_adjusted").alias("p_adjusted"))
+    return population.fdr_adjusted(one_cell_each(spark, d), ["dataset_id"], "ds_p_value").select("unit_key", R("p_adjusted", 10).alias("p_adjusted"))
 
 
 @query(f"""WITH {_CELL}, g AS (SELECT dataset_id, count(*) AS n, count(*) FILTER (iprgc_2hz_QI > 0.8) AS k FROM ce GROUP BY 1), f AS (SELECT *, k / n AS fr, (k / n) / ((SELECT sum(k) FROM g) / (SELECT sum(n) FROM g)) AS en FROM g)

@@ -38,7 +38,7 @@ def spike_grid(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_grid(spark: SparkSession, d: str) -> DataFrame:
     both = rate_grid(spark, d).withColumn("source_kind", F.lit("rates")).unionByName(spike_grid(spark, d).withColumn("source_kind", F.lit("spikes")))
-    return both.select("source_kind", "source_key", "bin_no", "n_readings", F.round("support", 4).alias("support"), F.round("value", 4).alias("value"), "status")
+    return both.select("source_kind", "source_key", "bin_no", "n_readings", F.round("support", 3).alias("support"), F.round("value", 3).alias("value"), "status")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -125,12 +125,12 @@ near AS (SELECT g.*, r.x - g.bin_no - 0.5 AS d, r.y, 1 - ((r.x - g.bin_no - 0.5)
   FROM g JOIN (SELECT *, b + unnest([-2, -1, 0, 1, 2]) AS hit FROM r) r ON g.source_kind = r.source_kind AND g.source_key = r.source_key AND g.bin_no = r.hit),
 fit AS (SELECT source_kind, source_key, bin_no, count(*) FILTER (WHERE own) AS n, sum(w) AS s0, sum(w * d) AS s1, sum(w * d * d) AS s2,
   sum(w * y) AS t0, sum(w * d * y) AS t1, sum(w * w) AS q FROM near GROUP BY ALL),
-est AS (SELECT g.*, coalesce(n, 0) AS n, CASE WHEN q > 1e-9 THEN s0 * s0 / q ELSE 0.0 END AS support,
-  CASE WHEN s0 * s2 - s1 * s1 > 1e-6 * s0 * s0 THEN (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) WHEN s0 > 1e-9 THEN t0 / s0 END AS v
+est AS (SELECT g.*, coalesce(n, 0) AS n, CASE WHEN s0 >= 0.01 THEN s0 * s0 / q ELSE 0.0 END AS support,
+  CASE WHEN s0 >= 0.01 AND s0 * s2 - s1 * s1 > 1e-6 * s0 * s0 THEN (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) WHEN s0 >= 0.01 THEN t0 / s0 END AS v
   FROM g LEFT JOIN fit USING (source_kind, source_key, bin_no))
-SELECT source_kind, source_key, bin_no, n AS n_readings, round(support, 4) AS support,
-  CASE WHEN n > 0 OR (support >= 2 AND v IS NOT NULL) THEN round(greatest(v, 0), 4) END AS value,
-  CASE WHEN n > 0 THEN 'observed' WHEN support >= 2 AND v IS NOT NULL THEN 'filled' ELSE 'missing' END AS status
+SELECT source_kind, source_key, bin_no, n AS n_readings, round(support, 3) AS support,
+  CASE WHEN n > 0 OR (support >= 2 - 1e-6 AND v IS NOT NULL) THEN round(greatest(v, 0), 3) END AS value,
+  CASE WHEN n > 0 THEN 'observed' WHEN support >= 2 - 1e-6 AND v IS NOT NULL THEN 'filled' ELSE 'missing' END AS status
 FROM est
 """,
 }
