@@ -61,7 +61,7 @@ def minus_baseline(a: Column, n: int) -> Column:
 
 
 def every_nth(a: Column, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / n).cast("int")), lambda i: a[i * n])
+    return F.filter(F.transform(a, lambda x, i: F.when(i % n == 0, F.struct(x.alias("x")))), lambda s: s.isNotNull())["x"]
 
 
 def block_mean(a: Column, n: int) -> Column:

@@ -15,9 +15,12 @@ def fixed_bin_rates(events: DataFrame, spans: DataFrame, keys: list[str], time:
     filled bin.
     """
     last = (F.ceil(F.col(length) / F.lit(step)) - 1).cast("long")
-    counts = events.where(F.col(time) >= 0).groupBy(*keys, F.floor(F.col(time) / F.lit(step)).cast("long").alias("_bin")).agg(F.count("*").alias("_n"))
+    at = F.floor(F.col(time) / F.lit(step)).cast("long")
+    on_edge = F.count_if(F.col(time) == at * F.lit(step))
+    counts = events.where(F.col(time) >= 0).groupBy(*keys, at.alias("_bin")).agg(F.count("*").alias("_all"), on_edge.alias("_edge"))
     ends = spans.select(*keys, last.alias("_last"), F.col(length).alias("_len")).where("_last >= 0")
-    exact = counts.join(ends, keys).withColumn("bin_no", F.when((F.col("_bin") == F.col("_last") + 1) & (F.col("_bin") * F.lit(step) == F.col("_len")), F.col("_last")).otherwise(F.col("_bin")))
+    closing = (F.col("_bin") == F.col("_last") + 1) & (F.col("_bin") * F.lit(step) == F.col("_len"))
+    exact = counts.join(ends, keys).withColumn("bin_no", F.when(closing, F.col("_last")).otherwise(F.col("_bin"))).withColumn("_n", F.when(closing, F.col("_edge")).otherwise(F.col("_all")))
     exact = exact.where("bin_no <= _last").groupBy(*keys, "bin_no").agg(F.sum("_n").alias("_n"))
     grid = ends.withColumn("bin_no", F.explode(F.sequence(F.lit(0).cast("long"), "_last"))).select(*keys, "bin_no")
     n = F.coalesce(F.col("_n"), F.lit(0)).cast("long")
