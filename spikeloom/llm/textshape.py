@@ -195,6 +195,7 @@ def _distribution(shape: str, lines: list[str], memo: dict[str, str]) -> tuple[n
     v = np.zeros(len(CLASSES))
     langs: Counter = Counter()
     seen: Counter = Counter()
+    last_kind: dict[tuple[str, str, str], str] = {}
     before: tuple[str, str] = ("", "")
     for line in lines:
         s = line.strip()
@@ -217,8 +218,7 @@ def _distribution(shape: str, lines: list[str], memo: dict[str, str]) -> tuple[n
             gram = (*before, core)
             before = (before[1], core)
             seen[gram] += 1
-            if kind in ("word", "data", "func", "hex") and seen[gram] > 2 and len(set(gram)) <= 2 or seen[gram] > 4:
-                kind = "echo"
+            last_kind[gram] = kind
             weight = max(1.0, len(t) / 10) if kind == "glued" else 1.0
             v[_AT[kind]] += weight
             if kind == "func":
@@ -230,6 +230,14 @@ def _distribution(shape: str, lines: list[str], memo: dict[str, str]) -> tuple[n
                     v[_AT["sep"]] += 1
         if tokens and tokens[-1][-1] not in ".!?" and (shape in ("entry", "bullet") and len(tokens) <= 12):
             v[_AT["entry"]] += 1
+    # A phrase that makes up a twelfth of the segment or more is a loop, not speech.
+    n_tokens = sum(seen.values())
+    for gram, n in seen.items():
+        if n > 4 and n * 12 >= n_tokens:
+            kind = last_kind[gram]
+            moved = min(n - 2, v[_AT[kind]])
+            v[_AT[kind]] -= moved
+            v[_AT["echo"]] += moved
     if shape == "cell" and v[_AT["hex"]] < 0.5 * v[: _AT["stop"]].sum() or shape != "cell" and v[_AT["hex"]] < 0.4 * v.sum():
         v[_AT["data"]] += v[_AT["hex"]]  # a few short hexadecimal words are data
         v[_AT["hex"]] = 0
