@@ -70,10 +70,19 @@ def _seeds(flat: np.ndarray, owner: np.ndarray, mask: str, which: int) -> tuple[
     return h, at
 
 
-def _covered(d: np.ndarray, q: np.ndarray, width: int = 12) -> int:
-    """The most words of the item that hits near one diagonal cover."""
+def _covered(group: np.ndarray, d: np.ndarray, q: np.ndarray, need: np.ndarray, width: int = 12) -> np.ndarray:
+    """Which hits lie on diagonals where the hits of their group cover ``need`` words of the item or more.
+
+    Diagonals are taken in overlapping pairs of bands, so words added or
+    dropped on the way move a passage by up to a band without splitting it.
+    """
     band = (d - q) // width
-    return max(len(np.unique((q[(band == b) | (band == b + 1)][:, None] + np.arange(5)).ravel())) for b in np.unique(band))
+    band -= band.min() - 1
+    code = np.concatenate([(group << 42) + ((band - o) << 20) for o in (0, 1)])
+    words_ = (code[:, None] + np.concatenate([q, q])[:, None] + np.arange(5)).ravel()
+    pairs, n = np.unique(np.unique(words_) >> 20, return_counts=True)
+    good = pairs[n >= need[pairs >> 22]]
+    return np.isin(code >> 20, good).reshape(2, -1).any(0)
 
 
 def stretch(doc: np.ndarray, item: np.ndarray, cost: float = 2.0, least: float = 0.0) -> tuple[float, int, int, int, int]:
@@ -156,8 +165,13 @@ class ItemSeeds:
         text, item, dpos, ipos = text[order], item[order], dpos[order], ipos[order]
         cuts = np.flatnonzero((np.diff(text) != 0) | (np.diff(item) != 0)) + 1
         lo, hi = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(text)]])
-        enough = hi - lo >= 3
-        for a, b in zip(lo[enough].tolist(), hi[enough].tolist()):
+        sizes = np.diff(self.start)
+        group = np.repeat(np.arange(len(lo)), hi - lo)
+        need = np.maximum(least_covered, (0.5 * least * sizes[item[lo]]).astype(int))
+        keep = _covered(group, dpos, ipos, need)
+        text, item, dpos, ipos, group = text[keep], item[keep], dpos[keep], ipos[keep], group[keep]
+        cuts = np.flatnonzero(np.diff(group)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(text)]) if len(text) else ():
             t, k = int(text[a]), int(item[a])
             query = self.flat[self.start[k] : self.start[k + 1]]
             size = len(query)
@@ -166,10 +180,9 @@ class ItemSeeds:
             # Hits far apart in the text belong to different passages.
             gaps = np.flatnonzero(np.diff(d) > size) + 1
             for x, y in zip([0, *gaps.tolist()], [*gaps.tolist(), len(d)]):
-                if _covered(d[x:y], q[x:y]) < least_covered:
-                    continue
-                w0 = max(0, int(d[x]) - size)
-                doc = flat[start[t] + w0 : min(start[t + 1], start[t] + int(d[y - 1]) + size + 8)]
+                # The passage can't begin before, or end behind, the item laid along its hits, but for added words.
+                w0 = max(0, int((d[x:y] - q[x:y]).min()) - size // 4)
+                doc = flat[start[t] + w0 : min(start[t + 1], start[t] + int((d[x:y] - q[x:y]).max()) + size + size // 4)]
                 score, i0, i1, j0, j1 = stretch(doc, query, least=quality * least * size)
                 share = (i1 - i0 + 1) / size
                 if score > 0 and share >= least and score >= quality * (i1 - i0 + 1) and (best is None or score > best[-1]):
