@@ -58,6 +58,7 @@ KINDS = ("prose", "list", "table", "junk")
 _NAMES = list(PROFILES)
 _P = np.array([[p.get(c, 0) for c in CLASSES] for p in PROFILES.values()], dtype=float)
 _P /= _P.sum(1, keepdims=True)
+_P_SUM = (_P * np.log2(_P + 1e-300)).sum(1)
 _AT = {c: i for i, c in enumerate(CLASSES)}
 _BY_WORD: dict[str, tuple[str, ...]] = {}
 for _lang, _words in FUNCTION_WORDS.items():
@@ -66,12 +67,14 @@ for _lang, _words in FUNCTION_WORDS.items():
 
 _BULLET = re.compile(r"^\s*(?:[-*+•·–—~]{1,3}|\(?(?:\d{1,4}|[a-zA-Z]|[ivxIVX]{1,4})[.)\]:]|[\[(][ xX✓✔*-]?[\])]|[☐☑✓✔▪◦‣○●■□→])\s+\S")
 _GAP = re.compile(r"\S(\t+| {2,})(?=\S)")
+_CELL_SPLIT = re.compile(r"[\s|;,]+|\t")
 _RULE = re.compile(r"^[\s|+:=_-]{3,}$")
 _DELIM = re.compile(r"[,;|\t](?=\S)|[;,|](?=[,;|]|$)")
 _NUMBER = re.compile(r"^[-+]?\d+(?:[.,:]\d+)*(?:[eE][-+]?\d+)?%?$")
 _HEX = re.compile(r"^(?:[0-9a-fA-F]{2}|[0-9a-fA-F]{4}|(?=[a-fA-F]*\d)[0-9a-fA-F]{7,})$")
 _EMPTY = {"na", "nan", "n/a", "null", "none", "-", "--", "—", "–", "?"}
 _EDGE = "\"'`*_()[]{}<>«»“”„‘’‚¿¡,;:.!?…|"
+_SEPARATORS = {"/", "|", "·", "•", "-", "–", "—", ">"}
 _NO_VOWEL = re.compile(r"[^aeiouyäöüáéíóúàèìòùâêîôûåøæœ\W\d_]{4,}")
 _WORDISH = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _ODD_INSIDE = re.compile(r"[^\W\d_][;\[\]{}<>|~^@#$%&*=+\\!?\"]+[^\W\d_]|[^\W\d_]['’,][^\W\d_]{3,}|[;\[\]{}\\]{2,}|^[;'\[\],]+[^\W\d_]")
@@ -141,7 +144,20 @@ def _class(token: str) -> str:
     return "word"
 
 
-def _shape(line: str) -> str:
+class Lexicon(dict):
+    """What is known of a token, kept between texts: class, core, whether it is a function word, how it ends (1 stop, 2 separator), weight, letters and digits."""
+
+    def __missing__(self, token: str) -> tuple[int, str, bool, int, float, int, int]:
+        kind = _class(token)
+        core = token.strip(_EDGE).lower()
+        end = 1 if token[-1] in ".!?…" else 2 if token[-1] in ",;" or token in _SEPARATORS else 0
+        got = (_AT[kind], core or token, core in _BY_WORD, end, max(1.0, len(token) / 10) if kind == "glued" else 1.0, sum(map(str.isalpha, token)), sum(map(str.isdigit, token)))
+        if len(self) < 200_000 and len(token) <= 64:  # a cache only
+            self[token] = got
+        return got
+
+
+def _shape(line: str, lexicon: Lexicon) -> str:
     """The layout of one line: ``bullet``, ``cell``, ``entry`` or ``text``."""
     s = line.strip()
     if _RULE.match(s):
@@ -153,14 +169,14 @@ def _shape(line: str) -> str:
     tokens = s.split()
     if s.count("|") >= 2 or len(_GAP.findall(s)) >= 2 or "\t" in s:
         # Running text may be set with wide gaps; columns hold hardly any function words.
-        running = sum(t.strip(_EDGE).lower() in _BY_WORD and t.lower() not in _EMPTY for t in tokens) >= 0.18 * len(tokens)
+        running = sum(lexicon[t][2] and t.lower() not in _EMPTY for t in tokens) >= 0.18 * len(tokens)
         return "text" if running else "cell"
     for d in ",;":
         n = s.count(d)
         tight = n - len(re.findall(re.escape(d) + r"\s", s))
         if n >= 2 and tight >= 2 and tight * 2 >= n and len(tokens) <= 2 + n and not any(len(t) > 3 and t.count(d) == 1 and t[0] == d for t in tokens):
             return "cell" if _looks_cells(s, d) else "text"
-    if len(tokens) <= 6 and s[-1:] not in ".!?:…" and not any(t.strip(_EDGE).lower() in _BY_WORD for t in tokens):
+    if len(tokens) <= 6 and s[-1:] not in ".!?:…" and not any(lexicon[t][2] for t in tokens):
         return "entry"
     return "text"
 
@@ -171,13 +187,13 @@ def _looks_cells(s: str, d: str) -> bool:
     return good >= 0.8 * len(cells)
 
 
-def _segments(text: str) -> Iterator[tuple[str, list[str]]]:
+def _segments(text: str, lexicon: Lexicon) -> Iterator[tuple[str, list[str]]]:
     """Runs of lines of one layout. A run of fewer than three lines inside a paragraph joins what is before it."""
     for part in re.split(r"\n[^\S\n]*\n", text.replace("\r\n", "\n").replace("\r", "\n")):
         lines = [x for x in part.split("\n") if x.strip()]
         runs: list[tuple[str, list[str]]] = []
         for line in lines:
-            shape = _shape(line)
+            shape = _shape(line, lexicon)
             if runs and runs[-1][0] == shape:
                 runs[-1][1].append(line)
             else:
@@ -191,71 +207,59 @@ def _segments(text: str) -> Iterator[tuple[str, list[str]]]:
         yield from merged
 
 
-def _distribution(shape: str, lines: list[str], memo: dict[str, str]) -> tuple[np.ndarray, Counter]:
-    v = np.zeros(len(CLASSES))
-    langs: Counter = Counter()
-    seen: Counter = Counter()
-    last_kind: dict[tuple[str, str, str], str] = {}
-    before: tuple[str, str] = ("", "")
+def _distribution(shape: str, lines: list[str], lexicon: Lexicon) -> tuple[np.ndarray, Counter]:
+    n = [0.0] * len(CLASSES)
+    cores: list[str] = []
+    kinds: list[int] = []
+    stop, sep, cell, bullet, entry, func = (_AT[c] for c in ("stop", "sep", "cell", "bullet", "entry", "func"))
     for line in lines:
         s = line.strip()
         if shape == "bullet":
-            v[_AT["bullet"]] += 1
+            n[bullet] += 1
             s = _BULLET.sub(lambda m: m[0][-1], s)
         if shape == "cell":
-            v[_AT["cell"]] += len(_GAP.findall(s)) + len(_DELIM.findall(s))
-            tokens = re.split(r"[\s|;,]+|\t", s)
+            n[cell] += len(_GAP.findall(s)) + len(_DELIM.findall(s))
+            tokens = [t for t in _CELL_SPLIT.split(s) if t]
         else:
             tokens = s.split()
-        tokens = [t for t in tokens if t]
         for t in tokens:
-            kind = memo.get(t)
-            if kind is None:
-                kind = _class(t)
-                if len(memo) < 200_000:  # a cache only
-                    memo[t] = kind
-            core = t.strip(_EDGE).lower() or t
-            gram = (*before, core)
-            before = (before[1], core)
-            seen[gram] += 1
-            last_kind[gram] = kind
-            weight = max(1.0, len(t) / 10) if kind == "glued" else 1.0
-            v[_AT[kind]] += weight
-            if kind == "func":
-                langs.update(_BY_WORD[core])
-            if shape != "cell":
-                if t[-1] in ".!?…":
-                    v[_AT["stop"]] += 1
-                elif t[-1] in ",;" or t in ("/", "|", "·", "•", "-", "–", "—", ">"):
-                    v[_AT["sep"]] += 1
-        if tokens and tokens[-1][-1] not in ".!?" and (shape in ("entry", "bullet") and len(tokens) <= 12):
-            v[_AT["entry"]] += 1
+            kind, core, _, end, weight, _, _ = lexicon[t]
+            n[kind] += weight
+            cores.append(core)
+            kinds.append(kind)
+            if end and shape != "cell":
+                n[stop if end == 1 else sep] += 1
+        if tokens and shape in ("entry", "bullet") and len(tokens) <= 12 and tokens[-1][-1] not in ".!?":
+            n[entry] += 1
     # A phrase that makes up a twelfth of the segment or more is a loop, not speech.
-    n_tokens = sum(seen.values())
-    for gram, n in seen.items():
-        if n > 4 and n * 12 >= n_tokens:
-            kind = last_kind[gram]
-            moved = min(n - 2, v[_AT[kind]])
-            v[_AT[kind]] -= moved
-            v[_AT["echo"]] += moved
-    if shape == "cell" and v[_AT["hex"]] < 0.5 * v[: _AT["stop"]].sum() or shape != "cell" and v[_AT["hex"]] < 0.4 * v.sum():
+    if len(cores) > 4:
+        grams = list(zip(["", "", *cores], ["", *cores], cores))
+        common = {g: c for g, c in Counter(grams).items() if c > 4 and c * 12 >= len(cores)}
+        for g, kind in {g: k for g, k in zip(grams, kinds) if g in common}.items() if common else ():
+            moved = min(common[g] - 2, n[kind])
+            n[kind] -= moved
+            n[_AT["echo"]] += moved
+    v = np.array(n)
+    langs: Counter = Counter()
+    for core, c in Counter(x for x, k in zip(cores, kinds) if k == func).items():
+        for lang in _BY_WORD[core]:
+            langs[lang] += c
+    if shape == "cell" and v[_AT["hex"]] < 0.5 * v[:stop].sum() or shape != "cell" and v[_AT["hex"]] < 0.4 * v.sum():
         v[_AT["data"]] += v[_AT["hex"]]  # a few short hexadecimal words are data
         v[_AT["hex"]] = 0
     if v[_AT["single"]] < 0.2 * v.sum():
         v[_AT["word"]] += v[_AT["single"]]
         v[_AT["single"]] = 0
     if v[_AT["hex"]]:
-        v[_AT["cell"]] = v[_AT["entry"]] = v[_AT["bullet"]] = 0
+        v[cell] = v[entry] = v[bullet] = 0
     return v, langs
 
 
 def divergence(p: np.ndarray) -> np.ndarray:
     """The Jensen-Shannon divergence in bits of ``p`` from every profile."""
-    m = (_P + p) / 2
-    with np.errstate(divide="ignore", invalid="ignore"):
-        a = np.where(_P > 0, _P * np.log2(_P / m), 0.0).sum(1)
-        b = np.where(p > 0, p * np.log2(p / m), 0.0).sum(1)
-    return (a + b) / 2
+    m = _P + p
+    mixed = (m * np.log2(m / 2 + 1e-300)).sum(1) / 2
+    return (_P_SUM + (p * np.log2(p + 1e-300)).sum()) / 2 - mixed
 
 
 _STATS = [
@@ -267,24 +271,24 @@ STATS_DDL = "n_chars long, n_words long, n_lines long, mean_word_length double,
 _PROSE = np.array([k == "prose" for k, _ in _NAMES])
 
 
-def describe(text: str | None, memo: dict[str, str] | None = None) -> tuple:
+def describe(text: str | None, lexicon: Lexicon | None = None) -> tuple:
     """The statistics of one text, in the order of ``STATS_DDL``."""
-    memo = {} if memo is None else memo
+    lexicon = Lexicon() if lexicon is None else lexicon
     blank = text is None or not text.strip()
     if blank:
         return (len(text or ""), 0, 0, None, None, None, None, None, None, None, 0.0, 0.0, 0.0, None)
     lines = [x.strip() for x in text.split("\n") if x.strip()]
     tokens = text.split()
     solid = sum(map(len, tokens))
-    letters = sum(map(str.isalpha, text))
-    digits = sum(map(str.isdigit, text))
+    known = [lexicon[t] for t in tokens]
+    letters, digits = sum(k[5] for k in known), sum(k[6] for k in known)
     share = dict.fromkeys(KINDS, 0.0)
     langs: Counter = Counter()
     apart = 0.0
-    for shape, own in _segments(text):
-        v, found = _distribution(shape, own, memo)
+    for shape, own in _segments(text, lexicon):
+        v, found = _distribution(shape, own, lexicon)
         langs.update(found)
-        size = sum(len(w) for x in own for w in x.split())
+        size = sum(len("".join(x.split())) for x in own)
         if not v.sum():
             continue
         d = divergence(v / v.sum())
@@ -292,7 +296,7 @@ def describe(text: str | None, memo: dict[str, str] | None = None) -> tuple:
         apart += float(d[_PROSE].min()) * size / solid
     other = {k: share[k] for k in KINDS[1:]}
     kind = max(other, key=other.get) if sum(other.values()) > 0.5 else "prose"
-    common = sum(1 for t in tokens if t.strip(_EDGE).lower() in _BY_WORD)
+    common = sum(k[2] for k in known)
     best = max(langs, key=lambda k: (langs[k], k)) if langs else None
     return (
         len(text), len(tokens), len(lines), solid / len(tokens), (solid - letters - digits) / solid, digits / solid, sum(x[-1] in ".!?…\"”»" for x in lines) / len(lines),
@@ -311,9 +315,9 @@ def text_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     fields = [pa.field("key", pa.int64()), *[pa.field(n, t) for n, t in _STATS]]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, str] = {}
+        lexicon = Lexicon()
         for batch in batches:
-            rows = [describe(t, memo) for t in batch.column(1).to_pylist()]
+            rows = [describe(t, lexicon) for t in batch.column(1).to_pylist()]
             cols = list(zip(*rows)) if rows else [[] for _ in _STATS]
             yield pa.record_batch([batch.column(0).cast(pa.int64()), *[pa.array(c, type=t) for c, (_, t) in zip(cols, _STATS)]], schema=pa.schema(fields))
 
