@@ -25,11 +25,14 @@ def unit_number(name: Column | str) -> Column:
 
 
 def usable(value: Column | str, low: float | None = 0.0, high: float | None = None) -> Column:
-    """True where a number is present: not NULL, not NaN and within its range."""
+    """True where a number is present: not NULL, not NaN and within its range; NULL or false elsewhere.
+
+    A plain conjunction, so that a filter on it reaches the Parquet scan.
+    """
     c = F.col(value) if isinstance(value, str) else value
     ok = c.isNotNull() & ~F.isnan(c)
     if low is not None:
         ok = ok & (c >= low)
     if high is not None:
         ok = ok & (c <= high)
-    return F.coalesce(ok, F.lit(False))
+    return ok

@@ -56,22 +56,34 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], bucket: Column
     return joined.select(*[here[c] for c in cols], (here["_here"] + carried["_carry"]).alias(out))
 
 
-def longest_run(df: DataFrame, keys: list[str], order: str, max_gap: float) -> DataFrame:
+def longest_run(df: DataFrame, keys: list[str], order: str, max_gap: float, bucket: float) -> DataFrame:
     """Gaps and islands: the longest run of rows whose steps in ``order`` are ``max_gap`` at most; ties go to the earliest.
 
     ``keys, run_start, run_end, n_rows``. Rows with a NULL order are left out.
+    ``bucket`` is the width of the stretches of ``order`` one task sorts; runs
+    are first found inside them, then joined over their edges, a row per run.
     """
-    w = Window.partitionBy(*keys).orderBy(order)
-    rows = df.where(F.col(order).isNotNull())
+    rows = df.where(F.col(order).isNotNull()).select(*keys, order, F.floor(F.col(order) / F.lit(bucket)).alias("_bucket"))
+    w = Window.partitionBy(*keys, "_bucket").orderBy(order)
     marked = rows.withColumn("_new", F.when(F.col(order) - F.lag(order).over(w) > max_gap, 1).otherwise(0))
     runs = marked.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    each = runs.groupBy(*keys, "_run").agg(F.min(order).alias("run_start"), F.max(order).alias("run_end"), F.count("*").alias("n_rows"))
+    part = runs.groupBy(*keys, "_bucket", "_run").agg(F.min(order).alias("a"), F.max(order).alias("b"), F.count("*").alias("n"))
+    # Runs that reach over edges: only the parts of a bucket that lie at its ends can, so the others count as they are.
+    ends = Window.partitionBy(*keys, "_bucket")
+    part = part.withColumn("_edge", (F.col("_run") == 0) | (F.col("_run") == F.max("_run").over(ends)))
+    over = Window.partitionBy(*keys).orderBy("a")
+    edge = part.where("_edge").withColumn("_new", F.when(F.col("a") - F.lag("b").over(over) > max_gap, 1).otherwise(0))
+    edge = edge.withColumn("_id", F.sum("_new").over(over.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = edge.groupBy(*keys, "_id").agg(F.min("a").alias("run_start"), F.max("b").alias("run_end"), F.sum("n").alias("n_rows")).drop("_id")
+    every = joined.unionByName(part.where("NOT _edge").select(*keys, F.col("a").alias("run_start"), F.col("b").alias("run_end"), F.col("n").alias("n_rows")))
     best = F.max_by(F.struct("run_start", "run_end", "n_rows"), F.struct("n_rows", (-F.col("run_start")).alias("s")))
-    return each.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.run_start", "b.run_end", "b.n_rows")
+    return every.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.run_start", "b.run_end", "b.n_rows")
 
 
-def local_peaks(df: DataFrame, keys: list[str], order: str, value: str, height: float) -> DataFrame:
-    """Rows above both neighbours in order and at least ``height``. Of a plateau of two, the first."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    rows = df.withColumn("_a", F.lag(value).over(w)).withColumn("_b", F.lead(value).over(w))
-    return rows.where((F.col(value) >= height) & (F.col(value) > F.col("_a")) & (F.col(value) >= F.col("_b"))).drop("_a", "_b")
+def local_peaks(df: DataFrame, keys: list[str], order: str, value: str, height: float, bucket: float) -> DataFrame:
+    """Rows above the row before and not below the row behind, and at least ``height``. Of a plateau of two, the first."""
+    cell = F.floor(F.col(order) / F.lit(bucket))
+    with_before = with_previous(df, keys, [order], cell, F.col(value), "_a")
+    back = -F.col(order)
+    rows = with_previous(with_before.withColumn("_o", back), keys, ["_o"], F.floor(F.col("_o") / F.lit(bucket)), F.col(value), "_b")
+    return rows.where((F.col(value) >= height) & (F.col(value) > F.col("_a")) & (F.col(value) >= F.col("_b"))).drop("_a", "_b", "_o")

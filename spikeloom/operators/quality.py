@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spikeloom.functions import arrays as A
+from spikeloom.operators.ordered import with_previous
 
 
 def variance_ratio_qi(long: DataFrame, keys: list[str], trial: str, sample: str, value: str) -> DataFrame:
@@ -37,10 +38,15 @@ def variance_ratio_of(trials: Column) -> Column:
     return A.let(qi, t=trials, m=A.mean_trace(trials), noise=noise)
 
 
-def interval_stats(events: DataFrame, keys: list[str], time: str) -> DataFrame:
-    """``keys, n, isi_mean, isi_cv, isi_median``: intervals between consecutive events; CV with the population deviation."""
-    w = Window.partitionBy(*keys).orderBy(time)
-    d = events.where(F.col(time).isNotNull()).select(*keys, (F.col(time) - F.lag(time).over(w)).alias("d"))
+def interval_stats(events: DataFrame, keys: list[str], time: str, bucket: float) -> DataFrame:
+    """``keys, n, isi_mean, isi_cv, isi_median``: intervals between consecutive events; CV with the population deviation.
+
+    Events are ordered inside buckets of ``bucket`` and one event per bucket is
+    carried over. The median is exact; its state holds the distinct intervals
+    of a key, which the clock's resolution bounds.
+    """
+    rows = events.where(F.col(time).isNotNull()).select(*keys, time)
+    d = with_previous(rows, keys, [time], F.floor(F.col(time) / F.lit(bucket)), F.col(time), "_before").withColumn("d", F.col(time) - F.col("_before"))
     m = F.avg("d")
     return d.groupBy(*keys).agg(F.count("*").alias("n"), m.alias("isi_mean"), F.when(m > 0, F.stddev_pop("d") / m).alias("isi_cv"), F.median("d").alias("isi_median"))
 

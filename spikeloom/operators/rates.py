@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spikeloom.operators.joins import asof_join
+from spikeloom.operators.ordered import with_previous
+
 
 def fixed_bin_rates(events: DataFrame, spans: DataFrame, keys: list[str], time: str, length: str, step: float) -> DataFrame:
     """Dense rates: every bin of ``step`` from 0 to ``ceil(length / step)`` of each span, zero where nothing lies.
@@ -27,22 +30,22 @@ def fixed_bin_rates(events: DataFrame, spans: DataFrame, keys: list[str], time:
     return grid.join(exact, [*keys, "bin_no"], "left").select(*keys, "bin_no", n.alias("n"), (n / F.lit(float(step))).alias("rate"))
 
 
-def interval_rates(events: DataFrame, edges: DataFrame, keys: list[str], time: str, edge: str) -> DataFrame:
-    """Rates between consecutive irregular edges: ``keys, edge_start, edge_end, n``; the last edge closes the last bin.
+def interval_rates(events: DataFrame, edges: DataFrame, keys: list[str], time: str, edge: str, bucket: float) -> DataFrame:
+    """Counts between consecutive irregular edges: ``keys, edge_start, edge_end, n``; the last edge closes the last bin.
 
-    Counted with a running position: an event belongs to the last edge at or
-    before it. Events outside the edges belong to none.
+    An as-of join gives each event the last edge at or before it. Events
+    outside the edges belong to no bin; repeated edges are one.
     """
-    bins = edges.select(*keys, F.col(edge).alias("edge_start")).distinct()
-    bins = bins.withColumn("edge_end", F.lead("edge_start").over(Window.partitionBy(*keys).orderBy("edge_start"))).where("edge_end IS NOT NULL")
-    marks = bins.select(*keys, F.col("edge_start").alias("_t"), F.lit(0).alias("_side"), F.struct("edge_start", "edge_end").alias("_bin"))
-    hits = events.where(F.col(time).isNotNull()).select(*keys, F.col(time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(marks.schema["_bin"].dataType).alias("_bin"))
-    run = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    placed = marks.unionByName(hits).withColumn("_bin", F.last("_bin", ignorenulls=True).over(run))
-    final = Window.partitionBy(*keys)
-    placed = placed.withColumn("_max", F.max("_bin.edge_end").over(final))
-    inside = (F.col("_side") == 1) & ((F.col("_t") < F.col("_bin.edge_end")) | (F.col("_t") == F.col("_max")))
-    return placed.where("_bin IS NOT NULL").groupBy(*keys, "_bin.edge_start", "_bin.edge_end").agg(F.sum(F.when(inside, 1).otherwise(0)).cast("long").alias("n"))
+    once = edges.where(F.col(edge).isNotNull()).select(*keys, F.col(edge).alias("edge_start")).distinct()
+    back = once.withColumn("_o", -F.col("edge_start"))
+    bins = with_previous(back, keys, ["_o"], F.floor(F.col("_o") / F.lit(bucket)), F.col("edge_start"), "edge_end").where("edge_end IS NOT NULL").drop("_o")
+    last = once.groupBy(*keys).agg(F.max("edge_start").alias("_end"))
+    # The very last edge counts into the bin before it: its events move to that bin's start.
+    moved = events.where(F.col(time).isNotNull()).select(*keys, F.col(time).alias("_t")).join(last, keys)
+    placed = asof_join(moved, bins, keys, "_t", "edge_start", ["edge_start", "edge_end"], bucket=bucket)
+    inside = placed.where("edge_start IS NOT NULL AND (_t < edge_end OR (_t = edge_end AND _t = _end))")
+    n = inside.groupBy(*keys, "edge_start").agg(F.count("*").alias("n"))
+    return bins.join(n, [*keys, "edge_start"], "left").select(*keys, "edge_start", "edge_end", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def mode_value(df: DataFrame, by: list[str], value: str, out: str = "mode") -> DataFrame:

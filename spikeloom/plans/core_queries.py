@@ -235,7 +235,7 @@ SELECT *, round(n * 1e6 / (edge_end - edge_start), 6) AS rate FROM (SELECT b.use
 ON p.user_id = b.user_id AND p.us >= edge_start AND (p.us < edge_end OR (p.us = edge_end AND edge_end = z)) WHERE edge_end IS NOT NULL GROUP BY ALL)""")
 def rate_frame_aligned(spark, d):
     a, b = event_sides(spark, d, "purchase", "view")
-    got = rates.interval_rates(a, b.withColumnRenamed("hit_us", "us2"), ["user_id"], "us", "us2")
+    got = rates.interval_rates(a, b.withColumnRenamed("hit_us", "us2"), ["user_id"], "us", "us2", 86_400e6)
     return got.select("user_id", "edge_start", "edge_end", "n", R(F.col("n") * 1e6 / (F.col("edge_end") - F.col("edge_start"))).alias("rate"))
 
 
@@ -293,10 +293,11 @@ def qi_pearson(spark, d):
 
 
 @query(f"""WITH {_SP}, x AS (SELECT unit_key, t - lag(t) OVER (PARTITION BY unit_key ORDER BY t) AS g FROM sp WHERE unit_key IS NOT NULL)
-SELECT unit_key, count(*) AS n, round(avg(g), 6) AS isi_mean, round(CASE WHEN avg(g) > 0 THEN stddev_pop(g) / avg(g) END, 6) AS isi_cv, round(median(g), 6) AS isi_median FROM x GROUP BY 1""")
+SELECT unit_key, count(*) AS n, round(avg(g) + 1e-8, 6) AS isi_mean, round(CASE WHEN avg(g) > 0 THEN stddev_pop(g) / avg(g) END, 6) AS isi_cv, round(median(g) + 1e-8, 6) AS isi_median FROM x GROUP BY 1""")
 def isi_stats(spark, d):
-    got = quality.interval_stats(spikes(spark, d).where("unit_key IS NOT NULL"), ["unit_key"], "t")
-    return got.select("unit_key", "n", *[R(c).alias(c) for c in ("isi_mean", "isi_cv", "isi_median")])
+    got = quality.interval_stats(spikes(spark, d).where("unit_key IS NOT NULL"), ["unit_key"], "t", 60.0)
+    # A mean of decimals may lie on the middle between two roundings, where engines differ; the shift takes it off.
+    return got.select("unit_key", "n", R(F.col("isi_mean") + 1e-8).alias("isi_mean"), R("isi_cv").alias("isi_cv"), R(F.col("isi_median") + 1e-8).alias("isi_median"))
 
 
 @query(f"""WITH {_CELL} SELECT unit_key, dataset_id, count(CASE WHEN step_up_QI > 0.5 THEN 1 END) OVER w AS good_count, count(CASE WHEN step_up_QI > 0.5 AND axon_type = 'rgc' THEN 1 END) OVER w AS good_rgc_count
@@ -323,7 +324,7 @@ def step_windows(spark, d):
 x AS (SELECT *, lag(n) OVER (PARTITION BY recording_no ORDER BY bin_no) AS a, lead(n) OVER (PARTITION BY recording_no ORDER BY bin_no) AS b FROM c) SELECT recording_no, bin_no, n FROM x WHERE n >= 20 AND n > a AND n >= b""")
 def peak_detect(spark, d):
     c = spikes(spark, d).groupBy("recording_no", F.floor(F.col("t") / 10).cast("long").alias("bin_no")).agg(F.count("*").alias("n"))
-    return ordered.local_peaks(c, ["recording_no"], "bin_no", "n", 20).select("recording_no", "bin_no", "n")
+    return ordered.local_peaks(c, ["recording_no"], "bin_no", "n", 20, 30.0).select("recording_no", "bin_no", "n")
 
 
 @query(f"""WITH {_LEN}, r AS (SELECT DISTINCT recording_no, chip, CAST(round_even(dur * 60, 0) AS BIGINT) AS length FROM (SELECT DISTINCT recording_no, chip FROM recordings WHERE chip IS NOT NULL) JOIN len USING (recording_no)),
@@ -345,7 +346,7 @@ def trial_boundaries(spark, d):
 y AS (SELECT unit_key, t, sum(nw) OVER (PARTITION BY unit_key ORDER BY t ROWS UNBOUNDED PRECEDING) AS g FROM x), z AS (SELECT unit_key, g, min(t) AS a, max(t) AS b, count(*) AS n FROM y GROUP BY ALL)
 SELECT unit_key, round(arg_max(a, (n, -a)), 6) AS run_start, round(arg_max(b, (n, -a)), 6) AS run_end, max(n) AS n_rows FROM z GROUP BY 1""")
 def gaps_islands_longest(spark, d):
-    got = ordered.longest_run(spikes(spark, d).where("unit_key IS NOT NULL"), ["unit_key"], "t", 5.0)
+    got = ordered.longest_run(spikes(spark, d).where("unit_key IS NOT NULL"), ["unit_key"], "t", 5.0, 60.0)
     return got.select("unit_key", R("run_start").alias("run_start"), R("run_end").alias("run_end"), "n_rows")
 
 

@@ -75,5 +75,6 @@ def test_running_sum_and_previous(spark, rows):
 
 def test_longest_run_ties_go_to_the_earliest(spark):
     df = frame(spark, [(1, t) for t in (0.0, 1.0, 2.0, 9.0, 10.0, 11.0, 30.0)] + [(1, None), (2, 4.0)], "k long, t double")
-    got = {r.k: (r.run_start, r.run_end, r.n_rows) for r in ordered.longest_run(df, ["k"], "t", 1.5).collect()}
-    assert got == {1: (0.0, 2.0, 3), 2: (4.0, 4.0, 1)}
+    for width in (1.7, 4.0, 100.0):
+        got = {r.k: (r.run_start, r.run_end, r.n_rows) for r in ordered.longest_run(df, ["k"], "t", 1.5, width).collect()}
+        assert got == {1: (0.0, 2.0, 3), 2: (4.0, 4.0, 1)}

@@ -121,7 +121,7 @@ def test_quality(spark):
     arr = spark.createDataFrame([(tr,), ([[1.0, 2.0]],)], "t array<array<double>>")
     assert [r.q for r in arr.select(quality.variance_ratio_of(F.col("t")).alias("q")).collect()] == [1.0, None]
     reg = spark.createDataFrame([("u", i / 10) for i in range(100)] + [("u", None)], "u string, t double")
-    r = quality.interval_stats(reg, ["u"], "t").first()
+    r = quality.interval_stats(reg, ["u"], "t", 1.0).first()
     assert r.n == 100 and r.isi_mean == pytest.approx(0.1) and r.isi_cv < 0.1
 
 

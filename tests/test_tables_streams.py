@@ -35,7 +35,7 @@ def test_rates(spark):
     got = [(r.bin_no, r.n) for r in rates.fixed_bin_rates(e, spark.createDataFrame([("r", 25.0), ("q", 0.0)], "r string, n double"), ["r"], "t", "n", 5.0).orderBy("bin_no").collect()]
     assert got == [(0, 2), (1, 1), (2, 0), (3, 0), (4, 1)]
     edges = spark.createDataFrame([("r", t) for t in (0.0, 5.0, 25.0, 25.0)], "r string, t2 double")
-    assert sorted((r.edge_start, r.n) for r in rates.interval_rates(e, edges, ["r"], "t", "t2").collect()) == [(0.0, 2), (5.0, 2)]
+    assert sorted((r.edge_start, r.n) for r in rates.interval_rates(e, edges, ["r"], "t", "t2", 4.0).collect()) == [(0.0, 2), (5.0, 2)]
     a = spark.createDataFrame([([1.0, 2.0, 3.0],)], "a array<double>")
     assert a.select(rates.pad_or_trim(F.col("a"), 5).alias("x"), rates.pad_or_trim(F.col("a"), 2).alias("y")).first().asDict() == {"x": [1, 2, 3, 0, 0], "y": [1, 2]}
     t = spark.createDataFrame([("u", 1, [1.0, 2.0]), ("u", 0, [5.0, 6.0, 7.0]), ("u", 2, None)], "u string, k int, a array<double>")
