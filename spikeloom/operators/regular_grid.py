@@ -10,7 +10,9 @@ touched once and each grid bin reads at most ``2 * bandwidth_bins + 1`` rows.
 Layout: a source's time line is cut into chunks of ``chunk_bins`` bins, and
 rows are partitioned by (source, chunk), never by source alone, so a source
 with a third of all rows spreads over as many tasks as it has chunks. Readings
-within ``bandwidth_bins`` of a chunk's edge are copied to the neighbour.
+within ``bandwidth_bins`` of a chunk's edge are copied to the neighbour. Chunks
+are counted first; the readings of a chunk that holds more than ``hot_rows`` of
+them are spread by time and reduced to power sums per bin before they meet.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spikeloom.functions.keys import usable
+from spikeloom.session import cut
 
 
 def _shifted(m: list[Column], g: Column, p: int) -> Column:
@@ -43,6 +46,7 @@ def regular_grid(
     bandwidth_bins: int = 2,
     min_support: float = 2.0,
     chunk_bins: int = 32,
+    hot_rows: int = 2_000_000,
 ) -> DataFrame:
     """One row per source and bin from the source's first to its last filled bin.
 
@@ -56,13 +60,13 @@ def regular_grid(
     ``min_support``, else ``missing`` (value NULL).
 
     Nulls: rows without source, or whose time or value is NULL, NaN or
-    negative, are no readings. Repeated rows and ties: of readings of one
+    negative, or whose time is infinite, are no readings. Repeated rows and ties: of readings of one
     source at one time, the one greatest in the ``newest`` columns counts, then
     the greatest value. An empty table gives an empty grid. Other columns of
     the input, whatever their names, are ignored.
     """
     t, y = F.col(time), F.col(value)
-    ok = readings.where(F.col(source).isNotNull() & usable(time) & usable(value))
+    ok = readings.where(F.col(source).isNotNull() & usable(time) & (t < float("inf")) & usable(value))
     bin_no = F.floor(t / F.lit(step)).cast("long")
     rows = ok.select(
         F.col(source).cast("long").alias("source_key"),
@@ -74,7 +78,9 @@ def regular_grid(
     # One marker per (source, chunk) tells which bins the chunk has to report.
     k, size = bandwidth_bins, chunk_bins
     chunk = lambda b: F.floor(b / F.lit(size)).cast("long")
-    spans = rows.groupBy("source_key").agg(F.min("b").alias("lo"), F.max("b").alias("hi"))
+    counted = cut(rows.groupBy("source_key", chunk(F.col("b")).alias("chunk")).agg(F.count("*").alias("n"), F.min("b").alias("lo"), F.max("b").alias("hi")), "chunks")
+    hot = counted.where(F.col("n") > hot_rows).select("source_key", "chunk")
+    spans = counted.groupBy("source_key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     markers = spans.select(
         "source_key", "lo", "hi", F.explode(F.sequence(chunk(F.col("lo")), chunk(F.col("hi")))).alias("chunk")
     ).select(
@@ -82,28 +88,33 @@ def regular_grid(
         F.least("hi", F.col("chunk") * size + size - 1).alias("to"),
     )
 
-    homes = F.array_distinct(F.array(chunk(F.col("b") - k), chunk(F.col("b")), chunk(F.col("b") + k)))
-    kind = rows.schema["r"].dataType.simpleString()
-    moved = rows.select("source_key", F.explode(homes).alias("chunk"), "b", "x", "r", F.lit(None).cast("long").alias("to"))
-    marked = markers.select("source_key", "chunk", F.col("from").alias("b"), F.lit(None).cast("double").alias("x"), F.lit(None).cast(kind).alias("r"), "to")
-    placed = moved.unionByName(marked).repartition("source_key", "chunk")
-
-    # After the one shuffle: a marker unfolds to its bins, repeats at one time collapse, bins get their power sums.
-    bins = F.when(F.col("to").isNotNull(), F.sequence("b", "to")).otherwise(F.array("b"))
-    single = (
-        placed.select("source_key", "chunk", F.explode(bins).alias("b"), "x", "r")
-        .groupBy("source_key", "chunk", "b", "x")
-        .agg(F.max("r").alias("r"))
-    )
+    homes = F.explode(F.array_distinct(F.array(chunk(F.col("b") - k), chunk(F.col("b")), chunk(F.col("b") + k)))).alias("chunk")
     # Powers count from the chunk's middle, which keeps them small and the sums exact enough.
     middle = (F.col("chunk") * size).cast("double") + size / 2
     local, yy = F.col("x") - middle, F.col("r.y")
     power = lambda p: F.lit(1.0) if p == 0 else local if p == 1 else power(p - 1) * local
     sums = [F.coalesce(F.sum(F.when(F.col("x").isNotNull(), power(p))), F.lit(0.0)).alias(f"m{p}") for p in range(5)]
     sums += [F.coalesce(F.sum(power(p) * yy), F.lit(0.0)).alias(f"y{p}") for p in range(4)]
-    per_bin = single.groupBy("source_key", "chunk", "b").agg(
-        F.count("x").alias("n"), F.max(F.col("x").isNull()).alias("grid"), *sums
-    )
+    sums = [F.count("x").alias("n"), F.max(F.col("x").isNull()).alias("grid"), *sums]
+
+    any_hot = hot.limit(1).count() > 0
+    home = rows.withColumn("home", chunk(F.col("b"))) if any_hot else rows
+    on = hot.select("source_key", F.col("chunk").alias("home"))
+    calm = home.join(on, ["source_key", "home"], "left_anti").drop("home") if any_hot else rows
+    kind = rows.schema["r"].dataType.simpleString()
+    moved = calm.select("source_key", homes, "b", "x", "r", F.lit(None).cast("long").alias("to"))
+    marked = markers.select("source_key", "chunk", F.col("from").alias("b"), F.lit(None).cast("double").alias("x"), F.lit(None).cast(kind).alias("r"), "to")
+    placed = moved.unionByName(marked).repartition("source_key", "chunk")
+
+    # After the one shuffle: a marker unfolds to its bins, repeats at one time collapse, bins get their power sums.
+    bins = F.when(F.col("to").isNotNull(), F.sequence("b", "to")).otherwise(F.array("b"))
+    single = placed.select("source_key", "chunk", F.explode(bins).alias("b"), "x", "r").groupBy("source_key", "chunk", "b", "x").agg(F.max("r").alias("r"))
+    per_bin = single.groupBy("source_key", "chunk", "b").agg(*sums)
+    if any_hot:
+        crowd = home.join(on, ["source_key", "home"], "left_semi").groupBy("source_key", "b", "x").agg(F.max("r").alias("r"))
+        crowd = crowd.select("source_key", homes, "b", "x", "r").groupBy("source_key", "chunk", "b").agg(*sums)
+        both = [F.sum(c).alias(c) for c in per_bin.columns if c not in ("source_key", "chunk", "b", "grid")]
+        per_bin = per_bin.unionByName(crowd).groupBy("source_key", "chunk", "b").agg(F.max("grid").alias("grid"), *both)
 
     near = Window.partitionBy("source_key", "chunk").orderBy("b").rangeBetween(-k, k)
     wide = per_bin.select("source_key", "chunk", "b", "n", "grid", *[F.sum(c).over(near).alias(c) for c in [f"m{p}" for p in range(5)] + [f"y{p}" for p in range(4)]])

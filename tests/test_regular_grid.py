@@ -11,7 +11,7 @@ DDL = "src long, t double, y double, arrived long, id long, chunk string, b stri
 def brute(rows, step, k=2, least=2.0):
     last = {}
     for src, t, y, arrived, i, *_ in rows:
-        if None in (src, t, y) or math.isnan(t) or math.isnan(y) or t < 0 or y < 0:
+        if None in (src, t, y) or math.isinf(t) or math.isnan(t) or math.isnan(y) or t < 0 or y < 0:
             continue
         last[src, t / step] = max(last.get((src, t / step), (-1, -1, -1.0)), (arrived, i, y))
     out = {}
@@ -58,6 +58,8 @@ def test_against_brute_force_across_chunks(spark):
             rows.append((src, t, rng.uniform(0, 9), i, i, "c", "b", "x"))
     same(run(spark, rows), brute(rows, 0.5))
     same(run(spark, rows, chunk_bins=7), brute(rows, 0.5))
+    same(run(spark, rows, chunk_bins=7, hot_rows=8), brute(rows, 0.5))
+    same(run(spark, rows, hot_rows=0), brute(rows, 0.5))
 
 
 def test_dirt(spark):
@@ -65,7 +67,7 @@ def test_dirt(spark):
     rows = [
         (1, 0.2, 3.0, 1, 1, "", "", ""), (1, 0.2, 5.0, 2, 2, "", "", ""), (1, 0.2, 4.0, 2, 1, "", "", ""),  # sent again: the newest counts
         (1, None, 3.0, 1, 3, "", "", ""), (1, 0.4, None, 1, 4, "", "", ""), (1, nan, 1.0, 1, 5, "", "", ""), (1, 0.4, nan, 1, 6, "", "", ""),
-        (1, -3.0, 1.0, 1, 7, "", "", ""), (1, 0.4, -1.0, 1, 8, "", "", ""), (None, 0.4, 1.0, 1, 9, "", "", ""),
+        (1, float("inf"), 1.0, 1, 11, "", "", ""), (1, -3.0, 1.0, 1, 7, "", "", ""), (1, 0.4, -1.0, 1, 8, "", "", ""), (None, 0.4, 1.0, 1, 9, "", "", ""),
         (1, 4.1, 7.0, 1, 10, "", "", ""), (1, 4.1, 7.0, 1, 10, "", "", ""),
     ]
     got = run(spark, rows)
