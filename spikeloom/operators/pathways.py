@@ -93,3 +93,55 @@ def union_area(centres: np.ndarray, radius: float = 3.0, steps: int = 400) -> fl
             area += max(0.0, b - max(a, end)) * h
             end = max(end, b)
     return float(area)
+
+
+def best_head(starts: np.ndarray, angles: np.ndarray, center: tuple[float, float] = (33.0, 33.0), radius: float = 98.0, steps: int = 60) -> tuple[float, float] | None:
+    """The point of least squared distance from all rays' lines, inside a circle; None for fewer than two lines or parallel ones.
+
+    The cost is a convex quadratic, so the free optimum is one solve, and a
+    constrained one lies on the circle, where its multiplier is found by
+    halving.
+    """
+    n = np.stack([-np.sin(np.radians(angles)), np.cos(np.radians(angles))], axis=1)
+    a = n.T @ n
+    if len(starts) < 2 or abs(np.linalg.det(a)) < 1e-9 * max(np.trace(a), 1e-12) ** 2:
+        return None
+    c = np.array(center)
+    b = n.T @ ((n * starts).sum(1) - n @ c)
+    at = lambda lam: np.linalg.solve(a + lam * np.eye(2), b)
+    p = at(0.0)
+    if np.hypot(*p) > radius:
+        lo, hi = 0.0, 1.0
+        while np.hypot(*at(hi)) > radius:
+            hi *= 2
+        for _ in range(steps):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if np.hypot(*at(mid)) > radius else (lo, mid)
+        p = at(hi)
+    return float(p[0] + c[0]), float(p[1] + c[1])
+
+
+def refined_head(starts: np.ndarray, angles: np.ndarray, keep: float = 0.8, rounds: int = 10, move: float = 0.1, **circle) -> tuple[tuple[float, float] | None, np.ndarray]:
+    """``best_head`` after dropping the worst line per round, until ``keep`` of them are left, the point rests or ``rounds`` are over; and the lines kept."""
+    use = np.ones(len(starts), bool)
+    at = best_head(starts, angles, **circle)
+    for _ in range(rounds):
+        if at is None or use.sum() - 1 < keep * len(starts):
+            break
+        n = np.stack([-np.sin(np.radians(angles)), np.cos(np.radians(angles))], axis=1)
+        miss = np.where(use, np.abs(((np.array(at) - starts) * n).sum(1)), -1.0)
+        trial = use.copy()
+        trial[int(miss.argmax())] = False
+        new = best_head(starts[trial], angles[trial], **circle)
+        if new is None:
+            break
+        rested = np.hypot(new[0] - at[0], new[1] - at[1]) < move
+        use, at = trial, new
+        if rested:
+            break
+    return at, use
+
+
+def angle_correction(dv: float, nt: float, measured: float) -> float:
+    """What turns the measured angle into that of the place in the eye, 0 to 360 degrees."""
+    return float((np.degrees(np.arctan2(dv, nt)) - measured) % 360)
