@@ -93,7 +93,7 @@ pts AS (
     least(CAST(floor(q * 20) AS BIGINT), 19) AS z
   FROM (SELECT unit_key, unnest(min(struct_pack(dsi := dsi, osi := osi, q := iprgc_2hz_QI))) FROM cells
     WHERE dsi BETWEEN 0 AND 2.5 AND osi BETWEEN 0 AND 1 AND iprgc_2hz_QI BETWEEN 0 AND 1
-      AND NOT isnan(dsi) AND NOT isnan(osi) AND NOT isnan(iprgc_2hz_QI) GROUP BY unit_key)
+      AND CAST(dsi AS VARCHAR) <> 'nan' AND CAST(osi AS VARCHAR) <> 'nan' AND CAST(iprgc_2hz_QI AS VARCHAR) <> 'nan' GROUP BY unit_key)
 ), total AS (SELECT CAST(count(*) AS DOUBLE) AS total FROM pts),
 off AS (SELECT a, b, c, power(0.5, abs(a) + abs(b) + abs(c)) AS w FROM (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS b), (SELECT unnest([-1, 0, 1]) AS c)),
 cnt AS (SELECT x, y, z, count(*) AS n FROM pts GROUP BY ALL),
