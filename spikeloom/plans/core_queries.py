@@ -64,12 +64,12 @@ def readings(spark: SparkSession, d: str) -> DataFrame:
     return t.select("course_key", "chip", "reading_id", F.col("time_bins_min").alias("t"), F.col("firing_rates").alias("r"))
 
 
-_SP = "sp AS (SELECT recording_no, unit_key, spike_times_sec AS t FROM spikes WHERE spike_times_sec >= 0 AND NOT isnan(spike_times_sec))"
-_LEN = "len AS (SELECT recording_no, max(duration_sec) AS dur FROM recordings WHERE duration_sec > 0 AND NOT isnan(duration_sec) GROUP BY ALL)"
-_UNIT = "un AS (SELECT unit_key, max(dataset_id) AS dataset_id, max(unit_id) AS unit_id, max(row) AS row, max(col) AS col, max(waveform) AS waveform, max(CASE WHEN mean_firing_rate >= 0 AND NOT isnan(mean_firing_rate) THEN mean_firing_rate END) AS rate FROM units GROUP BY unit_key)"
-_ok = lambda c, t: f"max(CASE WHEN {c} BETWEEN 0 AND {t} AND NOT isnan({c}) THEN {c} END) AS {c}"
+_SP = "sp AS (SELECT recording_no, unit_key, spike_times_sec AS t FROM spikes WHERE spike_times_sec >= 0 AND CAST(spike_times_sec AS VARCHAR) <> 'nan')"
+_LEN = "len AS (SELECT recording_no, max(duration_sec) AS dur FROM recordings WHERE duration_sec > 0 AND CAST(duration_sec AS VARCHAR) <> 'nan' GROUP BY ALL)"
+_UNIT = "un AS (SELECT unit_key, max(dataset_id) AS dataset_id, max(unit_id) AS unit_id, max(row) AS row, max(col) AS col, max(waveform) AS waveform, max(CASE WHEN mean_firing_rate >= 0 AND CAST(mean_firing_rate AS VARCHAR) <> 'nan' THEN mean_firing_rate END) AS rate FROM units GROUP BY unit_key)"
+_ok = lambda c, t: f"max(CASE WHEN {c} BETWEEN 0 AND {t} AND CAST({c} AS VARCHAR) <> 'nan' THEN {c} END) AS {c}"
 _CELL = "ce AS (SELECT unit_key, max(dataset_id) AS dataset_id, max(lower(axon_type)) AS axon_type, " + ", ".join([_ok("dsi", 2.5), _ok("osi", 1), _ok("step_up_QI", 1), _ok("iprgc_2hz_QI", 1), _ok("iprgc_20hz_QI", 1), _ok("ds_p_value", 1), _ok("preferred_direction", 360)]) + " FROM cells GROUP BY unit_key)"
-_RD = "rd AS (SELECT course_key, chip, reading_id, time_bins_min AS t, firing_rates AS r FROM time_course WHERE course_key IS NOT NULL AND time_bins_min >= 0 AND NOT isnan(time_bins_min) AND firing_rates >= 0 AND NOT isnan(firing_rates))"
+_RD = "rd AS (SELECT course_key, chip, reading_id, time_bins_min AS t, firing_rates AS r FROM time_course WHERE course_key IS NOT NULL AND time_bins_min >= 0 AND CAST(time_bins_min AS VARCHAR) <> 'nan' AND firing_rates >= 0 AND CAST(firing_rates AS VARCHAR) <> 'nan')"
 _TR = "tr AS (SELECT recording_no, i AS trial_idx, i * 60.0 AS s, i * 60.0 + 60 AS e FROM (SELECT recording_no, unnest(range(CAST(floor(dur / 60) AS BIGINT))) AS i FROM len))"
 
 
@@ -287,7 +287,7 @@ def qi_variance_ratio(spark, d):
 
 
 @query(f"""WITH {_TC}, m AS (SELECT unit_key, bin, avg(n) AS m FROM tc GROUP BY ALL), c AS (SELECT unit_key, trial, corr(n, m) AS r, var_pop(n) AS v, var_pop(m) AS w FROM tc JOIN m USING (unit_key, bin) GROUP BY ALL)
-SELECT unit_key, round(avg(CASE WHEN v > 0 AND w > 0 AND NOT isnan(r) THEN r END), 6) AS qi FROM c GROUP BY 1""")
+SELECT unit_key, round(avg(CASE WHEN v > 0 AND w > 0 AND CAST(r AS VARCHAR) <> 'nan' THEN r END), 6) AS qi FROM c GROUP BY 1""")
 def qi_pearson(spark, d):
     return quality.pearson_qi(trial_counts(spark, d), ["unit_key"], "trial", "bin", "n").select("unit_key", R("qi").alias("qi"))
 

@@ -79,7 +79,7 @@ def falling_curves(spark, d):
 _MISS = ("dsi", "osi", "preferred_direction", "ds_p_value", "step_up_QI", "iprgc_2hz_QI", "iprgc_20hz_QI")
 
 
-@query("WITH " + "l AS (" + " UNION ALL ".join(f"SELECT dataset_id, '{c}' AS \"column\", count(*) AS n, count(*) FILTER ({c} IS NULL OR isnan({c})) AS n_missing FROM cells GROUP BY 1" for c in _MISS) + ") SELECT dataset_id, \"column\", n_missing, round(100.0 * n_missing / n, 5) AS percent FROM l")
+@query("WITH " + "l AS (" + " UNION ALL ".join(f"SELECT dataset_id, '{c}' AS \"column\", count(*) AS n, count(*) FILTER ({c} IS NULL OR CAST({c} AS VARCHAR) = 'nan') AS n_missing FROM cells GROUP BY 1" for c in _MISS) + ") SELECT dataset_id, \"column\", n_missing, round(100.0 * n_missing / n, 5) AS percent FROM l")
 def missing_report(spark, d):
     got = responses.missing_report(table(spark, d, "cells"), ["dataset_id"], list(_MISS))
     return got.select("dataset_id", "column", "n_missing", R("percent", 5).alias("percent"))
@@ -113,7 +113,7 @@ def pivot_trials(spark, d):
     return wide.select("recording_no", *[F.col(str(i)).alias(f"trial_{i}") for i in range(10)])
 
 
-@query("""SELECT chip, count(*) AS n_rows, count(DISTINCT dataset_id) AS n_recordings, coalesce(bool_and(stage1_completed), false) AS all_done, round(avg(duration_sec) FILTER (duration_sec > 0 AND NOT isnan(duration_sec)), 6) AS mean_duration,
+@query("""SELECT chip, count(*) AS n_rows, count(DISTINCT dataset_id) AS n_recordings, coalesce(bool_and(stage1_completed), false) AS all_done, round(avg(duration_sec) FILTER (duration_sec > 0 AND CAST(duration_sec AS VARCHAR) <> 'nan'), 6) AS mean_duration,
 arg_min(condition_name, (loaded_at, recording_no)) FILTER (condition_name IS NOT NULL AND loaded_at IS NOT NULL) AS first_condition FROM recordings GROUP BY 1""")
 def chip_summary(spark, d):
     r = table(spark, d, "recordings")
@@ -193,7 +193,7 @@ def durations_by_direction(spark, d):
     return got.select("direction", "n", *[R(c).alias(c) for c in ("shortest", "longest", "mean", "sd")], "n_negative")
 
 
-@query("""WITH n AS (SELECT condition_name, recording_no, CAST(floor(max(duration_sec) / 60) AS BIGINT) AS k FROM recordings WHERE condition_name IS NOT NULL AND duration_sec > 0 AND NOT isnan(duration_sec) GROUP BY ALL)
+@query("""WITH n AS (SELECT condition_name, recording_no, CAST(floor(max(duration_sec) / 60) AS BIGINT) AS k FROM recordings WHERE condition_name IS NOT NULL AND duration_sec > 0 AND CAST(duration_sec AS VARCHAR) <> 'nan' GROUP BY ALL)
 SELECT condition_name, count(*) AS n_files, count(DISTINCT k) AS n_lengths, min(k) AS shortest, max(k) AS longest, count(DISTINCT k) = 1 AS consistent FROM n GROUP BY 1""")
 def length_consistency(spark, d):
     r = table(spark, d, "recordings").where(F.col("condition_name").isNotNull() & usable("duration_sec") & (F.col("duration_sec") > 0))

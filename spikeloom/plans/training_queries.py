@@ -101,9 +101,9 @@ FROM alt JOIN tags USING (path)
     "p5_found": """
 WITH r AS (
   SELECT 'rates' AS source_kind, course_key AS source_key, CAST(floor(time_bins_min / 0.5) AS BIGINT) AS bin_no
-  FROM time_course WHERE time_bins_min >= 0 AND NOT isnan(time_bins_min) AND firing_rates >= 0 AND NOT isnan(firing_rates)
+  FROM time_course WHERE time_bins_min >= 0 AND CAST(time_bins_min AS VARCHAR) <> 'nan' AND firing_rates >= 0 AND CAST(firing_rates AS VARCHAR) <> 'nan'
   UNION SELECT 'spikes', recording_no, CAST(floor(spike_times_sec / 10) AS BIGINT)
-  FROM spikes WHERE spike_times_sec >= 0 AND NOT isnan(spike_times_sec)
+  FROM spikes WHERE spike_times_sec >= 0 AND CAST(spike_times_sec AS VARCHAR) <> 'nan'
 ), s AS (SELECT source_kind, source_key, min(bin_no) AS lo, max(bin_no) AS hi FROM r WHERE source_key IS NOT NULL GROUP BY ALL)
 SELECT source_kind, source_key, bin_no FROM (SELECT source_kind, source_key, unnest(range(lo, hi + 1)) AS bin_no FROM s)
 EXCEPT SELECT source_kind, source_key, bin_no FROM r
@@ -112,12 +112,12 @@ EXCEPT SELECT source_kind, source_key, bin_no FROM r
 WITH once AS (
   SELECT 'rates' AS source_kind, course_key AS source_key, time_bins_min / 0.5 AS x,
     arg_max(firing_rates, (arrived_at, reading_id)) AS y
-  FROM time_course WHERE course_key IS NOT NULL AND time_bins_min >= 0 AND NOT isnan(time_bins_min) AND firing_rates >= 0 AND NOT isnan(firing_rates)
+  FROM time_course WHERE course_key IS NOT NULL AND time_bins_min >= 0 AND CAST(time_bins_min AS VARCHAR) <> 'nan' AND firing_rates >= 0 AND CAST(firing_rates AS VARCHAR) <> 'nan'
   GROUP BY ALL
 ), counted AS (
   SELECT 'spikes' AS source_kind, recording_no AS source_key, floor(spike_times_sec / 10) + 0.5 AS x,
     count(DISTINCT (unit_key, spike_times_sec)) / 10.0 AS y
-  FROM spikes WHERE recording_no IS NOT NULL AND spike_times_sec >= 0 AND NOT isnan(spike_times_sec) GROUP BY ALL
+  FROM spikes WHERE recording_no IS NOT NULL AND spike_times_sec >= 0 AND CAST(spike_times_sec AS VARCHAR) <> 'nan' GROUP BY ALL
 ), r AS (SELECT *, CAST(floor(x) AS BIGINT) AS b FROM (SELECT * FROM once UNION ALL SELECT * FROM counted)),
 s AS (SELECT source_kind, source_key, min(b) AS lo, max(b) AS hi FROM r GROUP BY ALL),
 g AS (SELECT source_kind, source_key, unnest(range(lo, hi + 1)) AS bin_no FROM s),
