@@ -175,6 +175,15 @@ def principal_components(df: DataFrame, vector: str, k: int) -> tuple[np.ndarray
     return m, comp, np.maximum(val[order], 0) / max(val.sum(), 1e-300)
 
 
+def hard_sparse(components: np.ndarray, k: int) -> np.ndarray:
+    """Each component with only its ``k`` greatest weights, to length 1; a component of zeros stays."""
+    keep = np.argsort(-np.abs(components), axis=1, kind="stable")[:, :k]
+    out = np.zeros_like(components)
+    np.put_along_axis(out, keep, np.take_along_axis(components, keep, 1), 1)
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(norm > 0, norm, 1)
+
+
 def project(vector: Column, mean: np.ndarray, components: np.ndarray) -> Column:
     """The coordinates of a vector on components, in the JVM."""
     centre = F.array(*[F.lit(float(x)) for x in mean])

@@ -43,6 +43,12 @@ def purity(df: DataFrame, cluster: str, label: str) -> DataFrame:
     return w.join(first, cluster).select(cluster, "n", "top_label", (F.col("top") / F.col("n")).alias("purity"))
 
 
+def binary_purity(df: DataFrame, by: list[str], cluster: str, label: Column) -> DataFrame:
+    """``by, n, purity``: the larger side of a yes-or-no label summed over clusters, over all rows; what clustering without that label keeps of it."""
+    c = df.withColumn("_y", label).where("_y IS NOT NULL").groupBy(*by, cluster).agg(F.count_if("_y").alias("p"), F.count("*").alias("k"))
+    return c.groupBy(*by).agg(F.sum("k").alias("n"), (F.sum(F.greatest(F.col("p"), F.col("k") - F.col("p"))) / F.sum("k")).alias("purity"))
+
+
 def enrichment(df: DataFrame, cluster: str, positive: Column, top: int = 3) -> DataFrame:
     """``cluster, n, n_positive, fraction, enrichment, purity, rank`` of the ``top`` clusters by enrichment; ties by cluster."""
     per = df.groupBy(cluster).agg(F.count("*").alias("n"), F.count_if(positive).alias("n_positive"))

@@ -38,31 +38,16 @@ def add_partials(parts: DataFrame, by: list[str]) -> DataFrame:
     return parts.groupBy(*by).agg(F.sum("total").alias("total"), F.sum("n").alias("n")).withColumn("average", F.when(F.col("n") > 0, F.col("total") / F.col("n")))
 
 
-def gaussian_rf(cube: np.ndarray, steps: int = 60) -> dict[str, float] | None:
-    """A rotated Gaussian fitted to the map of peak minus trough over time, by damped least squares; None without contrast."""
-    img = cube.max(0) - cube.min(0)
-    h, w = img.shape
-    if not np.isfinite(img).all() or np.ptp(img) <= 0:
-        return None
-    yy, xx = np.mgrid[:h, :w]
-    y0, x0 = np.unravel_index(int(img.argmax()), img.shape)
-    base = float(np.median(img))
-    p = np.array([img.max() - base, x0, y0, max(1.0, w / 8), max(1.0, h / 8), 0.0, base])
-
-    def model(q: np.ndarray) -> np.ndarray:
-        a, cx, cy, sx, sy, th, off = q
-        u, v = (xx - cx) * np.cos(th) + (yy - cy) * np.sin(th), -(xx - cx) * np.sin(th) + (yy - cy) * np.cos(th)
-        return (a * np.exp(-0.5 * ((u / sx) ** 2 + (v / sy) ** 2)) + off).ravel()
-
-    target, lam = img.ravel(), 1e-2
+def _least_squares(model, start: np.ndarray, low: np.ndarray, high: np.ndarray, target: np.ndarray, steps: int = 80) -> tuple[np.ndarray, float]:
+    """Damped least squares with parameters clipped to their bounds; the parameters and R2."""
+    p, lam = np.clip(start, low, high), 1e-2
     err = ((model(p) - target) ** 2).sum()
     for _ in range(steps):
         r = target - model(p)
-        jac = np.stack([(model(p + d) - model(p - d)) / 2e-4 for d in np.eye(7) * 1e-4], axis=1)
+        jac = np.stack([(model(p + d) - model(p - d)) / 2e-4 for d in np.eye(len(p)) * 1e-4], axis=1)
         hess = jac.T @ jac
         step = np.linalg.lstsq(hess + lam * np.diag(np.diag(hess) + 1e-9), jac.T @ r, rcond=None)[0]
-        q = p + step
-        q[3:5] = np.clip(np.abs(q[3:5]), 0.3, max(h, w))
+        q = np.clip(p + step, low, high)
         new = ((model(q) - target) ** 2).sum()
         if new < err:
             done = err - new < 1e-12 * (1 + err)
@@ -71,9 +56,58 @@ def gaussian_rf(cube: np.ndarray, steps: int = 60) -> dict[str, float] | None:
                 break
         else:
             lam *= 4
+            if lam > 1e12:
+                break
     total = ((target - target.mean()) ** 2).sum()
-    names = ("amplitude", "center_x", "center_y", "sigma_x", "sigma_y", "theta", "offset")
-    return dict(zip(names, map(float, p))) | {"r_squared": float(1 - err / total)}
+    return p, float(1 - err / total) if total > 0 else 0.0
+
+
+def gaussian_rf(cube: np.ndarray) -> dict[str, float] | None:
+    """A rotated Gaussian fitted to the map of peak minus trough over time; None without contrast."""
+    img = cube.max(0) - cube.min(0)
+    h, w = img.shape
+    if not np.isfinite(img).all() or np.ptp(img) <= 0:
+        return None
+    yy, xx = np.mgrid[:h, :w]
+    y0, x0 = np.unravel_index(int(img.argmax()), img.shape)
+    base = float(np.median(img))
+
+    def model(q: np.ndarray) -> np.ndarray:
+        a, cx, cy, sx, sy, th, off = q
+        u, v = (xx - cx) * np.cos(th) + (yy - cy) * np.sin(th), -(xx - cx) * np.sin(th) + (yy - cy) * np.cos(th)
+        return (a * np.exp(-0.5 * ((u / sx) ** 2 + (v / sy) ** 2)) + off).ravel()
+
+    big = 10 * float(np.abs(img).max()) + 1
+    start = np.array([img.max() - base, x0, y0, max(1.0, w / 8), max(1.0, h / 8), 0.0, base])
+    p, r2 = _least_squares(model, start, np.array([-big, -w, -h, 0.3, 0.3, -np.pi, -big]), np.array([big, 2 * w, 2 * h, max(h, w), max(h, w), np.pi, big]), img.ravel())
+    return dict(zip(("amplitude", "center_x", "center_y", "sigma_x", "sigma_y", "theta", "offset"), map(float, p))) | {"r_squared": r2}
+
+
+def center_surround(diff: np.ndarray, around: tuple[int, int]) -> dict[str, float] | None:
+    """A narrow Gaussian minus a wide one, both around a place near ``around`` (row, column).
+
+    Amplitudes are at least 0, the widths 0.3 to 7.5 and 0.5 to 7.5, the
+    centre within five pixels. None without contrast.
+    """
+    if not np.isfinite(diff).all() or np.ptp(diff) <= 0:
+        return None
+    yy, xx = np.mgrid[: diff.shape[0], : diff.shape[1]]
+
+    def model(q: np.ndarray) -> np.ndarray:
+        a, sa, b, sb, cx, cy, off = q
+        d2 = (xx - cx) ** 2 + (yy - cy) ** 2
+        return (a * np.exp(-0.5 * d2 / sa**2) - b * np.exp(-0.5 * d2 / sb**2) + off).ravel()
+
+    top = float(np.abs(diff).max())
+    r, c = around
+    p, r2 = _least_squares(model, np.array([top, 1.5, top / 4, 3.0, c, r, 0.0]), np.array([0, 0.3, 0, 0.5, c - 5, r - 5, -top]), np.array([20 * top, 7.5, 20 * top, 7.5, c + 5, r + 5, top]), diff.ravel().astype(float))
+    return dict(zip(("amp_center", "sigma_center", "amp_surround", "sigma_surround", "center_x", "center_y", "offset"), map(float, p))) | {"r_squared": r2}
+
+
+def on_off_fields(diff: np.ndarray, around: tuple[int, int]) -> dict[str, dict[str, float] | None]:
+    """``center_surround`` of the positive and of the negated negative part; None for a part that isn't there."""
+    parts = {"on": np.maximum(diff, 0), "off": np.maximum(-diff, 0)}
+    return {k: center_surround(v, around) if v.max() > 0 else None for k, v in parts.items()}
 
 
 def generator_signal(stimulus: np.ndarray, sta: np.ndarray) -> np.ndarray:
@@ -93,6 +127,15 @@ def nonlinearity(g: np.ndarray, spikes: np.ndarray, bins: int = 50) -> tuple[np.
         return (edges[:-1] + edges[1:]) / 2, np.where(n > 0, s / n, np.nan)
 
 
+def bits_per_spike(g: np.ndarray, spikes: np.ndarray, a: float, b: float) -> float:
+    """What the fitted rate tells over the mean rate, in bits per spike; 0 without spikes."""
+    n = float(spikes.sum())
+    if n == 0:
+        return 0.0
+    rate, mean = np.exp(np.clip(a + b * g, -30, 30)), float(spikes.mean())
+    return float(((spikes * np.log(rate / mean)).sum() - (rate - mean).sum()) / n / np.log(2))
+
+
 def poisson_exponential(g: np.ndarray, spikes: np.ndarray, steps: int = 50) -> tuple[float, float]:
     """Maximum likelihood of ``rate = exp(a + b g)``, by Newton steps."""
     a, b = float(np.log(max(spikes.mean(), 1e-9))), 0.0

@@ -535,14 +535,14 @@ def trace_block_mean(spark, d):
 
 
 @query(f"""WITH {_W} SELECT unit_key, round(list_avg(w[1:10]), 6) AS base, round(CASE WHEN abs(list_min(w[11:30])) > abs(list_max(w[11:30])) THEN list_min(w[11:30]) ELSE list_max(w[11:30]) END, 6) AS extreme,
-list_position(w, list_min(w)) - 1 AS trough, round(list_median(w[1:10]), 6) AS base_median FROM wv""")
+CAST(list_position(w, list_min(w)) - 1 AS BIGINT) AS trough, round(list_median(w[1:10]), 6) AS base_median FROM wv""")
 def trace_slice_features(spark, d):
     w = F.col("w")
     return waves(spark, d).select("unit_key", R(A.mean(A.window(w, 0, 10))).alias("base"), R(A.extreme(A.window(w, 10, 30))).alias("extreme"), A.argmin(w).alias("trough"), R(A.median_first(w, 10)).alias("base_median"))
 
 
 @query(f"""WITH {_W}, a AS (SELECT unit_key, w, list_position(w, list_min(w)) AS lo FROM wv), b AS (SELECT *, lo + list_position(w[lo:], list_max(w[lo:])) - 1 AS hi FROM a)
-SELECT unit_key, lo - 1 AS trough, hi - 1 AS peak, round((hi - lo) * 1000.0 / 20000.0, 6) AS width_ms, round(w[hi] - w[lo], 6) AS amplitude FROM b""")
+SELECT unit_key, CAST(lo - 1 AS BIGINT) AS trough, CAST(hi - 1 AS BIGINT) AS peak, round((hi - lo) * 1000.0 / 20000.0, 6) AS width_ms, round(w[hi] - w[lo], 6) AS amplitude FROM b""")
 def waveform_shape(spark, d):
     f = waves(spark, d).select("unit_key", features.waveform_features(F.col("w")).alias("f"))
     return f.select("unit_key", F.col("f.trough").cast("long").alias("trough"), F.col("f.peak").cast("long").alias("peak"), R("f.width_ms").alias("width_ms"), R("f.amplitude").alias("amplitude"))

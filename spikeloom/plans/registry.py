@@ -8,7 +8,7 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
@@ -108,3 +108,14 @@ class Session:
     def save(self, path: str, overwrite: bool = False) -> None:
         for n, df in self.tables.items():
             df.write.mode("overwrite" if overwrite else "errorifexists").parquet(f"{path}/{n}")
+        if self.tables:
+            spark = next(iter(self.tables.values())).sparkSession
+            rows = [("table", i, n) for i, n in enumerate(self.tables)] + [("step", i, n) for i, n in enumerate(self.steps)] + [("warning", i, n) for i, n in enumerate(self.warnings)]
+            spark.createDataFrame(rows, "kind string, i int, name string").coalesce(1).write.mode("overwrite" if overwrite else "errorifexists").parquet(f"{path}/_ledger")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, tables: list[str] | None = None) -> Session:
+        """A saved session, its tables lazy; ``tables`` picks some of them."""
+        rows = sorted(spark.read.parquet(f"{path}/_ledger").collect(), key=lambda r: r.i)
+        names = [r.name for r in rows if r.kind == "table" and (tables is None or r.name in tables)]
+        return cls({n: spark.read.parquet(f"{path}/{n}") for n in names}, [r.name for r in rows if r.kind == "step"], [r.name for r in rows if r.kind == "warning"])

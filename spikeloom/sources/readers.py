@@ -67,6 +67,17 @@ def files(spark: SparkSession, path: str, all_of: list[str] | None = None, none_
     return listed.where((F.col("length") >= min_bytes) & has_words(name, all_of or [], none_of or []))
 
 
+def tabs(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """Exported sheets (tab name to CSV path) as one table of text: columns by name, absent ones NULL, the tab in ``tab``."""
+    out = None
+    for name, path in paths.items():
+        one = spark.read.csv(path, header=True, quote='"', escape='"').withColumn("tab", F.lit(name))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no tabs")
+    return out
+
+
 def parquet_info(path: str) -> dict:
     """Rows, columns and key-value metadata of a Parquet file's footer."""
     import pyarrow.parquet as pq

@@ -152,6 +152,12 @@ def test_sta_known_answers(spark):
     y, x = np.mgrid[:15, :15]
     rf = sta.gaussian_rf(np.stack([np.zeros((15, 15)), 4 * np.exp(-((x - 8) ** 2) / 8 - (y - 6) ** 2 / 4.5)]))
     assert rf["center_x"] == pytest.approx(8, abs=0.1) and rf["center_y"] == pytest.approx(6, abs=0.1) and rf["r_squared"] > 0.99
+    d2 = (x - 8) ** 2 + (y - 6) ** 2
+    cs = sta.center_surround(5 * np.exp(-d2 / 4.5) - 2 * np.exp(-d2 / 32.0), (7, 7))
+    assert cs["r_squared"] > 0.99 and cs["center_x"] == pytest.approx(8, abs=0.05) and cs["center_y"] == pytest.approx(6, abs=0.05)
+    both = sta.on_off_fields(np.exp(-d2 / 4.5), (6, 8))
+    assert both["off"] is None and both["on"]["r_squared"] > 0.99
     g = np.random.default_rng(0).normal(size=4000)
     a, b = sta.poisson_exponential(g, np.random.default_rng(1).poisson(np.exp(0.3 + 0.5 * g)))
     assert (a, b) == (pytest.approx(0.3, abs=0.1), pytest.approx(0.5, abs=0.1))
+    assert sta.bits_per_spike(g, np.random.default_rng(1).poisson(np.exp(0.3 + 0.5 * g)), a, b) > 0.05

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spikeloom.operators import clusters, pathways, rates, timeline
+from spikeloom.operators import clusters, pathways, population, rates, timeline
 from spikeloom.plans.registry import Registry, Session, config_hash
 from spikeloom.session import cut
 from spikeloom.sources import readers, writers
@@ -62,6 +62,14 @@ def test_clusters(spark):
     assert (z.m, z.s) == (pytest.approx(0, abs=1e-9), pytest.approx(1))
 
 
+def test_sparse_components_and_omitted_label(spark):
+    got = clusters.hard_sparse(np.array([[3.0, -4.0, 1.0], [0.0, 0.0, 0.0]]), 2)
+    assert got.tolist() == [[0.6, -0.8, 0.0], [0.0, 0.0, 0.0]]
+    df = spark.createDataFrame([("g", 0, True), ("g", 0, False), ("g", 0, True), ("g", 1, False), ("g", 1, None)], "g string, c int, y boolean")
+    r = population.binary_purity(df, ["g"], "c", F.col("y")).first()
+    assert (r.n, r.purity) == (4, 0.75)
+
+
 def test_pathways(spark):
     pts = spark.createDataFrame([("g", k, float(i), (k - 1.5) * (i - 33) + 20) for k in range(4) for i in range(12)], "g string, k int, x double, y double")
     lines = pathways.fitted_lines(pts, ["g", "k"], "x", "y")
@@ -77,6 +85,9 @@ def test_pathways(spark):
 def test_readers(spark, tmp_path):
     (tmp_path / "playlist.csv").write_text('playlist_name,movie_names\nt,"[\'a.mov\', \'b.mov\']"\n')
     assert [(r.position, r.movie_name) for r in readers.playlist(spark, str(tmp_path / "playlist.csv")).collect()] == [(0, "a"), (1, "b")]
+    (tmp_path / "x.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "y.csv").write_text("b,c\n3,4\n")
+    assert sorted((r.tab, r.a, r.b, r.c) for r in readers.tabs(spark, {"x": str(tmp_path / "x.csv"), "y": str(tmp_path / "y.csv")}).collect()) == [("x", "1", "2", None), ("y", None, "3", "4")]
     d = tmp_path / "stimuli"
     d.mkdir()
     (d / "good.json").write_text(json.dumps({"name": "good", "section_kwargs": {"start_frame": 0, "trial_length_frame": 5, "repeat": 1}}, indent=1))
@@ -132,6 +143,9 @@ def test_registry_and_session(spark, tmp_path):
     assert s.step("features", lambda x: x.extract(reg, ["rate"])) and not s.step("features", lambda x: None)
     s.save(str(tmp_path / "out"))
     assert sorted((r.k, r.r) for r in spark.read.parquet(str(tmp_path / "out/feature_rate")).collect()) == [(1, 3.0), (2, 4.0)]
+    back = Session.load(spark, str(tmp_path / "out"))
+    assert back.steps == ["features"] and back.warnings == s.warnings and set(back.tables) == {"units", "feature_rate"}
+    assert set(Session.load(spark, str(tmp_path / "out"), ["units"]).tables) == {"units"}
     assert config_hash({"b": 1, "a": 2}) == config_hash({"a": 2, "b": 1}) and reg.names() == ["rate"] and "rate" in reg
 
 
