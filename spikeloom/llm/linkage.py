@@ -105,7 +105,8 @@ def candidates(left: DataFrame, right: DataFrame, reach: int = 6) -> DataFrame:
     """Pairs of one recording whose known coordinates differ by ``reach`` at most: ``lkey, rkey``.
 
     A block is (recording, row cell, column cell) with cells ``reach`` wide;
-    left rows enter their own cell and its neighbours. Where a coordinate is
+    right rows, of which there are fewer, enter their own cell and its
+    neighbours, left rows their own. Where a coordinate is
     missing on either side, the block is a band of the other one, and without
     any, a class of rate or of shape. So a crowded recording divides into its
     cells.
@@ -146,7 +147,7 @@ def candidates(left: DataFrame, right: DataFrame, reach: int = 6) -> DataFrame:
 
     # Right rows that lack a coordinate meet all left rows of the band; left rows that lack one meet all right rows.
     lacking_left = left.where("row IS NULL OR col IS NULL")
-    return met(blocks(left, True, False), blocks(right, False, True)).unionAll(met(blocks(lacking_left, True, True), blocks(right, False, False))).distinct()
+    return met(blocks(left, False, False), blocks(right, True, True)).unionAll(met(blocks(lacking_left, True, True), blocks(right, False, False))).distinct()
 
 
 @dataclass
@@ -233,7 +234,8 @@ def link(left: DataFrame, right: DataFrame, reach: int = 6) -> DataFrame:
     field get no say: with all dimensions missing their odds are the prior's.
     Empty tables give an empty result.
     """
-    le, ri = cut(left, "left"), cut(right, "right")
+    ri = cut(right, "right")
+    le = cut(left.join(ri.select("rec").distinct(), "rec", "left_semi"), "left")  # other recordings have no partner
     pairs = candidates(le, ri, reach)
     a = le.select(F.col("key").alias("lkey"), F.col("row").alias("lrow"), F.col("col").alias("lcol"), F.col("shape").alias("lshape"), F.col("lograte").alias("lrate"))
     b = ri.select(F.col("key").alias("rkey"), F.col("row").alias("rrow"), F.col("col").alias("rcol"), F.col("shape").alias("rshape"), F.col("lograte").alias("rrate"))
