@@ -89,14 +89,19 @@ def _shape_class(shape: Column, n: int = 3) -> Column:
     return F.when(shape.isNotNull(), code)
 
 
-def prepared(df: DataFrame, key: str, recording: str, row: str, col: str, waveform: str, rate: str) -> DataFrame:
-    """One row per key: ``key, rec, row, col, shape, lograte``. Unusable fields become NULL; rows without key or recording go."""
+def prepared(df: DataFrame, key: str, recording: str, row: str, col: str, waveform: str, rate: str, within: DataFrame | None = None) -> DataFrame:
+    """One row per key: ``key, rec, row, col, shape, lograte``. Unusable fields become NULL; rows without key or recording go.
+
+    ``within`` keeps rows of the recordings (``rec``) it holds, before anything is shuffled.
+    """
     one = df.select(
         F.col(key).cast("long").alias("key"), recording_key(recording).alias("rec"),
         F.when(F.col(row) >= 0, F.col(row)).cast("int").alias("row"), F.when(F.col(col) >= 0, F.col(col)).cast("int").alias("col"),
         F.when(F.size(waveform) > 0, F.col(waveform).cast("array<float>")).alias("waveform"),
         F.when(usable(rate) & (F.col(rate) > 0), F.col(rate).cast("double")).alias("rate"),
     ).where("key IS NOT NULL AND rec IS NOT NULL")
+    if within is not None:
+        one = one.join(within.select("rec").distinct(), "rec", "left_semi")
     one = one.groupBy("key").agg(*[F.max(c).alias(c) for c in ("rec", "row", "col", "waveform", "rate")])
     return one.select("key", "rec", "row", "col", aligned("waveform").alias("shape"), F.log("rate").alias("lograte"))
 

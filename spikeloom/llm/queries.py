@@ -12,7 +12,7 @@ from spikeloom.llm.leaks import leaks
 from spikeloom.llm.linkage import link, prepared
 from spikeloom.llm.mixing import mix, shares
 from spikeloom.llm.textshape import text_statistics
-from spikeloom.session import table
+from spikeloom.session import cut, table
 
 # -- 2: groups of linked units ---------------------------------------------------------------------------------------
 
@@ -44,8 +44,8 @@ def p2_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_scores(spark: SparkSession, d: str) -> DataFrame:
-    left = prepared(table(spark, d, "units"), "unit_key", "dataset_id", "row", "col", "waveform", "mean_firing_rate")
-    right = prepared(table(spark, d, "resorted_units"), "resort_key", "file_name", "row", "col", "waveform", "mean_firing_rate")
+    right = cut(prepared(table(spark, d, "resorted_units"), "resort_key", "file_name", "row", "col", "waveform", "mean_firing_rate"), "right")
+    left = prepared(table(spark, d, "units"), "unit_key", "dataset_id", "row", "col", "waveform", "mean_firing_rate", within=right)
     return link(left, right).withColumnsRenamed({"lkey": "unit_key", "rkey": "resort_key"})
 
 
