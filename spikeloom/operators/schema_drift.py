@@ -1,6 +1,6 @@
 """Schemas that drift between files: tagged-union inference over JSON documents.
 
-Each document is parsed once into a variant and laid out as tagged members: a
+Each document is parsed into a variant and laid out as tagged members: a
 member carries its path, a type tag and its canonical text. From the members
 come
 
@@ -34,14 +34,9 @@ def tagged_members(df: DataFrame, raw: str, out: str = "members") -> DataFrame:
     written with a point or an exponent are decimal, other numbers integer.
     ``text`` is the value as JSON with sorted keys and without layout.
     """
-    taken = set(df.columns)
-    tmp = "_v"
-    while tmp in taken:
-        tmp += "_"
-    # The brackets make the parser reject anything behind the document.
-    parsed = df.withColumn(tmp, F.try_parse_json(F.concat(F.lit("["), F.col(raw), F.lit("]"))))
-    parsed = parsed.withColumn(tmp, F.expr(f"try_cast(`{tmp}` AS ARRAY<VARIANT>)"))
-    parsed = parsed.withColumn(tmp, F.expr(f"CASE WHEN size(`{tmp}`) = 1 THEN `{tmp}`[0] END"))
+    # The brackets make the parser reject anything behind the document. Each level is a lambda's argument, so it is computed once.
+    tmp = "doc"
+    parsed = f"try_cast(try_parse_json(concat('[', `{raw}`, ']')) AS ARRAY<VARIANT>)"
     members = f"""
       transform(filter(flatten(transform(
         coalesce(map_entries(try_cast(`{tmp}` AS MAP<STRING, VARIANT>)), array()),
@@ -62,21 +57,22 @@ def tagged_members(df: DataFrame, raw: str, out: str = "members") -> DataFrame:
             ELSE 'object' END,
           'text', to_json(f.value)))
     """
-    got = parsed.withColumn(out, F.expr(f"CASE WHEN `{tmp}` IS NOT NULL THEN {members} END"))
-    return got.drop(tmp)
+    return df.withColumn(out, F.expr(f"get(transform(filter(array({parsed}), a -> size(a) = 1), a -> get(transform(a, {tmp} -> {members}), 0)), 0)"))
 
 
 def documents_of(df: DataFrame, key: str, series: tuple[str, ...], at: str, raw: str) -> DataFrame:
-    """One row per document: ``doc_key, s0.., at, members``.
+    """One row per document: ``doc_key, s0.., at, raw``.
 
     Rows whose ``raw`` isn't valid JSON are left out. Rows of one series and
     time are one document, named by its smallest key, whose text it takes.
-    NULLs in series columns are values like others.
+    NULLs in series columns are values like others. What moves between tasks is
+    the text itself, which is smaller than its members; it is parsed where it
+    is used.
     """
     rows = df.select(F.col(key).alias("doc_key"), *[F.col(c).alias(f"s{i}") for i, c in enumerate(series)], F.col(at).alias("at"), F.col(raw).alias("raw"))
-    tagged = tagged_members(rows, "raw").where("members IS NOT NULL").drop("raw")
+    valid = rows.where("size(try_cast(try_parse_json(concat('[', raw, ']')) AS ARRAY<VARIANT>)) = 1")
     by = [f"s{i}" for i in range(len(series))] + ["at"]
-    return tagged.groupBy(*by).agg(F.min("doc_key").alias("doc_key"), F.min_by("members", "doc_key").alias("members"))
+    return valid.groupBy(*by).agg(F.min("doc_key").alias("doc_key"), F.min_by("raw", "doc_key").alias("raw"))
 
 
 def fuse(docs: DataFrame, n_series: int) -> DataFrame:
@@ -86,7 +82,7 @@ def fuse(docs: DataFrame, n_series: int) -> DataFrame:
     ``canonical`` is the type all alternatives of the path convert to: the
     type itself, decimal for integer and decimal, else text.
     """
-    members = docs.select("at", F.explode("members").alias("m")).select("at", "m.path", "m.tag")
+    members = tagged_members(docs, "raw").select("at", F.explode("members").alias("m")).select("at", "m.path", "m.tag")
     alt = members.groupBy("path", "tag").agg(F.count("*").alias("n_documents"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
     tags = alt.groupBy("path").agg(F.sort_array(F.collect_set("tag")).alias("tags"))  # at most len(TAGS) per path
     numeric = F.size(F.array_except("tags", F.array(F.lit("integer"), F.lit("decimal")))) == 0
@@ -100,7 +96,7 @@ def typed_branches(docs: DataFrame, schema: DataFrame) -> DataFrame:
     ``doc_key, path, tag, as_integer, as_decimal, as_text, as_boolean,
     as_json, canonical, canonical_value``. A value lands in exactly one branch.
     """
-    m = docs.select("doc_key", F.explode("members").alias("m")).select("doc_key", "m.path", "m.tag", "m.text")
+    m = tagged_members(docs, "raw").select("doc_key", F.explode("members").alias("m")).select("doc_key", "m.path", "m.tag", "m.text")
     plain = F.from_json(F.concat(F.lit('{"x":'), F.col("text"), F.lit("}")), "x string")["x"]
     per_path = schema.select("path", "canonical").distinct()
     value = F.when(F.col("tag") == "text", plain).otherwise(F.col("text"))
@@ -133,14 +129,15 @@ def changes(docs: DataFrame, n_series: int, bucket: str = "month") -> DataFrame:
     keys = [f"s{i}" for i in range(n_series)]
     rows = docs.where("at IS NOT NULL").withColumn("bucket", F.date_trunc(bucket, F.col("at").cast("timestamp")).cast("long"))
     inside = Window.partitionBy(*keys, "bucket").orderBy("at")
-    here = rows.withColumn("before", F.lag("members").over(inside))
-    tails = rows.groupBy(*keys, "bucket").agg(F.max_by("members", "at").alias("tail"))
+    here = rows.withColumn("before", F.lag("raw").over(inside))
+    tails = rows.groupBy(*keys, "bucket").agg(F.max_by("raw", "at").alias("tail"))
     tails = tails.withColumn("tail", F.lag("tail").over(Window.partitionBy(*keys).orderBy("bucket"))).where("tail IS NOT NULL")
     same = [here[k].eqNullSafe(tails[k]) for k in keys] + [here["bucket"] == tails["bucket"]]
     on = same[0]
     for c in same[1:]:
         on = on & c
-    pairs = here.join(tails, on, "left").select(here["doc_key"], F.coalesce(here["before"], tails["tail"]).alias("old"), here["members"].alias("new")).where("old IS NOT NULL")
+    pairs = here.join(tails, on, "left").select(here["doc_key"], F.coalesce(here["before"], tails["tail"]).alias("was"), here["raw"].alias("is")).where("was IS NOT NULL")
+    pairs = tagged_members(tagged_members(pairs, "was", "old"), "is", "new").select("doc_key", "old", "new")
     report = """
       with_gone -> concat(
         transform(filter(with_gone.old, p -> exists(with_gone.new, c -> c.name = p.name AND c.obj <=> p.obj AND c.tag <> p.tag)),
@@ -154,13 +151,13 @@ def changes(docs: DataFrame, n_series: int, bucket: str = "month") -> DataFrame:
             AND size(filter(with_gone.gone, c -> c.obj <=> p.obj AND c.tag = p.tag AND c.text = p.text)) = 1)),
           p -> named_struct('field_path', p.path, 'change', 'added')))
     """
-    gone = "filter(old, p -> NOT exists(new, c -> c.name = p.name AND c.obj <=> p.obj))"
-    come = "filter(new, p -> NOT exists(old, c -> c.name = p.name AND c.obj <=> p.obj))"
-    found = pairs.select("doc_key", F.expr(f"array(named_struct('old', old, 'new', new, 'gone', {gone}, 'come', {come}))").alias("sides"))
-    found = found.select("doc_key", F.expr(f"transform(sides, {report})[0]").alias("report"))
+    gone = "filter(s.old, p -> NOT exists(s.new, c -> c.name = p.name AND c.obj <=> p.obj))"
+    come = "filter(s.new, p -> NOT exists(s.old, c -> c.name = p.name AND c.obj <=> p.obj))"
+    both = f"transform(array(named_struct('old', old, 'new', new)), s -> named_struct('old', s.old, 'new', s.new, 'gone', {gone}, 'come', {come}))"
+    found = pairs.select("doc_key", F.expr(f"transform({both}, {report})[0]").alias("report"))
     return found.select("doc_key", F.explode("report").alias("c")).select("doc_key", "c.field_path", "c.change")
 
 
 def snapshot_documents(snapshots: DataFrame) -> DataFrame:
-    """The documents of a stimulus snapshot table, parsed once and cut."""
+    """The documents of a stimulus snapshot table, cut."""
     return cut(documents_of(snapshots, "snapshot_id", ("rig", "movie"), "exported_at", "raw"), "drift")
