@@ -1,8 +1,8 @@
 """Matching entities across sources without keys: regularised Gaussian mixtures under a transitivity constraint.
 
 1. Candidates share a recording and a neighbourhood. Rows with both
-   coordinates meet in cells of the array, rows with one of them in bands,
-   rows with none in classes of rate and of waveform shape.
+   coordinates meet in cells of the array, rows with one of them in bands.
+   Rows whose known coordinates have none in common meet all over the recording.
 2. Each candidate pair gets a vector of similarities. Shapes are aligned at
    their peak, made free of scale and polarity, and compared over small shifts,
    so each source may write them in its own units. Missing fields leave their
@@ -80,15 +80,6 @@ aligned = F.pandas_udf(_aligned, T.ArrayType(T.FloatType()))
 alike = F.pandas_udf(_alike, T.DoubleType())
 
 
-def _shape_class(shape: Column, n: int = 3) -> Column:
-    """A coarse class of a waveform's form, from the signs of its samples around the peak."""
-    at = [HALF + SHIFT + o for o in (-6, 4, 7)][:n]
-    code = F.lit(0)
-    for k, i in enumerate(at):
-        code = code + F.when(F.element_at(shape, i + 1) > 0.1, 2**k).otherwise(0)
-    return F.when(shape.isNotNull(), code)
-
-
 def prepared(df: DataFrame, key: str, recording: str, row: str, col: str, waveform: str, rate: str, within: DataFrame | None = None) -> DataFrame:
     """One row per key: ``key, rec, row, col, shape, lograte``. Unusable fields become NULL; rows without key or recording go.
 
@@ -106,21 +97,45 @@ def prepared(df: DataFrame, key: str, recording: str, row: str, col: str, wavefo
     return one.select("key", "rec", "row", "col", aligned("waveform").alias("shape"), F.log("rate").alias("lograte"))
 
 
-def candidates(left: DataFrame, right: DataFrame, reach: int = 6) -> DataFrame:
+def _apart(left: DataFrame, right: DataFrame, chunk: int) -> DataFrame:
+    """Pairs of one recording that know no coordinate in common but share a shape or a rate: ``lkey, rkey``, each once.
+
+    Rows of one side meet those of the other in blocks of about ``chunk`` by
+    ``chunk`` rows, however many a recording has.
+    """
+    row, col = F.col("row").isNotNull(), F.col("col").isNotNull()
+    bare, one_row, one_col = F.lit("bare"), F.lit("row"), F.lit("col")  # what the left (bare: the right) row knows
+    lmarks = F.when(row & col, F.array(bare)).when(row, F.array(bare, one_row)).when(col, F.array(bare, one_col)).otherwise(F.array(bare, F.lit("any")))
+    rmarks = F.when(row & col, F.array(F.lit("any"))).when(row, F.array(F.lit("any"), one_col)).when(col, F.array(F.lit("any"), one_row)).otherwise(F.array(bare))
+
+    def marked(df: DataFrame, side: str, marks: Column) -> DataFrame:
+        some = df.where("shape IS NOT NULL OR lograte IS NOT NULL")
+        return some.select("rec", F.explode(marks).alias("mark"), F.col("key").alias(f"{side}key"), F.col("shape").isNotNull().alias(f"{side}s"), F.col("lograte").isNotNull().alias(f"{side}f"))
+
+    a, b = marked(left, "l", lmarks), marked(right, "r", rmarks)
+    n = lambda df, side: df.groupBy("rec", "mark").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias(f"n{side}"))
+    sizes = n(a, "l").join(n(b, "r"), ["rec", "mark"])
+    own = lambda side: F.pmod(F.xxhash64(f"{side}key"), F.col(f"n{side}")).cast("int")
+    each = lambda side: F.explode(F.sequence(F.lit(0), F.col(f"n{side}") - 1))
+    a = a.join(sizes, ["rec", "mark"]).select("rec", "mark", own("l").alias("x"), each("r").alias("y"), "lkey", "ls", "lf")
+    b = b.join(sizes, ["rec", "mark"]).select("rec", "mark", each("l").alias("x"), own("r").alias("y"), "rkey", "rs", "rf")
+    return a.join(b, ["rec", "mark", "x", "y"]).where("(ls AND rs) OR (lf AND rf)").select("lkey", "rkey")
+
+
+def candidates(left: DataFrame, right: DataFrame, reach: int = 6, chunk: int = 1000) -> DataFrame:
     """Pairs of one recording whose known coordinates differ by ``reach`` at most: ``lkey, rkey``.
 
     A block is (recording, row cell, column cell) with cells ``reach`` wide;
     right rows, of which there are fewer, enter their own cell and its
     neighbours, left rows their own. Where a coordinate is
-    missing on either side, the block is a band of the other one, and without
-    any, a class of rate or of shape. So a crowded recording divides into its
-    cells.
+    missing on either side, the block is a band of the other one. So a crowded
+    recording divides into its cells. Pairs without a coordinate in common are
+    all candidates (``_apart``), unless they share neither shape nor rate.
     """
     cell = lambda c: F.floor(F.col(c) / F.lit(reach)).cast("int")
     spread = lambda c: F.array(*[cell(c) + o for o in (-1, 0, 1)])
     none = F.lit(None).cast("int")
     have = {"rc": ("row", "col"), "r": ("row",), "c": ("col",)}
-    bits = F.floor(F.col("lograte") / 0.5).cast("int")
 
     def keyed(df: DataFrame, mark: str, x: Column, y: Column) -> DataFrame:
         return df.select("key", "rec", "row", "col", F.lit(mark).alias("mark"), x.alias("x"), y.alias("y"))
@@ -134,10 +149,6 @@ def candidates(left: DataFrame, right: DataFrame, reach: int = 6) -> DataFrame:
             own = have[mark][0]
             some = df.where(F.col(own).isNotNull() & (F.col(other).isNull() if lone else F.lit(True)))
             parts.append(keyed(some.select("key", "rec", "row", "col", at(own).alias("_x")), mark, F.col("_x"), none))
-        bare = df.where("row IS NULL AND col IS NULL") if lone else df
-        rated = bare.where("lograte IS NOT NULL")
-        parts.append(keyed(rated.select("key", "rec", "row", "col", (F.explode(F.array(bits - 1, bits, bits + 1)) if wide else bits).alias("_x")), "f", F.col("_x"), none))
-        parts.append(keyed(bare.where("shape IS NOT NULL").select("key", "rec", "row", "col", _shape_class(F.col("shape")).alias("_x")), "s", F.col("_x"), none))
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -152,7 +163,7 @@ def candidates(left: DataFrame, right: DataFrame, reach: int = 6) -> DataFrame:
 
     # Right rows that lack a coordinate meet all left rows of the band; left rows that lack one meet all right rows.
     lacking_left = left.where("row IS NULL OR col IS NULL")
-    return met(blocks(left, False, False), blocks(right, True, True)).unionAll(met(blocks(lacking_left, True, True), blocks(right, False, False))).distinct()
+    return met(blocks(left, False, False), blocks(right, True, True)).unionAll(met(blocks(lacking_left, True, True), blocks(right, False, False))).distinct().unionAll(_apart(left, right, chunk))
 
 
 @dataclass

@@ -67,3 +67,21 @@ def test_blocking_loses_no_pair_within_reach(spark):
     assert {t for t in truth if ri[t[1]][2] is not None or ri[t[1]][3] is not None} <= pairs
     near = lambda a, b: a is None or b is None or abs(a - b) <= 6
     assert all(near(le[a][2], ri[b][2]) and near(le[a][3], ri[b][3]) for a, b in pairs)
+
+
+def test_rows_without_a_common_coordinate_meet_all_rows_of_the_recording(spark):
+    name = "2020.01.01-10.00.00-Rec"
+    rng = np.random.default_rng(4)
+    have = [(5, 5), (5, None), (None, 50), (None, None)]
+    rows = lambda at: [(at + i, name, *have[i % 4], wave(rng, rng.random(3) * [3, 1, 2] + [0, 20, 0]) if i % 3 else None, float(np.exp(4 * i)) if i % 5 else None, "", "", "") for i in range(24)]
+    left, right = rows(0), rows(100)
+    want = {
+        (a[0], b[0]) for a in left for b in right
+        if (a[2] is None or b[2] is None) and (a[3] is None or b[3] is None) and (a[4] and b[4] or a[5] and b[5])
+    }
+    le, ri = prep(spark, left), prep(spark, right)
+    place = {x[0]: x[2:4] for x in left + right}
+    for chunk in (1000, 5):
+        got = [(r.lkey, r.rkey) for r in linkage.candidates(le, ri, chunk=chunk).collect()]
+        assert len(got) == len(set(got))
+        assert {p for p in got if not any(x is not None and y is not None for x, y in zip(place[p[0]], place[p[1]]))} == want
