@@ -155,8 +155,11 @@ class ItemSeeds:
             return (np.zeros(0, np.int64),) * 4
         return tuple(np.concatenate(x) for x in zip(*out))
 
-    def leaks(self, texts: list[str | None], least: float, least_covered: int, quality: float) -> Iterator[tuple[int, int, int, int, float, float]]:
-        """Text, item, first and last leaked word of the text, share of the item's words, score."""
+    def leaks(self, texts: list[str | None], least: float, most_covered: int, quality: float) -> Iterator[tuple[int, int, int, int, float, float]]:
+        """Text, item, first and last leaked word of the text, share of the item's words, score.
+
+        Hits have to cover ``least`` of the item's words, but for ``most_covered`` at most and a seed's five at least.
+        """
         flat, start = _encode(texts, self.codes)
         text, item, dpos, ipos = self.hits(flat, start)
         if not len(text):
@@ -167,7 +170,8 @@ class ItemSeeds:
         lo, hi = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(text)]])
         sizes = np.diff(self.start)
         group = np.repeat(np.arange(len(lo)), hi - lo)
-        need = np.maximum(least_covered, (0.5 * least * sizes[item[lo]]).astype(int))
+        floor = np.clip(np.ceil(least * sizes[item[lo]]).astype(int), 5, most_covered)
+        need = np.maximum(floor, (0.5 * least * sizes[item[lo]]).astype(int))
         keep = _covered(group, dpos, ipos, need)
         text, item, dpos, ipos, group = text[keep], item[keep], dpos[keep], ipos[keep], group[keep]
         cuts = np.flatnonzero(np.diff(group)) + 1
@@ -199,8 +203,9 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text:
     stretch of a pair is told. One pass over the documents for each block of
     items; no shuffle.
 
-    NULL and blank texts, on either side, match nothing, nor do items of fewer
-    than five words. Rows without key are left out. Repeated documents each
+    NULL and blank texts, on either side, match nothing. A stretch needs a seed
+    of five words, so items of fewer than five words match nothing, nor does a
+    third of an item of fewer than 13 words. Rows without key are left out. Repeated documents each
     come out under their own key; repeated rows of one key come out once.
     Very long texts are aligned only in windows around hits. Empty tables give
     an empty result; other columns are ignored.

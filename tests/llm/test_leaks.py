@@ -94,3 +94,17 @@ def test_alignment_against_plain_dynamic_programming():
 
 def test_words():
     assert K.words("<b>The</b> Cat&nbsp;sat, _on_ 3.5 **mats** elec-\n trode") == ["the", "cat", "sat", "on", "3.5", "mats", "electrode"]
+
+
+def test_short_items_are_found_whole_and_in_part(spark):
+    rng = random.Random(11)
+    items = [(n, sentence(rng, n)) for n in (5, 6, 7, 8, 9, 12, 15, 18, 20, 24, 26)]
+    docs, want, may = [], set(), set()
+    for n, w in items:
+        changed = [*w[:3], "zzz", *w[4:]]
+        for k, part in enumerate([w, changed if n >= 8 else w, w[1 : 1 + -(-n // 3)]]):
+            docs.append((100 * n + k, " ".join(sentence(rng, 30) + part + sentence(rng, 30))))
+            (want if k < 2 or len(part) >= 5 else may).add((100 * n + k, n))  # a third of fewer than five words needs a seed by chance
+    docs += [(10_000 + i, " ".join(sentence(rng, 200))) for i in range(20)]
+    got = run(spark, docs, [(i, " ".join(w)) for i, w in items])
+    assert want <= got <= want | may
