@@ -3,14 +3,18 @@
 A text is cut into segments of one layout (runs of marked entries, of rows of
 cells, of bare entries, of running lines). Each segment becomes a distribution
 over function words, token classes and layout marks, and takes the structural
-profile at the least Jensen-Shannon divergence. Profiles of prose differ by
-language in their function words. A document's kind follows from the shares of
-its non-blank characters.
+profile at the least Jensen-Shannon divergence. Function words of all languages
+are one class; profiles of prose differ in how many of them they hold, and the
+one for unknown languages needs hardly any, so it takes prose by its classes of
+characters. Scripts written without spaces are cut into pieces of two
+characters. A document's kind follows from the shares of its non-blank
+characters.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -73,7 +77,12 @@ _DELIM = re.compile(r"[,;|\t](?=\S)|[;,|](?=[,;|]|$)")
 _NUMBER = re.compile(r"^[-+]?\d+(?:[.,:]\d+)*(?:[eE][-+]?\d+)?%?$")
 _HEX = re.compile(r"^(?:[0-9a-fA-F]{2}|[0-9a-fA-F]{4}|(?=[a-fA-F]*\d)[0-9a-fA-F]{7,})$")
 _EMPTY = {"na", "nan", "n/a", "null", "none", "-", "--", "—", "–", "?"}
-_EDGE = "\"'`*_()[]{}<>«»“”„‘’‚¿¡,;:.!?…|"
+_STOPS, _SEPS = ".!?…。！？｡।॥؟۔։።", ",;、，；،؛"
+_EDGE = "\"'`*_()[]{}<>«»“”„‘’‚¿¡,;:.!?…|" + _STOPS + _SEPS + "：「」『』（）《》〈〉【】"
+# Scripts without spaces: Thai to Lao, Burmese, Khmer, kana, ideographs.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3031-\u30ff\u31f0-\u31ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_HAS_UNSPACED = re.compile(rf"[{_UNSPACED}]{{2}}")
+_RUN = re.compile(rf"((?:[{_UNSPACED}]){{1,2}}[^\w\s]*)")
 _SEPARATORS = {"/", "|", "·", "•", "-", "–", "—", ">"}
 _NO_VOWEL = re.compile(r"[^aeiouyäöüáéíóúàèìòùâêîôûåøæœ\W\d_]{4,}")
 _WORDISH = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
@@ -81,7 +90,7 @@ _ODD_INSIDE = re.compile(r"[^\W\d_][;\[\]{}<>|~^@#$%&*=+\\!?\"]+[^\W\d_]|[^\W\d_
 
 
 def _strange(ch: str) -> bool:
-    """A character that running text in a Latin, Greek, Cyrillic or CJK script doesn't hold."""
+    """A character that running text in no script holds: letters, marks, digits and the punctuation of scripts are ordinary."""
     o = ord(ch)
     if o < 0x80:
         return o < 32
@@ -89,7 +98,20 @@ def _strange(ch: str) -> bool:
         return False
     if o < 0xA0 or 0xFFF0 <= o <= 0xFFFF or 0xE000 <= o <= 0xF8FF:
         return True
-    return not ch.isalpha() and not ch.isdigit()
+    if ch in _EDGE or ch in "\u200c\u200d・〜":
+        return False
+    return not ch.isalpha() and not ch.isdigit() and unicodedata.category(ch)[0] != "M"
+
+
+_LATIN_MORE = frozenset(map(chr, range(0x1E00, 0x1F00))) | set("đĐăĂơƠưƯĩĨũŨ")  # Vietnamese words hold many of them
+_WIDE = {"HIRAGANA": "CJK", "KATAKANA": "CJK", "KATAKANA-HIRAGANA": "CJK", "IDEOGRAPHIC": "CJK"}
+
+
+def _tokens(text: str) -> list[str]:
+    """The tokens of a text at spaces; runs of a script without spaces fall into pieces of two characters."""
+    if text.isascii() or not _HAS_UNSPACED.search(text):
+        return text.split()
+    return [p for t in text.split() for p in _RUN.split(t) if p]
 
 
 def _scripts(word: str) -> int:
@@ -97,8 +119,8 @@ def _scripts(word: str) -> int:
     seen = set()
     for ch in word:
         if ch.isalpha():
-            o = ord(ch)
-            seen.add(0 if o < 0x250 else o >> 8)
+            name = "LATIN" if ord(ch) < 0x250 else unicodedata.name(ch, "?").split()[0]
+            seen.add(_WIDE.get(name, name))
     return len(seen)
 
 
@@ -121,12 +143,12 @@ def _class(token: str) -> str:
     n_strange = sum(map(_strange, core))
     if n_strange and (n_strange > 1 or n_strange * 4 >= len(core)):
         return "odd"
-    if core.isalpha():
+    if core.isalpha() or not core.isascii() and all(c.isalpha() or unicodedata.category(c)[0] == "M" or c in "\u200c\u200d" for c in core):
         if len(core) == 1:
-            return "single"
+            return "word" if _HAS_UNSPACED.match(core * 2) else "single"
         if len(core) > 24:
             return "glued"
-        if _scripts(core) > 1 or not core.isascii() and sum(ord(c) > 0x7F for c in core) * 2 > len(core) and _scripts(core) == 1 and ord(core[0]) < 0x250 and len(core) > 2:
+        if _scripts(core) > 1 or not core.isascii() and sum(ord(c) > 0x7F and c not in _LATIN_MORE for c in core) * 2 > len(core) and _scripts(core) == 1 and ord(core[0]) < 0x250 and len(core) > 2:
             return "odd"
         if core.isascii() and (_NO_VOWEL.search(low) and len(_NO_VOWEL.search(low)[0]) >= 5 or len(core) > 3 and not re.search(r"[aeiouy]", low) and not core.isupper()):
             return "odd"
@@ -150,7 +172,7 @@ class Lexicon(dict):
     def __missing__(self, token: str) -> tuple[int, str, bool, int, float, int, int]:
         kind = _class(token)
         core = token.strip(_EDGE).lower()
-        end = 1 if token[-1] in ".!?…" else 2 if token[-1] in ",;" or token in _SEPARATORS else 0
+        end = 1 if token[-1] in _STOPS else 2 if token[-1] in _SEPS or token in _SEPARATORS else 0
         got = (_AT[kind], core or token, core in _BY_WORD, end, max(1.0, len(token) / 10) if kind == "glued" else 1.0, sum(map(str.isalpha, token)), sum(map(str.isdigit, token)))
         if len(self) < 200_000 and len(token) <= 64:  # a cache only
             self[token] = got
@@ -166,7 +188,7 @@ def _shape(line: str, lexicon: Lexicon) -> str:
         return "text"
     if _BULLET.match(line) and not _HEX.match(s.split()[0]):
         return "bullet"
-    tokens = s.split()
+    tokens = _tokens(s)
     if s.count("|") >= 2 or len(_GAP.findall(s)) >= 2 or "\t" in s:
         # Running text may be set with wide gaps; columns hold hardly any function words.
         running = sum(lexicon[t][2] and t.lower() not in _EMPTY for t in tokens) >= 0.18 * len(tokens)
@@ -176,7 +198,7 @@ def _shape(line: str, lexicon: Lexicon) -> str:
         tight = n - len(re.findall(re.escape(d) + r"\s", s))
         if n >= 2 and tight >= 2 and tight * 2 >= n and len(tokens) <= 2 + n and not any(len(t) > 3 and t.count(d) == 1 and t[0] == d for t in tokens):
             return "cell" if _looks_cells(s, d) else "text"
-    if len(tokens) <= 6 and s[-1:] not in ".!?:…" and not any(lexicon[t][2] for t in tokens):
+    if len(tokens) <= 6 and s[-1:] not in _STOPS + ":：" and not any(lexicon[t][2] for t in tokens):
         return "entry"
     return "text"
 
@@ -221,7 +243,7 @@ def _distribution(shape: str, lines: list[str], lexicon: Lexicon) -> tuple[np.nd
             n[cell] += len(_GAP.findall(s)) + len(_DELIM.findall(s))
             tokens = [t for t in _CELL_SPLIT.split(s) if t]
         else:
-            tokens = s.split()
+            tokens = _tokens(s)
         for t in tokens:
             kind, core, _, end, weight, _, _ = lexicon[t]
             n[kind] += weight
@@ -229,7 +251,7 @@ def _distribution(shape: str, lines: list[str], lexicon: Lexicon) -> tuple[np.nd
             kinds.append(kind)
             if end and shape != "cell":
                 n[stop if end == 1 else sep] += 1
-        if tokens and shape in ("entry", "bullet") and len(tokens) <= 12 and tokens[-1][-1] not in ".!?":
+        if tokens and shape in ("entry", "bullet") and len(tokens) <= 12 and tokens[-1][-1] not in _STOPS.replace("…", ""):
             n[entry] += 1
     # A phrase that makes up a twelfth of the segment or more is a loop, not speech.
     if len(cores) > 4:
@@ -278,7 +300,7 @@ def describe(text: str | None, lexicon: Lexicon | None = None) -> tuple:
     if blank:
         return (len(text or ""), 0, 0, None, None, None, None, None, None, None, 0.0, 0.0, 0.0, None)
     lines = [x.strip() for x in text.split("\n") if x.strip()]
-    tokens = text.split()
+    tokens = _tokens(text)
     solid = sum(map(len, tokens))
     known = [lexicon[t] for t in tokens]
     letters, digits = sum(k[5] for k in known), sum(k[6] for k in known)
@@ -299,7 +321,7 @@ def describe(text: str | None, lexicon: Lexicon | None = None) -> tuple:
     common = sum(k[2] for k in known)
     best = max(langs, key=lambda k: (langs[k], k)) if langs else None
     return (
-        len(text), len(tokens), len(lines), solid / len(tokens), (solid - letters - digits) / solid, digits / solid, sum(x[-1] in ".!?…\"”»" for x in lines) / len(lines),
+        len(text), len(tokens), len(lines), solid / len(tokens), (solid - letters - digits) / solid, digits / solid, sum(x[-1] in _STOPS + "\"”»」』" for x in lines) / len(lines),
         common / len(tokens), best, apart, share["list"], share["table"], share["junk"], kind,
     )
 

@@ -77,3 +77,22 @@ def test_columns_and_dirt(spark):
     assert one["n_words"] == len(EN.split()) and one["language"] == "en" and one["kind"] == "prose" and one["ended_lines"] == 1.0
     assert one["mean_word_length"] == pytest.approx(sum(map(len, EN.split())) / len(EN.split()))
     assert text_statistics(df.limit(0)).count() == 0
+
+
+OTHER = {
+    "zh": "今天早上的测量并不稳定。我们在第二部分数了十二个信号，虽然水泵已经停了。如果滤波器太宽，就应该再检查一次。没有人知道曲线为什么会变。",
+    "ja": "今朝の測定は安定していなかった。ポンプが止まったのに、第二部分で十二個の信号を数えた。フィルターが広すぎるなら、もう一度確認するべきだ。",
+    "ko": "오늘 아침의 측정은 안정적이지 않았다. 펌프가 멈췄지만 우리는 두 번째 부분에서 신호를 세었다. 필터가 너무 넓으면 다시 확인해야 한다.",
+    "hi": "आज सुबह की माप स्थिर नहीं थी। हमने दूसरे भाग में बारह संकेत गिने, हालाँकि पंप बंद हो गया था। यदि फ़िल्टर चौड़ा है, तो उसे फिर से जाँचना चाहिए।",
+    "th": "การวัดเมื่อเช้านี้ไม่คงที่ เรานับสัญญาณได้สิบสองครั้งในส่วนที่สอง แม้ว่าปั๊มจะหยุดทำงานแล้ว ถ้าตัวกรองกว้างเกินไปก็ควรตรวจสอบอีกครั้ง",
+    "vi": "Phép đo sáng nay không ổn định. Chúng tôi đếm được mười hai tín hiệu trong phần thứ hai, mặc dù máy bơm đã dừng. Nếu bộ lọc quá rộng thì cần được kiểm tra lại đường cong.",
+    "ru": "Измерение сегодня утром было нестабильным. Мы насчитали двенадцать сигналов во второй части, хотя насос остановился.",
+    "ar": "لم يكن القياس هذا الصباح مستقرا. عددنا اثنتي عشرة إشارة في الجزء الثاني، رغم أن المضخة توقفت.",
+}
+
+
+@pytest.mark.parametrize("lang", OTHER)
+def test_prose_in_other_scripts(lang):
+    text = OTHER[lang]
+    for t in (text, "\n".join([text] * 2), "\n\n".join([text] * 3)):
+        assert kind(t) == "prose", t
