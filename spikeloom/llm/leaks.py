@@ -6,7 +6,9 @@ a seed survives a changed word at an ignored position. Seeds of the test items
 form a sorted table; the seeds of the corpus are joined with it where the
 corpus is read, so the corpus isn't shuffled. Around the hits of a document
 and an item a local word alignment, which lets words be changed, added or
-dropped, measures the longest leaked stretch.
+dropped, finds the longest stretch with about one word in eight altered.
+Items that share a turn of phrase compete: a stretch that another item explains
+better, word for word, counts only if hardly a word of it is altered.
 
 The item side is broadcast in blocks of at most ``block_words`` words. A larger
 set of items takes more passes over the corpus, none of them larger.
@@ -23,12 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The masks; 1 takes a word, 0 ignores it.
-MASKS = ("11111", "111011", "1101011", "1100111")
+# The masks; 1 takes a word, 0 ignores it. Items of fewer than SHORT words have the shorter masks as well.
+MASKS = ("11111", "111011", "1101011", "1100111", "1111", "11011", "1011", "1101")
+LONG_MASKS, SHORT = 4, 45
 
 _MARKUP = re.compile(r"</?[a-zA-Z][^<>]*>|&(?:[a-zA-Z]{2,8}|#\d{1,6});|[­​-‍﻿]|(?<=\w)-[ \t]*\r?\n[ \t]*(?=\w)")
 _WORD = re.compile(r"\d+(?:[.,]\d+)+|[^\W_]+")
-_OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("share", pa.float64()), ("score", pa.float64())])
+_OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("share", pa.float64()), ("matching", pa.float64())])
 
 
 def words(text: str) -> list[str]:
@@ -70,48 +73,73 @@ def _seeds(flat: np.ndarray, owner: np.ndarray, mask: str, which: int) -> tuple[
     return h, at
 
 
-def _covered(group: np.ndarray, d: np.ndarray, q: np.ndarray, need: np.ndarray, width: int = 12) -> np.ndarray:
+def _covered(group: np.ndarray, d: np.ndarray, q: np.ndarray, span: np.ndarray, need: np.ndarray, width: int = 12) -> np.ndarray:
     """Which hits lie on diagonals where the hits of their group cover ``need`` words of the item or more.
 
     Diagonals are taken in overlapping pairs of bands, so words added or
     dropped on the way move a passage by up to a band without splitting it.
+    ``span`` is the number of words that a hit covers.
     """
     band = (d - q) // width
     band -= band.min() - 1
     code = np.concatenate([(group << 42) + ((band - o) << 20) for o in (0, 1)])
-    words_ = (code[:, None] + np.concatenate([q, q])[:, None] + np.arange(5)).ravel()
+    first, spans = np.concatenate([q, q]), np.concatenate([span, span])
+    words_ = np.concatenate([(code + first + o)[spans > o] for o in range(int(span.max()))])
     pairs, n = np.unique(np.unique(words_) >> 20, return_counts=True)
     good = pairs[n >= need[pairs >> 22]]
     return np.isin(code >> 20, good).reshape(2, -1).any(0)
 
 
-def stretch(doc: np.ndarray, item: np.ndarray, cost: float = 2.0, least: float = 0.0) -> tuple[float, int, int, int, int]:
-    """The best local alignment: score, first and last word in the item, first and last in the document.
+def stretch(doc: np.ndarray, item: np.ndarray, cost: float = 0.9) -> tuple[float, np.ndarray, np.ndarray]:
+    """The best local alignment: its score, and the positions in ``item`` and ``doc`` of its matching words.
 
-    A matching word counts 1, a changed, added or dropped one ``-cost``. An
-    alignment that scores below ``least`` counts as none.
+    A matching word counts 1, a changed, added or dropped one ``-cost``.
     """
-
-    def best(d: np.ndarray, q: np.ndarray) -> tuple[float, int, int]:
-        n = len(d)
-        slope = cost * np.arange(n + 1)
-        row = np.zeros(n + 1)
-        top, ti, tj = 0.0, -1, -1
-        for i in range(len(q)):
-            new = np.maximum(row - cost, 0.0)
-            np.maximum(new[1:], row[:-1] + np.where(d == q[i], 1.0, -cost), out=new[1:])
-            new = np.maximum.accumulate(new + slope) - slope
-            j = int(new.argmax())
-            if new[j] > top:
-                top, ti, tj = float(new[j]), i, j - 1
-            row = new
-        return top, ti, tj
-
-    score, i1, j1 = best(doc, item)
-    if i1 < 0 or score < least:
-        return 0.0, 0, -1, 0, -1
-    _, i0, j0 = best(doc[: j1 + 1][::-1], item[: i1 + 1][::-1])
-    return score, i1 - i0, i1, j1 - j0, j1
+    n, m = len(doc), len(item)
+    slope = cost * np.arange(n + 1)
+    rows = np.zeros((m + 1, n + 1), dtype=np.float32)
+    for i in range(m):
+        row, new = rows[i], rows[i + 1]
+        np.maximum(row - cost, 0.0, out=new)
+        np.maximum(new[1:], row[:-1] + np.where(doc == item[i], 1.0, -cost), out=new[1:])
+        new[:] = np.maximum.accumulate(new + slope) - slope
+    i, j = (int(x) for x in np.unravel_index(rows.argmax(), rows.shape))
+    score = float(rows[i, j])
+    at: list[tuple[int, int]] = []
+    while i > 0 and j > 0 and rows[i, j] > 0:
+        here, same = rows[i, j], doc[j - 1] == item[i - 1]
+        if abs(here - (rows[i - 1, j - 1] + (1.0 if same else -cost))) < 1e-3:
+            if same:
+                at.append((i - 1, j - 1))
+            i, j = i - 1, j - 1
+        elif abs(here - (rows[i - 1, j] - cost)) < 1e-3:
+            i -= 1
+        else:
+            j -= 1
+    pos = np.array(at[::-1], dtype=np.int64).reshape(-1, 2)
+    return score, pos[:, 0], pos[:, 1]
+
+
+def faithful(q: np.ndarray, d: np.ndarray, rate: float, slack: float) -> tuple[int, int, int]:
+    """The longest run ``first .. last`` of matching words, by words of the item, in which at most ``rate`` of the words, and ``slack`` more, are altered; with the altered ones counted.
+
+    Words of the item that have no match are changed or dropped, words of the
+    document between matches are changed or added; a change counts once.
+    """
+    if not len(q):
+        return 0, -1, 0
+    gap = np.maximum(np.diff(q), np.diff(d)) - 1
+    lost = np.concatenate([[0], np.cumsum(gap)])  # altered words before each match
+    # A run x..y is faithful if lost[y] - lost[x] <= rate * (q[y] - q[x] + 1) + slack.
+    level = lost - rate * q
+    best = (0, 0, 0)
+    low = np.maximum.accumulate(level)  # the farther back a start may lie, the better the best level before it
+    for y in range(len(q)):
+        x = int(np.searchsorted(low[: y + 1], level[y] - rate - slack - 1e-9))
+        x = min(x, y)
+        if q[y] - q[x] > q[best[1]] - q[best[0]]:
+            best = (x, y, int(lost[y] - lost[x]))
+    return best
 
 
 class ItemSeeds:
@@ -121,91 +149,139 @@ class ItemSeeds:
         self.codes = _Codes()
         self.ids = np.array(ids, dtype=np.int64)
         self.flat, self.start = _encode(texts, self.codes)
-        owner = np.repeat(np.arange(len(ids)), np.diff(self.start))
-        hs, ps = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        sizes = np.diff(self.start)
+        owner = np.repeat(np.arange(len(ids)), sizes)
+        self.tables = []
         for k, mask in enumerate(MASKS):
             h, at = _seeds(self.flat, owner, mask, k)
-            hs.append(h)
-            ps.append(at)
-        h, p = np.concatenate(hs), np.concatenate(ps)
-        order = np.argsort(h, kind="stable")
-        self.hash, pos = h[order], p[order]
-        self.item = owner[pos] if len(owner) else pos
-        self.pos = pos - self.start[self.item] if len(pos) else pos
+            if k >= LONG_MASKS and len(at):
+                short = sizes[owner[at]] < SHORT
+                h, at = h[short], at[short]
+            order = np.argsort(h, kind="stable")
+            h, at = h[order], at[order]
+            item = owner[at] if len(at) else at
+            known = np.zeros(1 << 20, dtype=bool)  # most words of a corpus end here
+            known[(h >> np.uint64(44)).astype(np.int64)] = True
+            self.tables.append((mask, h, item, at - self.start[item] if len(at) else at, known))
         self.codes = _Codes()  # workers fill their own
 
-    def hits(self, flat: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The join of all seeds: text, item, word in the text, word in the item."""
+    def matches(self, flat: np.ndarray, start: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """The join of all seeds, not unfolded: mask, position in the texts, first row of the table and number of rows."""
         owner = np.repeat(np.arange(len(start) - 1), np.diff(start))
         out = []
-        for k, mask in enumerate(MASKS):
-            h, at = _seeds(flat, owner, mask, k)
-            if not len(h) or not len(self.hash):
-                continue
-            lo = np.searchsorted(self.hash, h)
-            got = np.flatnonzero(self.hash[np.minimum(lo, len(self.hash) - 1)] == h)
-            if not len(got):
+        for k, (mask, hashes, _, _, known) in enumerate(self.tables):
+            if not len(hashes):
                 continue
-            lo, at = lo[got], at[got]
-            n = np.searchsorted(self.hash, h[got], side="right") - lo
-            which = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            text = np.repeat(owner[at], n)
-            out.append((text, self.item[which], np.repeat(at, n) - start[text], self.pos[which]))
-        if not out:
-            return (np.zeros(0, np.int64),) * 4
-        return tuple(np.concatenate(x) for x in zip(*out))
-
-    def leaks(self, texts: list[str | None], least: float, most_covered: int, quality: float) -> Iterator[tuple[int, int, int, int, float, float]]:
-        """Text, item, first and last leaked word of the text, share of the item's words, score.
-
-        Hits have to cover ``least`` of the item's words, but for ``most_covered`` at most and a seed's five at least.
+            h, at = _seeds(flat, owner, mask, k)
+            got = np.flatnonzero(known[(h >> np.uint64(44)).astype(np.int64)]) if len(h) else at
+            h, at = h[got], at[got]
+            lo = np.searchsorted(hashes, h)
+            n = np.searchsorted(hashes, h, side="right") - lo
+            out.append((k, at[n > 0], lo[n > 0], n[n > 0]))
+        return out
+
+    def hits(self, flat: np.ndarray, start: np.ndarray, bound: int = 4_000_000) -> Iterator[tuple[np.ndarray, ...]]:
+        """The seeds' hits in blocks of whole (text, item) pairs: text, item, word in the text, word in the item, words covered.
+
+        A seed that many items share, in a text or batch full of it, would
+        unfold to any number of hits. Texts are therefore taken in runs of at
+        most ``bound`` hits, and a text with more of them in blocks of items.
         """
+        found = self.matches(flat, start)
+        owner = np.repeat(np.arange(len(start) - 1), np.diff(start))
+        load = np.zeros(len(start) - 1, dtype=np.int64)
+        for _, at, _, n in found:
+            np.add.at(load, owner[at], n)
+        total, runs, first = np.cumsum(load), [], 0
+        while first < len(load):
+            last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + bound, side="right")))
+            blocks = max(1, -(-int(load[first:last].sum()) // bound))
+            runs += [(first, last, x, blocks) for x in range(blocks)]
+            first = last
+        for first, last, block, blocks in runs:
+            parts = []
+            for k, at, lo, n in found:
+                mask, _, items, pos, _ = self.tables[k]
+                mine = (at >= start[first]) & (at < start[last])
+                a, lo_, n_ = at[mine], lo[mine], n[mine]
+                for x in range(0, len(a), max(1, bound // max(1, int(n_.max(initial=1))))) if blocks > 1 else [0]:
+                    y = x + max(1, bound // max(1, int(n_.max(initial=1)))) if blocks > 1 else len(a)
+                    aa, ll, nn = a[x:y], lo_[x:y], n_[x:y]
+                    which = np.repeat(ll - np.concatenate([[0], np.cumsum(nn)[:-1]]), nn) + np.arange(nn.sum()) if len(aa) else ll
+                    word = np.repeat(aa, nn)
+                    if blocks > 1:
+                        own = items[which] % blocks == block
+                        which, word = which[own], word[own]
+                    if len(which):
+                        text = owner[word]
+                        parts.append((text, items[which], word - start[text], pos[which], np.full(len(which), mask.count("1"))))
+            if parts:
+                yield tuple(np.concatenate(x) for x in zip(*parts))
+
+    def leaks(self, texts: list[str | None], least: float, altered: float, slack: float, close: float, bound: int = 4_000_000) -> list[tuple[int, int, int, int, float, float]]:
+        """Text, item, first and last leaked word of the text, share of the item's words, share of these that match."""
         flat, start = _encode(texts, self.codes)
-        text, item, dpos, ipos = self.hits(flat, start)
-        if not len(text):
-            return
-        order = np.lexsort((dpos, item, text))
-        text, item, dpos, ipos = text[order], item[order], dpos[order], ipos[order]
-        cuts = np.flatnonzero((np.diff(text) != 0) | (np.diff(item) != 0)) + 1
-        lo, hi = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(text)]])
         sizes = np.diff(self.start)
-        group = np.repeat(np.arange(len(lo)), hi - lo)
-        floor = np.clip(np.ceil(least * sizes[item[lo]]).astype(int), 5, most_covered)
-        need = np.maximum(floor, (0.5 * least * sizes[item[lo]]).astype(int))
-        keep = _covered(group, dpos, ipos, need)
-        text, item, dpos, ipos, group = text[keep], item[keep], dpos[keep], ipos[keep], group[keep]
-        cuts = np.flatnonzero(np.diff(group)) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(text)]) if len(text) else ():
-            t, k = int(text[a]), int(item[a])
-            query = self.flat[self.start[k] : self.start[k + 1]]
-            size = len(query)
-            d, q = dpos[a:b], ipos[a:b]
-            best = None
-            # Hits far apart in the text belong to different passages.
-            gaps = np.flatnonzero(np.diff(d) > size) + 1
-            for x, y in zip([0, *gaps.tolist()], [*gaps.tolist(), len(d)]):
-                # The passage can't begin before, or end behind, the item laid along its hits, but for added words.
-                w0 = max(0, int((d[x:y] - q[x:y]).min()) - size // 4)
-                doc = flat[start[t] + w0 : min(start[t + 1], start[t] + int((d[x:y] - q[x:y]).max()) + size + size // 4)]
-                score, i0, i1, j0, j1 = stretch(doc, query, least=quality * least * size)
-                share = (i1 - i0 + 1) / size
-                if score > 0 and share >= least and score >= quality * (i1 - i0 + 1) and (best is None or score > best[-1]):
-                    best = (t, k, w0 + j0, w0 + j1, share, score)
-            if best:
-                yield best
-
-
-def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "text", least_share: float = 0.27, quality: float = 0.42, block_words: int = 1_000_000) -> DataFrame:
-    """Documents and the items that leaked into them: ``doc_id, item_id, first_word, last_word, share, score``.
+        got: dict[int, list[tuple]] = {}
+        for text, item, dpos, ipos, span in self.hits(flat, start, bound):
+            order = np.lexsort((dpos, item, text))
+            text, item, dpos, ipos, span = text[order], item[order], dpos[order], ipos[order], span[order]
+            lo = np.concatenate([[0], np.flatnonzero((np.diff(text) != 0) | (np.diff(item) != 0)) + 1])
+            group = np.repeat(np.arange(len(lo)), np.diff(np.concatenate([lo, [len(text)]])))
+            own = sizes[item[lo]]
+            need = np.clip((0.5 * least * own).astype(int), np.clip(np.ceil(0.7 * least * own), 4, 8).astype(int), None)
+            keep = _covered(group, dpos, ipos, span, need)
+            text, item, dpos, ipos, group = text[keep], item[keep], dpos[keep], ipos[keep], group[keep]
+            cuts = np.flatnonzero(np.diff(group)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(text)]) if len(text) else ():
+                t, k = int(text[a]), int(item[a])
+                query = self.flat[self.start[k] : self.start[k + 1]]
+                size = len(query)
+                d, q = dpos[a:b], ipos[a:b]
+                best = None
+                # Hits far apart in the text belong to different passages.
+                gaps = np.flatnonzero(np.diff(d) > size) + 1
+                for x, y in zip([0, *gaps.tolist()], [*gaps.tolist(), len(d)]):
+                    # The passage can't begin before, or end behind, the item laid along its hits, but for added words.
+                    w0 = max(0, int((d[x:y] - q[x:y]).min()) - size // 4)
+                    doc = flat[start[t] + w0 : min(start[t + 1], start[t] + int((d[x:y] - q[x:y]).max()) + size + size // 4)]
+                    _, qi, di = stretch(doc, query)
+                    u, v, lost = faithful(qi, di, altered, slack)
+                    length = int(qi[v] - qi[u] + 1) if v >= u else 0
+                    same = v - u + 1
+                    if same >= 5 and length >= least * size - 1e-9 and (best is None or same > best[4]):
+                        best = (k, w0 + int(di[u]), w0 + int(di[v]), length / size, same, same / (same + lost))
+                if best:
+                    got.setdefault(t, []).append(best)
+        out = []
+        for t, found in got.items():
+            for k, j0, j1, share, same, match in found:
+                # A phrase that another item's stretch holds more faithfully is that item's, unless hardly a word of it is altered.
+                better = any(o[0] != k and o[5] > match and o[4] > same and min(j1, o[2]) - max(j0, o[1]) + 1 >= 0.5 * (j1 - j0 + 1) for o in found) if match < close else False
+                if not better:
+                    out.append((t, k, j0, j1, share, match))
+        return out
 
-    A pair comes out where a stretch of at least ``least_share`` of the item's
-    words aligns with a score of ``quality`` per word or more; only the best
-    stretch of a pair is told. One pass over the documents for each block of
-    items; no shuffle.
 
-    NULL and blank texts, on either side, match nothing. A stretch needs a seed
-    of five words, so items of fewer than five words match nothing, nor does a
-    third of an item of fewer than 13 words. Rows without key are left out. Repeated documents each
+def leaks(
+    docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text: str = "text", item_key: str = "item_id", item_text: str = "text",
+    least_share: float = 0.3, altered: float = 0.125, slack: float = 1.0, close: float = 0.9, block_words: int = 1_000_000,
+) -> DataFrame:
+    """Documents and the items that leaked into them: ``doc_id, item_id, first_word, last_word, share, matching``.
+
+    A pair comes out where a stretch of at least ``least_share`` of the item's
+    words stands in the document, with at most ``altered`` of its words, and
+    ``slack`` word more, changed, added or dropped; only the stretch with most
+    matching words is told, with the share of words that match. Where two
+    items' stretches share half of their place in a document, the one with
+    fewer matching words and a smaller share of them counts only from a share
+    of ``close`` on. One pass over the documents for each block of items; no
+    shuffle but that of the pairs.
+
+    NULL and blank texts, on either side, match nothing. A stretch needs five
+    matching words, so items of fewer words match nothing, nor does a third of
+    an item of fewer than 15 words; items of fewer than 45 words are searched
+    with shorter seeds. Rows without key are left out. Repeated documents each
     come out under their own key; repeated rows of one key come out once.
     Very long texts are aligned only in windows around hits. Empty tables give
     an empty result; other columns are ignored.
@@ -226,10 +302,10 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", doc_text:
                 for at in range(0, batch.num_rows, 512):
                     part = batch.slice(at, 512)
                     keys = part.column(0).to_pylist()
-                    got = [(keys[t], int(seeds.ids[k]), j0, j1, s, x) for t, k, j0, j1, s, x in seeds.leaks(part.column(1).to_pylist(), least_share, 9, quality)]
+                    got = [(keys[t], int(seeds.ids[k]), j0, j1, s, x) for t, k, j0, j1, s, x in seeds.leaks(part.column(1).to_pylist(), least_share, altered, slack, close)]
                     if got:
                         yield pa.record_batch([pa.array(c, type=f.type) for c, f in zip(zip(*got), _OUT)], schema=_OUT)
 
-        found = side.mapInArrow(scan, "doc_id long, item_id long, first_word long, last_word long, share double, score double")
+        found = side.mapInArrow(scan, "doc_id long, item_id long, first_word long, last_word long, share double, matching double")
         out = found if out is None else out.unionAll(found)
-    return out.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "share", "first_word", "last_word")).alias("b")).select("doc_id", "item_id", "b.first_word", "b.last_word", "b.share", "b.score")
+    return out.groupBy("doc_id", "item_id").agg(F.max(F.struct("share", "matching", "first_word", "last_word")).alias("b")).select("doc_id", "item_id", "b.first_word", "b.last_word", "b.share", "b.matching")

@@ -89,7 +89,55 @@ def test_alignment_against_plain_dynamic_programming():
             for j in range(1, len(a) + 1):
                 h[i][j] = max(0.0, h[i - 1][j - 1] + (1 if b[i - 1] == a[j - 1] else -2), h[i - 1][j] - 2, h[i][j - 1] - 2)
                 best = max(best, h[i][j])
-        assert K.stretch(np.array(a, np.uint64), np.array(b, np.uint64))[0] == best
+        score, q, d = K.stretch(np.array(a, np.uint64), np.array(b, np.uint64), cost=2.0)
+        assert score == best and all(b[i] == a[j] for i, j in zip(q, d)) and (np.diff(q) > 0).all() and (np.diff(d) > 0).all()
+
+
+def test_faithful_run_against_all_runs():
+    rng = random.Random(4)
+    for _ in range(200):
+        q = np.cumsum([rng.choice([1, 1, 1, 2, 3]) for _ in range(rng.randrange(1, 15))])
+        d = np.cumsum([rng.choice([1, 1, 1, 2]) for _ in range(len(q))])
+        lost = [0, *np.cumsum(np.maximum(np.diff(q), np.diff(d)) - 1)]
+        want = max(q[y] - q[x] for x in range(len(q)) for y in range(x, len(q)) if lost[y] - lost[x] <= 0.125 * (q[y] - q[x] + 1) + 1)
+        x, y, n = K.faithful(q, d, 0.125, 1.0)
+        assert q[y] - q[x] == want and n == lost[y] - lost[x]
+
+
+def test_a_third_with_one_word_in_eight_changed():
+    rng = random.Random(3)
+    for size in (20, 30, 60, 90, 120):
+        items = [[rng.choice(VOC) + rng.choice("abcd") for _ in range(size)] for _ in range(60)]
+        seeds = K.ItemSeeds(list(range(60)), [" ".join(w) for w in items])
+        texts = []
+        for w in items:
+            n = -(-size // 3)
+            at, hurt = rng.randrange(size - n + 1), set(rng.sample(range(n), max(1, n // 8)))
+            texts.append(" ".join(sentence(rng, 50) + ["zz" + x if k in hurt else x for k, x in enumerate(w[at : at + n])] + sentence(rng, 50)))
+        texts += [" ".join(sentence(rng, 40) + w[: size // 5 - 1] + sentence(rng, 40)) for w in items]
+        got = {(t, k) for t, k, *_ in seeds.leaks(texts, 0.3, 0.125, 1.0, 0.9)}
+        assert len(got & {(i, i) for i in range(60)}) >= 58 and not got - {(i, i) for i in range(60)}
+
+
+def test_a_shared_turn_of_phrase_goes_to_the_item_that_holds_it_best(spark):
+    rng = random.Random(12)
+    slots = iter(rng.sample(VOC, 18))
+    phrase = lambda: "suppose the {} settled less than expected after the wash with {} units on one side and {} frames on the other".format(*[next(slots) for _ in range(3)]).split()
+    items = [(i, phrase() + sentence(rng, 30)) for i in range(6)]
+    docs = [(i, " ".join(sentence(rng, 60) + w + sentence(rng, 60))) for i, w in items]
+    assert run(spark, docs, [(i, " ".join(w)) for i, w in items]) == {(i, i) for i in range(6)}
+
+
+def test_hot_seeds_in_blocks_give_the_same():
+    rng = random.Random(13)
+    phrase = sentence(rng, 12)
+    items = [phrase + sentence(rng, 20) for _ in range(40)]
+    seeds = K.ItemSeeds(list(range(40)), [" ".join(w) for w in items])
+    texts = [" ".join(phrase * 30 + items[i]) for i in range(5)] + ["", None]
+    whole = sorted(seeds.leaks(texts, 0.3, 0.125, 1.0, 0.9))
+    assert {(i, i) for i in range(5)} <= {(t, k) for t, k, *_ in whole}
+    for bound in (50, 5000):
+        assert sorted(seeds.leaks(texts, 0.3, 0.125, 1.0, 0.9, bound)) == whole
 
 
 def test_words():
