@@ -124,6 +124,8 @@ _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3031-\u30ff\u
 _HAS_UNSPACED = re.compile(rf"[{_UNSPACED}]{{2}}")
 _RUN = re.compile(rf"((?:[{_UNSPACED}]){{1,2}}[^\w\s]*)")
 _MARKS = frozenset("~!@#$^&*<>{}[]\\|;?=")
+_MARK = re.compile(r"[~!@#$^&*<>{}\[\]\\?=]")
+_SYMBOL = re.compile(r"[^\w\s]|_")
 _SEPARATORS = {"/", "|", "·", "•", "-", "–", "—", ">"}
 _NO_VOWEL = re.compile(r"[^aeiouyäöüáéíóúàèìòùâêîôûåøæœ\W\d_]{4,}")
 _WORDISH = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
@@ -231,10 +233,10 @@ def _shape(line: str, lexicon: Lexicon) -> str:
     s = line.strip()
     if _RULE.match(s):
         return "cell"
-    if len(s) > 8 and sum(map(str.isalnum, s)) * 4 < len(s) - s.count(" ") - s.count("\t"):
-        return "text"
-    if len(s) > 8 and sum(c in _MARKS and c not in "|;" for c in s) * 7 > len(s):
-        return "text"  # marks all over: no cells
+    if len(s) > 8:
+        solid = len(s) - s.count(" ") - s.count("\t")
+        if (solid - len(_SYMBOL.findall(s))) * 4 < solid or len(_MARK.findall(s)) * 7 > len(s):
+            return "text"  # marks all over: no cells
     if _BULLET.match(line) and not _HEX.match(s.split()[0]):
         return "bullet"
     tokens = _tokens(s)
@@ -361,7 +363,8 @@ def language_of(counts: Counter) -> str | None:
             votes[lang] += c
     best, least = None, 2.0
     total = sum(counts.values())
-    for lang, _ in sorted(votes.items(), key=lambda x: (-x[1], x[0]))[:4]:
+    most = max(votes.values(), default=0)
+    for lang in sorted(x for x, c in votes.items() if 4 * c >= 3 * most):  # a language that lacks more of the words is farther off
         own = LANGUAGE.get(lang)
         d = 0.0
         if own is None:  # Hangul, by its particles
