@@ -3,8 +3,9 @@
 1. Candidates share a recording and a neighbourhood. Rows with both
    coordinates meet in cells of the array, rows with one of them in bands.
    Rows whose known coordinates have none in common meet all over the recording.
+   All blocks are keys of one join, which carries the rows' fields with it.
 2. Each candidate pair gets a vector of similarities. Shapes are aligned at
-   their peak, made free of scale and polarity, and compared over small shifts,
+   their peak (at either one, where two of them compete), made free of scale and polarity, and compared over small shifts,
    so each source may write them in its own units. Missing fields leave their
    dimension out.
 3. Expectation-maximisation fits mixtures for matched and unmatched pairs
@@ -12,10 +13,15 @@
    entities, so a row of ``right`` that matched two of them would make those
    two one: the E-step therefore shares each right row's probability out over
    its candidates and the chance that it has no partner.
-4. The posterior is the pair's confidence.
+4. Sources have conventions: where they place their origin in a recording, and
+   their gain. Both are estimated from the posteriors, taken out of the
+   similarities, and the mixtures are fitted again.
+5. Rows of one source in ``right`` are distinct as well, so a left row has at
+   most one whole match in a source: its whole matches share out theirs (parts
+   of a divided entity don't). The posterior is the pair's confidence.
 
 Each iteration is one pass over the pairs, which stay partitioned by the right
-row, and returns some forty sums to the driver.
+row, and returns some fifty sums to the driver.
 """
 
 from __future__ import annotations
@@ -33,13 +39,18 @@ from pyspark.sql import types as T
 from spikeloom.functions.keys import recording_key, usable
 from spikeloom.session import cut
 
-HALF, SHIFT = 12, 2  #: samples kept on either side of a peak; shifts tried
-DIMS = ("drow", "dcol", "shape", "rate")
+HALF, SHIFT, SECOND = 12, 2, 0.6  #: samples kept on either side of a peak; shifts tried; least size of a second peak
+DIMS = ("drow", "dcol", "shape", "rate", "gain")
 #: Components: a whole match, a match with a part of a divided unit, close strangers, other strangers.
 MATCHED, UNMATCHED = (0, 1), (2, 3)
 
 
 def _aligned(waves: pd.Series) -> pd.Series:
+    """Each shape cut about its greatest excursion, and about the greatest of the other sign where that is nearly as great.
+
+    Both cuts are scaled to -1 at their middle. The second half is NaN where
+    the other sign's excursion is under ``SECOND`` of the first.
+    """
     size = 2 * (HALF + SHIFT) + 1
     out: list[np.ndarray | None] = []
     for w in waves:
@@ -50,28 +61,33 @@ def _aligned(waves: pd.Series) -> pd.Series:
         if not np.isfinite(w).all() or not np.abs(w).max() > 0:
             out.append(None)
             continue
-        p = int(np.argmax(np.abs(w)))
-        x = np.zeros(size, dtype=np.float32)
-        lo, hi = max(0, p - HALF - SHIFT), min(len(w), p + HALF + SHIFT + 1)
-        x[lo - p + HALF + SHIFT : hi - p + HALF + SHIFT] = w[lo:hi] / -w[p]
-        out.append(x)
+        first, other = sorted((int(w.argmin()), int(w.argmax())), key=lambda p: -abs(w[p]))
+        x = np.full((2, size), np.nan, dtype=np.float32)
+        for k, p in enumerate((first, other) if w[first] * w[other] < 0 and abs(w[other]) >= SECOND * abs(w[first]) else (first,)):
+            x[k] = 0
+            lo, hi = max(0, p - HALF - SHIFT), min(len(w), p + HALF + SHIFT + 1)
+            x[k, lo - p + HALF + SHIFT : hi - p + HALF + SHIFT] = w[lo:hi] / -w[p]
+        out.append(x.ravel())
     return pd.Series(out, dtype=object)
 
 
 def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The greatest correlation over small shifts; missing where a shape is."""
+    """The greatest correlation over small shifts and both cuts of either shape (but not the lesser of both); missing where a shape is."""
     both = (a.notna() & b.notna()).to_numpy()
     out = np.full(len(a), np.nan)
     if both.any():
-        x, y = np.stack(a[both].to_list()).astype(float), np.stack(b[both].to_list()).astype(float)
-        n = 2 * HALF + 1
-        x = x[:, SHIFT : SHIFT + n]
-        x = x - x.mean(1, keepdims=True)
-        x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-12
+        size, n = 2 * (HALF + SHIFT) + 1, 2 * HALF + 1
+        x, y = (np.stack(s[both].to_list()).astype(float).reshape(-1, 2, size) for s in (a, b))
         best = np.full(len(x), -1.0)
-        for k in range(2 * SHIFT + 1):
-            z = y[:, k : k + n] - y[:, k : k + n].mean(1, keepdims=True)
-            best = np.maximum(best, (x * z).sum(1) / (np.linalg.norm(z, axis=1) + 1e-12))
+        for i, j in ((0, 0), (0, 1), (1, 0)):
+            use = np.flatnonzero(~np.isnan(x[:, i, 0]) & ~np.isnan(y[:, j, 0]))
+            p = x[use, i, SHIFT : SHIFT + n]
+            p = p - p.mean(1, keepdims=True)
+            p /= np.linalg.norm(p, axis=1, keepdims=True) + 1e-12
+            for k in range(2 * SHIFT + 1):
+                z = y[use, j, k : k + n]
+                z = z - z.mean(1, keepdims=True)
+                best[use] = np.maximum(best[use], (p * z).sum(1) / (np.linalg.norm(z, axis=1) + 1e-12))
         out[both] = best
     return pd.Series(out)
 
@@ -80,90 +96,97 @@ aligned = F.pandas_udf(_aligned, T.ArrayType(T.FloatType()))
 alike = F.pandas_udf(_alike, T.DoubleType())
 
 
-def prepared(df: DataFrame, key: str, recording: str, row: str, col: str, waveform: str, rate: str, within: DataFrame | None = None) -> DataFrame:
-    """One row per key: ``key, rec, row, col, shape, lograte``. Unusable fields become NULL; rows without key or recording go.
+def prepared(df: DataFrame, key: str, recording: str, row: str, col: str, waveform: str, rate: str, source: str | None = None, within: DataFrame | None = None) -> DataFrame:
+    """One row per key: ``key, rec, source, row, col, shape, lograte, logpeak``. Unusable fields become NULL; rows without key or recording go.
 
-    ``within`` keeps rows of the recordings (``rec``) it holds, before anything is shuffled.
+    ``source`` names who wrote the row, as conventions are its own. ``within``
+    keeps rows of the recordings (``rec``) it holds, before anything is shuffled.
     """
     one = df.select(
-        F.col(key).cast("long").alias("key"), recording_key(recording).alias("rec"),
+        F.col(key).cast("long").alias("key"), recording_key(recording).alias("rec"), (F.col(source).cast("string") if source else F.lit(None).cast("string")).alias("source"),
         F.when(F.col(row) >= 0, F.col(row)).cast("int").alias("row"), F.when(F.col(col) >= 0, F.col(col)).cast("int").alias("col"),
         F.when(F.size(waveform) > 0, F.col(waveform).cast("array<float>")).alias("waveform"),
         F.when(usable(rate) & (F.col(rate) > 0), F.col(rate).cast("double")).alias("rate"),
     ).where("key IS NOT NULL AND rec IS NOT NULL")
     if within is not None:
         one = one.join(within.select("rec").distinct(), "rec", "left_semi")
-    one = one.groupBy("key").agg(*[F.max(c).alias(c) for c in ("rec", "row", "col", "waveform", "rate")])
-    return one.select("key", "rec", "row", "col", aligned("waveform").alias("shape"), F.log("rate").alias("lograte"))
-
+    one = one.groupBy("key").agg(*[F.max(c).alias(c) for c in ("rec", "source", "row", "col", "waveform", "rate")])
+    peak = F.greatest(F.abs(F.array_max("waveform")), F.abs(F.array_min("waveform"))).cast("double")
+    shape = aligned("waveform")
+    return one.select("key", "rec", F.coalesce("source", F.lit("")).alias("source"), "row", "col", shape.alias("shape"), F.log("rate").alias("lograte"), F.when(usable(peak) & (peak > 0) & (peak < float("inf")), F.log(peak)).alias("logpeak"))
 
-def _apart(left: DataFrame, right: DataFrame, chunk: int) -> DataFrame:
-    """Pairs of one recording that know no coordinate in common but share a shape or a rate: ``lkey, rkey``, each once.
 
-    Rows of one side meet those of the other in blocks of about ``chunk`` by
-    ``chunk`` rows, however many a recording has.
-    """
-    row, col = F.col("row").isNotNull(), F.col("col").isNotNull()
-    bare, one_row, one_col = F.lit("bare"), F.lit("row"), F.lit("col")  # what the left (bare: the right) row knows
-    lmarks = F.when(row & col, F.array(bare)).when(row, F.array(bare, one_row)).when(col, F.array(bare, one_col)).otherwise(F.array(bare, F.lit("any")))
-    rmarks = F.when(row & col, F.array(F.lit("any"))).when(row, F.array(F.lit("any"), one_col)).when(col, F.array(F.lit("any"), one_row)).otherwise(F.array(bare))
+def _knows() -> Column:
+    return F.when(F.col("row").isNotNull() & F.col("col").isNotNull(), "full").when(F.col("row").isNotNull(), "row").when(F.col("col").isNotNull(), "col").otherwise("bare")
 
-    def marked(df: DataFrame, side: str, marks: Column) -> DataFrame:
-        some = df.where("shape IS NOT NULL OR lograte IS NOT NULL")
-        return some.select("rec", F.explode(marks).alias("mark"), F.col("key").alias(f"{side}key"), F.col("shape").isNotNull().alias(f"{side}s"), F.col("lograte").isNotNull().alias(f"{side}f"))
 
-    a, b = marked(left, "l", lmarks), marked(right, "r", rmarks)
-    n = lambda df, side: df.groupBy("rec", "mark").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias(f"n{side}"))
-    sizes = n(a, "l").join(n(b, "r"), ["rec", "mark"])
-    own = lambda side: F.pmod(F.xxhash64(f"{side}key"), F.col(f"n{side}")).cast("int")
-    each = lambda side: F.explode(F.sequence(F.lit(0), F.col(f"n{side}") - 1))
-    a = a.join(sizes, ["rec", "mark"]).select("rec", "mark", own("l").alias("x"), each("r").alias("y"), "lkey", "ls", "lf")
-    b = b.join(sizes, ["rec", "mark"]).select("rec", "mark", each("l").alias("x"), own("r").alias("y"), "rkey", "rs", "rf")
-    return a.join(b, ["rec", "mark", "x", "y"]).where("(ls AND rs) OR (lf AND rf)").select("lkey", "rkey")
+#: What a left row knows -> what the right rows know that it shares no coordinate with.
+_APART = {"full": ("bare",), "row": ("bare", "col"), "col": ("bare", "row"), "bare": ("full", "row", "col", "bare")}
 
 
 def candidates(left: DataFrame, right: DataFrame, reach: int = 6, chunk: int = 1000) -> DataFrame:
-    """Pairs of one recording whose known coordinates differ by ``reach`` at most: ``lkey, rkey``.
+    """Pairs of one recording whose known coordinates differ by ``reach`` at most: all fields of both, prefixed ``l`` and ``r``, each pair once.
 
     A block is (recording, row cell, column cell) with cells ``reach`` wide;
     right rows, of which there are fewer, enter their own cell and its
-    neighbours, left rows their own. Where a coordinate is
-    missing on either side, the block is a band of the other one. So a crowded
-    recording divides into its cells. Pairs without a coordinate in common are
-    all candidates (``_apart``), unless they share neither shape nor rate.
+    neighbours, left rows their own. Where one of the two rows lacks a
+    coordinate, the block is a band of the other one. Rows without a coordinate
+    in common are all candidates, unless they share neither shape nor rate:
+    they meet per recording in blocks of about ``chunk`` by ``chunk`` rows,
+    however many a recording has. So a crowded recording divides. Left rows
+    enter only kinds of blocks in which their recording has right rows.
     """
     cell = lambda c: F.floor(F.col(c) / F.lit(reach)).cast("int")
-    spread = lambda c: F.array(*[cell(c) + o for o in (-1, 0, 1)])
-    none = F.lit(None).cast("int")
-    have = {"rc": ("row", "col"), "r": ("row",), "c": ("col",)}
-
-    def keyed(df: DataFrame, mark: str, x: Column, y: Column) -> DataFrame:
-        return df.select("key", "rec", "row", "col", F.lit(mark).alias("mark"), x.alias("x"), y.alias("y"))
-
-    def blocks(df: DataFrame, wide: bool, lone: bool) -> DataFrame:
-        """``lone``: which coordinate blocks a row enters only if it lacks the other one."""
-        at = (lambda c: F.explode(spread(c))) if wide else cell
-        full = df.where("row IS NOT NULL AND col IS NOT NULL")
-        parts = [keyed(full.select("key", "rec", "row", "col", at("row").alias("_x")).withColumn("_c", F.col("col")).select("key", "rec", "row", "col", "_x", (F.explode(spread("col")) if wide else cell("col")).alias("_y")), "rc", F.col("_x"), F.col("_y"))]
-        for mark, other in (("r", "col"), ("c", "row")):
-            own = have[mark][0]
-            some = df.where(F.col(own).isNotNull() & (F.col(other).isNull() if lone else F.lit(True)))
-            parts.append(keyed(some.select("key", "rec", "row", "col", at(own).alias("_x")), mark, F.col("_x"), none))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-
-    def met(le: DataFrame, ri: DataFrame) -> DataFrame:
-        a = le.select(F.col("key").alias("lkey"), F.col("row").alias("lrow"), F.col("col").alias("lcol"), "rec", "mark", "x", "y")
-        b = ri.select(F.col("key").alias("rkey"), F.col("row").alias("rrow"), F.col("col").alias("rcol"), "rec", "mark", "x", "y")
-        on = (a["rec"] == b["rec"]) & (a["mark"] == b["mark"]) & (a["x"] == b["x"]) & a["y"].eqNullSafe(b["y"])
-        near = lambda p, q: F.coalesce(F.abs(F.col(p) - F.col(q)) <= reach, F.lit(True))
-        return a.join(b, on).where(near("lrow", "rrow") & near("lcol", "rcol")).select("lkey", "rkey")
-
-    # Right rows that lack a coordinate meet all left rows of the band; left rows that lack one meet all right rows.
-    lacking_left = left.where("row IS NULL OR col IS NULL")
-    return met(blocks(left, False, False), blocks(right, True, True)).unionAll(met(blocks(lacking_left, True, True), blocks(right, False, False))).distinct().unionAll(_apart(left, right, chunk))
+    some = F.col("shape").isNotNull() | F.col("lograte").isNotNull()
+    n = lambda df: df.where(some).groupBy("rec", "knows").agg(F.count("*").alias("n"))
+    le, ri = left.withColumn("knows", _knows()), right.withColumn("knows", _knows())
+    # Per recording: what its right rows know, and into how many chunks each kind of row is cut.
+    kinds = ri.groupBy("rec").agg(F.collect_set("knows").alias("has"))  # at most four values
+    parts = lambda df: F.map_from_entries(F.collect_list(F.struct("knows", F.ceil(F.col("n") / F.lit(float(chunk))).cast("int").alias("k"))))
+    sizes = kinds.join(n(le).groupBy("rec").agg(parts(le).alias("lk")), "rec", "left").join(n(ri).groupBy("rec").agg(parts(ri).alias("rk")), "rec", "left")
+
+    def block(mark: str | Column, x: Column, y: Column) -> Column:
+        return F.struct((F.lit(mark) if isinstance(mark, str) else mark).alias("mark"), x.cast("int").alias("x"), y.cast("int").alias("y"))
+
+    zero, has = F.lit(0), lambda *k: F.arrays_overlap("has", F.array(*map(F.lit, k)))
+    around = [F.lit(o) for o in (-1, 0, 1)]
+    none = F.array().cast("array<struct<mark:string,x:int,y:int>>")
+    pick = lambda cond, blocks: F.when(cond, blocks).otherwise(none)
+
+    def apart(me: str, other: str, mine_left: bool) -> Column:
+        """The chunk blocks of a row that knows ``me`` against rows that know ``other``: its own chunk by all of theirs."""
+        mark = f"{me}-{other}" if mine_left else f"{other}-{me}"
+        k_me, k_other = ("lk", "rk") if mine_left else ("rk", "lk")
+        own = F.pmod(F.xxhash64("key"), F.element_at(k_me, F.lit(me))).cast("int")
+        theirs = F.sequence(zero, F.coalesce(F.try_element_at(k_other, F.lit(other)), zero) - 1)
+        made = F.transform(theirs, lambda t: block(mark, own if mine_left else t, t if mine_left else own))
+        return pick((F.col("knows") == me) & some & (F.coalesce(F.try_element_at(k_other, F.lit(other)), zero) > 0), made)
+
+    knows = lambda *k: F.col("knows").isin(*k)
+    l_blocks = [
+        pick(knows("full") & has("full"), F.array(block("rc", cell("row"), cell("col")))),
+        pick(knows("full", "row") & has("row"), F.array(block("r", cell("row"), zero))),
+        pick(knows("full", "col") & has("col"), F.array(block("c", cell("col"), zero))),
+        pick(knows("row") & has("full"), F.array(*[block("R", cell("row") + o, zero) for o in around])),
+        pick(knows("col") & has("full"), F.array(*[block("C", cell("col") + o, zero) for o in around])),
+        *[apart(me, other, True) for me, others in _APART.items() for other in others],
+    ]
+    r_blocks = [
+        pick(knows("full"), F.array(*[block("rc", cell("row") + o, cell("col") + q) for o in around for q in around], block("R", cell("row"), zero), block("C", cell("col"), zero))),
+        pick(knows("row"), F.array(*[block("r", cell("row") + o, zero) for o in around])),
+        pick(knows("col"), F.array(*[block("c", cell("col") + o, zero) for o in around])),
+        *[apart(other, me, False) for me, others in _APART.items() for other in others],
+    ]
+    fields = ("key", "source", "row", "col", "shape", "lograte", "logpeak")
+
+    def placed(df: DataFrame, blocks: list[Column], side: str) -> DataFrame:
+        rows = df.join(sizes, "rec").select("rec", F.explode(F.concat(*blocks)).alias("b"), *[F.col(c).alias(f"{side}{c}") for c in fields])
+        return rows.select("rec", "b.mark", "b.x", "b.y", *[f"{side}{c}" for c in fields])
+
+    met = placed(le, l_blocks, "l").join(placed(ri, r_blocks, "r"), ["rec", "mark", "x", "y"])
+    near = lambda p, q: F.coalesce(F.abs(F.col(p) - F.col(q)) <= reach, F.lit(True))
+    share = F.col("mark").contains("-") & ~((F.col("lshape").isNotNull() & F.col("rshape").isNotNull()) | (F.col("llograte").isNotNull() & F.col("rlograte").isNotNull()))
+    return met.where(near("lrow", "rrow") & near("lcol", "rcol") & ~share).drop("mark", "x", "y")
 
 
 @dataclass
@@ -186,7 +209,7 @@ class Mixture:
 
 
 def _scored(pairs: DataFrame, mix: Mixture) -> DataFrame:
-    """Adds ``l0..l3`` (log densities) and ``p``, the posterior under the constraint."""
+    """Adds ``l0..l3`` (log densities) and ``p``, the posterior under the constraint on right rows."""
     d = pairs.select("*", *[mix.log_density(k).alias(f"l{k}") for k in (*MATCHED, *UNMATCHED)])
     lse = lambda a, b: F.greatest(a, b) + F.log1p(F.exp(F.least(a, b) - F.greatest(a, b)))
     d = d.select("*", lse(F.col("l0"), F.col("l1")).alias("lm"), lse(F.col("l2"), F.col("l3")).alias("lu"))
@@ -195,21 +218,27 @@ def _scored(pairs: DataFrame, mix: Mixture) -> DataFrame:
     return d.withColumn("p", F.col("odds") / (1.0 + F.sum("odds").over(Window.partitionBy("rkey"))))
 
 
-def fit(pairs: DataFrame, max_steps: int = 40, tol: float = 4e-3, ridge: float = 0.02) -> Mixture:
+def fit(pairs: DataFrame, start: Mixture | None = None, max_steps: int = 40, tol: float = 4e-3, ridge: float = 0.02) -> Mixture:
     """The mixture of matched and unmatched pairs, by EM over all pairs. ``ridge`` regularises variances.
 
     Starts without labels: matched components at the upper end of the shape
-    similarities and at small differences, unmatched ones at the middle.
+    similarities and at small differences, unmatched ones at the middle; or
+    from ``start``, with differences free of conventions.
     """
     whole = pairs.agg(*[F.avg(d).alias(f"m_{d}") for d in DIMS], *[F.var_pop(d).alias(f"v_{d}") for d in DIMS], F.percentile_approx("shape", [0.5, 0.95]).alias("q")).first()
     mean = [whole[f"m_{d}"] if whole[f"m_{d}"] is not None else 0.0 for d in DIMS]
     var = [max(whole[f"v_{d}"] or 0.0, 1e-2) for d in DIMS]
     low, high = whole["q"] if whole["q"] else (1.0, 2.5)
-    mix = Mixture(
-        [0.15, 0.03, 0.41, 0.41],
-        [[1.0, 1.0, high, 0.0], [1.0, 1.0, high, -0.7], [mean[0], mean[1], low, mean[3]], [mean[0], mean[1], (low + high) / 2, mean[3]]],
-        [[1.0, 1.0, var[2] / 4, 0.02], [1.0, 1.0, var[2] / 4, 0.06], list(var), list(var)],
-    )
+    if start is None:
+        mix = Mixture(
+            [0.15, 0.03, 0.41, 0.41],
+            [[1.0, 1.0, high, 0.0, 0.0], [1.0, 1.0, high, -0.7, 0.0], [mean[0], mean[1], low, mean[3], mean[4]], [mean[0], mean[1], (low + high) / 2, mean[3], mean[4]]],
+            [[1.0, 1.0, var[2] / 4, 0.02, 0.1], [1.0, 1.0, var[2] / 4, 0.06, 0.1], list(var), list(var)],
+        )
+    else:
+        centred = lambda k: [0.0, 0.0, start.mean[k][2], start.mean[k][3], 0.0] if k in MATCHED else [mean[0], mean[1], start.mean[k][2], start.mean[k][3], mean[4]]
+        spread = lambda k: [0.5, 0.5, start.var[k][2], start.var[k][3], 0.05] if k in MATCHED else [var[0], var[1], start.var[k][2], start.var[k][3], var[4]]
+        mix = Mixture(list(start.weight), [centred(k) for k in range(4)], [spread(k) for k in range(4)])
     for _ in range(max_steps):
         d = _scored(pairs, mix)
         parts = {
@@ -243,25 +272,49 @@ def fit(pairs: DataFrame, max_steps: int = 40, tol: float = 4e-3, ridge: float =
     return mix
 
 
-def link(left: DataFrame, right: DataFrame, reach: int = 6) -> DataFrame:
+def _centred(pairs: DataFrame, scored: DataFrame) -> DataFrame:
+    """The pairs with each source's conventions taken out: its offset in a recording (drawn to 0 by one pair's weight), and its gain."""
+    off = lambda c: (F.coalesce(F.sum(F.col("p") * F.col(c)), F.lit(0.0)) / (1.0 + F.coalesce(F.sum(F.when(F.col(c).isNotNull(), F.col("p"))), F.lit(0.0))))
+    place = scored.groupBy("rec", "source").agg(off("srow").alias("orow"), off("scol").alias("ocol"))
+    gain = scored.where("sgain IS NOT NULL").groupBy("source").agg((F.sum(F.col("p") * F.col("sgain")) / F.sum("p")).alias("ogain"))
+    out = pairs.join(place, ["rec", "source"], "left").join(gain, "source", "left")
+    keep = [c for c in pairs.columns if c not in ("drow", "dcol", "gain")]
+    return out.select(*keep, (F.col("srow") - F.col("orow")).alias("drow"), (F.col("scol") - F.col("ocol")).alias("dcol"), (F.col("sgain") - F.col("ogain")).alias("gain"))
+
+
+def _by_right(pairs: DataFrame) -> DataFrame:
+    return pairs.repartition("rkey").sortWithinPartitions("rkey").persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def link(left: DataFrame, right: DataFrame, reach: int = 6, rounds: int = 2) -> DataFrame:
     """Confidence of every candidate pair: ``lkey, rkey`` , the similarities and ``confidence``.
 
-    ``left`` and ``right`` come from ``prepared``. Pairs that share no usable
-    field get no say: with all dimensions missing their odds are the prior's.
-    Empty tables give an empty result.
+    ``left`` and ``right`` come from ``prepared``; ``right`` is read several
+    times, so it should be a written table. Conventions are estimated
+    ``rounds`` times. Pairs that share no usable field get no say: with all
+    dimensions missing their odds are the prior's. Empty tables give an empty
+    result.
     """
-    ri = cut(right, "right")
-    le = cut(left.join(ri.select("rec").distinct(), "rec", "left_semi"), "left")  # other recordings have no partner
-    pairs = candidates(le, ri, reach)
-    a = le.select(F.col("key").alias("lkey"), F.col("row").alias("lrow"), F.col("col").alias("lcol"), F.col("shape").alias("lshape"), F.col("lograte").alias("lrate"))
-    b = ri.select(F.col("key").alias("rkey"), F.col("row").alias("rrow"), F.col("col").alias("rcol"), F.col("shape").alias("rshape"), F.col("lograte").alias("rrate"))
-    both = pairs.join(a, "lkey").join(b, "rkey")
-    cc = alike("lshape", "rshape")
-    both = both.select("lkey", "rkey", F.abs(F.col("rrow") - F.col("lrow")).cast("double").alias("drow"), F.abs(F.col("rcol") - F.col("lcol")).cast("double").alias("dcol"), cc.alias("cc"), (F.col("rrate") - F.col("lrate")).alias("rate"))
+    le = cut(left.join(right.select("rec").distinct(), "rec", "left_semi"), "left")  # other recordings have no partner
+    both = candidates(le, right, reach)
+    both = both.select(
+        "rec", F.col("rsource").alias("source"), "lkey", "rkey", (F.col("rrow") - F.col("lrow")).cast("double").alias("srow"), (F.col("rcol") - F.col("lcol")).cast("double").alias("scol"),
+        alike("lshape", "rshape").alias("cc"), (F.col("rlograte") - F.col("llograte")).alias("rate"), (F.col("rlogpeak") - F.col("llogpeak")).alias("sgain"),
+    )
     shape = F.when(F.col("cc").isNotNull() & ~F.isnan("cc"), -F.log10(1.0 - F.col("cc") + 1e-3))
-    both = cut(both.select("lkey", "rkey", "drow", "dcol", shape.alias("shape"), "rate"), "pairs")
-    kept = both.repartition("rkey").sortWithinPartitions("rkey").persist(StorageLevel.MEMORY_AND_DISK)
+    both = cut(both.select("*", F.abs("srow").alias("drow"), F.abs("scol").alias("dcol"), shape.alias("shape"), F.lit(None).cast("double").alias("gain")).drop("cc"), "pairs")
+    kept = _by_right(both)
     mix = fit(kept)
-    out = cut(_scored(kept, mix).select("lkey", "rkey", *DIMS, F.col("p").alias("confidence")), "links")
+    for _ in range(rounds):
+        scored = _scored(kept, mix).select("rec", "source", "srow", "scol", "sgain", "p")
+        new = _by_right(_centred(kept, scored))
+        mix = fit(new, mix)
+        kept.unpersist()
+        kept = new
+    whole = F.col("p") * F.exp(F.col("l0") - F.col("lm"))
+    out = _scored(kept, mix).withColumn("whole", F.least(whole, F.lit(1 - 1e-9))).withColumn("part", F.greatest(F.col("p") - whole, F.lit(0.0)))
+    odds = F.col("whole") / (1.0 - F.col("whole"))
+    out = out.withColumn("confidence", F.col("part") + (1 - F.col("part")) * odds / (1.0 + F.sum(odds).over(Window.partitionBy("lkey", "source"))))
+    out = cut(out.select("lkey", "rkey", *DIMS, "confidence"), "links")
     kept.unpersist()
     return out

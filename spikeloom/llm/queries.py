@@ -44,7 +44,7 @@ def p2_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_scores(spark: SparkSession, d: str) -> DataFrame:
-    right = cut(prepared(table(spark, d, "resorted_units"), "resort_key", "file_name", "row", "col", "waveform", "mean_firing_rate"), "right")
+    right = cut(prepared(table(spark, d, "resorted_units"), "resort_key", "file_name", "row", "col", "waveform", "mean_firing_rate", "sorter"), "right")
     left = prepared(table(spark, d, "units"), "unit_key", "dataset_id", "row", "col", "waveform", "mean_firing_rate", within=right)
     return link(left, right).withColumnsRenamed({"lkey": "unit_key", "rkey": "resort_key"})
 
