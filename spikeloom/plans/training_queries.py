@@ -12,19 +12,32 @@ from spikeloom.session import table
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     docs = drift.snapshot_documents(table(spark, d, "stimulus_snapshots"))
-    return drift.changes(docs, 2).select(F.col("doc_key").alias("snapshot_id"), "field_path", "change")
+    return drift.changes(docs, drift.fuse(docs), 2).select(F.col("doc_key").alias("snapshot_id"), "field_path", "change")
 
 
 def p1_schema(spark: SparkSession, d: str) -> DataFrame:
     docs = drift.snapshot_documents(table(spark, d, "stimulus_snapshots"))
-    fused = drift.fuse(docs, 2)
+    fused = drift.fuse(docs)
     at = lambda c: F.unix_micros(F.col(c).cast("timestamp")).alias(f"{c}_us")
     return fused.select(F.col("path").alias("field_path"), F.col("tag").alias("type"), "n_documents", at("first_at"), at("last_at"), F.col("n_alternatives").cast("long").alias("n_alternatives"), "canonical")
 
 
 def p1_table(spark: SparkSession, d: str) -> DataFrame:
     docs = drift.snapshot_documents(table(spark, d, "stimulus_snapshots"))
-    return drift.typed_branches(docs, drift.fuse(docs, 2)).withColumnsRenamed({"doc_key": "snapshot_id", "path": "field_path", "tag": "type"})
+    got = drift.typed_branches(docs, drift.fuse(docs)).withColumnsRenamed({"doc_key": "snapshot_id", "path": "field_path", "tag": "type"})
+    return got.withColumn("as_integer", F.col("as_integer").cast("string"))
+
+
+def p1_wide(spark: SparkSession, d: str) -> DataFrame:
+    """One row per snapshot and one column per field; conflicting fields as typed branches."""
+    docs = drift.snapshot_documents(table(spark, d, "stimulus_snapshots"))
+    return drift.wide_table(docs, drift.fuse(docs)).withColumnRenamed("doc_key", "snapshot_id")
+
+
+def p1_alternatives(spark: SparkSession, d: str) -> DataFrame:
+    docs = drift.snapshot_documents(table(spark, d, "stimulus_snapshots"))
+    got = drift.appearances(docs, 2)
+    return got.select(F.col("s0").alias("rig"), F.col("s1").alias("movie"), F.col("path").alias("field_path"), F.col("tag").alias("type"), F.unix_micros(F.col("first_at").cast("timestamp")).alias("first_at_us"), F.col("doc_key").alias("snapshot_id"), "replaces")
 
 
 def rate_grid(spark: SparkSession, d: str) -> DataFrame:
@@ -46,7 +59,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return both.where(F.col("status").isin("filled", "missing")).select("source_kind", "source_key", "bin_no")
 
 
-QUERIES = {"p1_found": p1_found, "p1_schema": p1_schema, "p1_table": p1_table, "p5_found": p5_found, "p5_grid": p5_grid}
+QUERIES = {"p1_found": p1_found, "p1_schema": p1_schema, "p1_table": p1_table, "p1_wide": p1_wide, "p1_alternatives": p1_alternatives, "p5_found": p5_found, "p5_grid": p5_grid}
 
 _MEMBERS = """
 docs AS (
@@ -97,6 +110,30 @@ WITH {_MEMBERS}, alt AS (
 SELECT path AS field_path, tag AS type, n AS n_documents, a AS first_at_us, z AS last_at_us, k AS n_alternatives,
   CASE WHEN k = 1 THEN one WHEN numeric THEN 'decimal' ELSE 'text' END AS canonical
 FROM alt JOIN tags USING (path)
+""",
+    "p1_table": f"""
+WITH {_MEMBERS}, tags AS (
+  SELECT path, count(DISTINCT tag) AS k, min(tag) AS one, bool_and(tag IN ('integer', 'decimal')) AS numeric FROM fields GROUP BY path
+), objects AS (
+  SELECT DISTINCT text, unnest(json_keys(text::JSON)) AS name FROM fields WHERE tag = 'object'
+), sorted AS (
+  SELECT text, '{{' || string_agg('"' || name || '":' || CAST(json_extract(text::JSON, '$."' || name || '"') AS VARCHAR), ',' ORDER BY name) || '}}' AS j FROM objects GROUP BY text
+), typed AS (
+  SELECT f.*, CASE WHEN tag = 'object' THEN coalesce(sorted.j, '{{}}') ELSE CAST(json(text) AS VARCHAR) END AS laid_out, CASE WHEN k = 1 THEN one WHEN numeric THEN 'decimal' ELSE 'text' END AS canonical, json_extract_string(('{{"x":' || text || '}}')::JSON, '$.x') AS plain
+  FROM fields f JOIN tags USING (path) LEFT JOIN sorted USING (text)
+)
+SELECT snapshot_id, path AS field_path, tag AS type, canonical, CASE WHEN tag = 'integer' THEN text END AS as_integer, CASE WHEN tag = 'decimal' THEN CAST(text AS DOUBLE) END AS as_decimal,
+  CASE WHEN tag = 'text' THEN plain END AS as_text, CASE WHEN tag = 'boolean' THEN CAST(text AS BOOLEAN) END AS as_boolean,
+  CASE WHEN tag IN ('array', 'object') THEN laid_out END AS as_json,
+  CASE WHEN canonical = 'decimal' OR tag = 'decimal' THEN CAST(CAST(text AS DOUBLE) AS VARCHAR) WHEN tag = 'text' THEN plain WHEN tag IN ('array', 'object') THEN laid_out ELSE text END AS canonical_value
+FROM typed
+""",
+    "p1_alternatives": f"""
+WITH {_MEMBERS}, alt AS (
+  SELECT rig, movie, path, tag, min((exported_at, snapshot_id)) AS f FROM fields JOIN docs USING (snapshot_id) WHERE exported_at IS NOT NULL GROUP BY ALL
+)
+SELECT rig, movie, path AS field_path, tag AS type, epoch_us(f[1]) AS first_at_us, f[2] AS snapshot_id,
+  row_number() OVER (PARTITION BY rig, movie, path ORDER BY f, tag) > 1 AS replaces FROM alt
 """,
     "p5_found": """
 WITH r AS (

@@ -15,7 +15,7 @@ def docs(spark, raws, rig="r"):
 
 def report(spark, raws):
     d = drift.documents_of(docs(spark, raws), "snapshot_id", ("rig", "movie"), "exported_at", "raw")
-    return sorted((r.doc_key, r.field_path, r.change) for r in drift.changes(d, 2).collect())
+    return sorted((r.doc_key, r.field_path, r.change) for r in drift.changes(d, drift.fuse(d), 2).collect())
 
 
 def test_changes(spark):
@@ -46,20 +46,20 @@ def test_dirt_and_ties(spark):
     ]
     d = drift.documents_of(spark.createDataFrame(rows, DDL), "snapshot_id", ("rig", "movie"), "exported_at", "raw")
     assert sorted(r.doc_key for r in d.collect()) == [3, 10, 11, 12]
-    got = sorted((r.doc_key, r.field_path, r.change) for r in drift.changes(d, 2).collect())
+    got = sorted((r.doc_key, r.field_path, r.change) for r in drift.changes(d, drift.fuse(d), 2).collect())
     assert got == [(10, "a", "removed"), (10, "b", "added"), (12, "b", "removed")]
 
 
 def test_empty(spark):
     d = drift.documents_of(docs(spark, []), "snapshot_id", ("rig", "movie"), "exported_at", "raw")
-    assert drift.changes(d, 2).count() == 0 and drift.fuse(d, 2).count() == 0 and drift.typed_branches(d, drift.fuse(d, 2)).count() == 0
+    assert drift.changes(d, drift.fuse(d), 2).count() == 0 and drift.fuse(d).count() == 0 and drift.typed_branches(d, drift.fuse(d)).count() == 0
 
 
 def test_union_schema_and_branches(spark):
     d = drift.documents_of(docs(spark, ['{"a": 1, "b": "x"}', '{"a": 1.5, "b": true}', '{"a": 12345678901234567890, "b": [1]}']), "snapshot_id", ("rig", "movie"), "exported_at", "raw")
-    fused = {(r.path, r.tag): (r.n_documents, r.n_alternatives, r.canonical) for r in drift.fuse(d, 2).collect()}
+    fused = {(r.path, r.tag): (r.n_documents, r.n_alternatives, r.canonical) for r in drift.fuse(d).collect()}
     assert fused == {("a", "integer"): (2, 2, "decimal"), ("a", "decimal"): (1, 2, "decimal"), ("b", "text"): (1, 3, "text"), ("b", "boolean"): (1, 3, "text"), ("b", "array"): (1, 3, "text")}
-    rows = {(r.doc_key, r.path): r for r in drift.typed_branches(d, drift.fuse(d, 2)).collect()}
+    rows = {(r.doc_key, r.path): r for r in drift.typed_branches(d, drift.fuse(d)).collect()}
     assert rows[0, "a"].as_integer == 1 and rows[0, "a"].as_decimal is None and float(rows[0, "a"].canonical_value) == 1.0
     assert rows[1, "a"].as_decimal == 1.5 and rows[0, "b"].as_text == "x" and rows[0, "b"].canonical_value == "x"
     assert rows[1, "b"].as_boolean is True and rows[2, "b"].as_json == "[1]"
@@ -69,3 +69,28 @@ def test_long_series_across_buckets(spark):
     raws = ['{"n": %s}' % (i if i % 2 else f"{i}.5") for i in range(40)]
     got = report(spark, raws)
     assert got == [(i, "n", "retyped") for i in range(1, 40)]  # each a bucket further on
+
+
+def test_repeated_names_and_long_integers(spark):
+    d = drift.documents_of(docs(spark, ['{"a": 1, "a": "x", "n": %s}' % ("7" * 42), '{"a": "y", "n": 1e40, "m": -3}', '{"n": %s.5}' % ("7" * 42)]), "snapshot_id", ("rig", "movie"), "exported_at", "raw")
+    got = {(r.doc_key, m.path): m.tag for r in d.collect() for m in r.members}
+    assert got == {(0, "a"): "text", (0, "n"): "integer", (1, "a"): "text", (1, "n"): "decimal", (1, "m"): "integer", (2, "n"): "decimal"}
+
+
+def test_appearing_alternatives(spark):
+    d = drift.documents_of(docs(spark, ['{"a": 1}', '{"a": 1.5, "b": 2}', '{"a": 2}', '{"b": "x"}']), "snapshot_id", ("rig", "movie"), "exported_at", "raw")
+    got = {(r.path, r.tag): (r.doc_key, r.replaces) for r in drift.appearances(d, 2).collect()}
+    assert got == {("a", "integer"): (0, False), ("a", "decimal"): (1, True), ("b", "integer"): (1, False), ("b", "text"): (3, True)}
+
+
+def test_wide_table(spark):
+    import pytest
+
+    d = drift.documents_of(docs(spark, ['{"a": 1, "k": {"b": "x", "c d": [1, 2]}}', '{"a": 1.5, "k": {"b": true}}', "{}"]), "snapshot_id", ("rig", "movie"), "exported_at", "raw")
+    rows = {r.doc_key: r for r in drift.wide_table(d, drift.fuse(d)).collect()}
+    assert rows[0].__fields__ == ["doc_key", "a", "k.b", "k.c d"]
+    assert rows[0]["a"].value == 1.0 and rows[0]["a"].as_integer == 1 and rows[0]["a"].as_decimal is None and rows[1]["a"].as_decimal == 1.5
+    assert rows[0]["k.b"].value == "x" and rows[1]["k.b"].value == "true" and rows[1]["k.b"].as_boolean is True and rows[0]["k.c d"] == "[1,2]"
+    assert rows[2]["a"] is None and rows[2]["k.b"] is None
+    with pytest.raises(ValueError, match="more than 2"):
+        drift.wide_table(d, drift.fuse(d), 2)
