@@ -26,6 +26,7 @@ def grid_clusters(
     dense_share: float = 0.0008,
     smooth: bool = True,
     min_share: float = 0.02,
+    rings: int = 2,
     max_rounds: int = 200,
 ) -> tuple[DataFrame, DataFrame]:
     """Clusters of records by the density of grid cells: ``members`` and ``cells``.
@@ -35,8 +36,9 @@ def grid_clusters(
     (weights 1, 1/2, 1/4, ... by the number of steps) where ``smooth``. Cells of
     density ``dense_share`` or more are dense. Dense cells that touch (corners
     included) share a cluster; a sparse cell that holds records joins the
-    neighbour of greatest density that is dense, its records are the rim of
-    that cluster. A cluster holds at least ``min_share`` of the records; other
+    dense neighbour of greatest density, its records are the rim of that
+    cluster. So do the cells behind it, up to ``rings`` steps from a dense
+    cell, each by a neighbour of the ring before it that holds records. A cluster holds at least ``min_share`` of the records; other
     records are strays.
 
     ``members``: ``key, cluster_key, density`` with the smallest key of the
@@ -66,7 +68,7 @@ def grid_clusters(
     total = points.count()
     if smooth:
         spread = counts.select(*cs, "n", step).select(*moved, (F.col("n") * F.col("o.w")).alias("d"), F.when(F.col("o.w") == 1.0, F.col("n")).otherwise(0).alias("n"))
-        cells = spread.groupBy(*cs).agg(F.sum("n").alias("n"), (F.sum("d") / 8.0).alias("d"))
+        cells = spread.groupBy(*cs).agg(F.sum("n").alias("n"), (F.sum("d") / float(2 ** len(names))).alias("d"))  # the kernel's sum
     else:
         cells = counts.withColumn("d", F.col("n").cast("double"))
     cells = cells.select(*cs, "n", (F.col("d") / float(max(total, 1))).alias("density"))
@@ -94,10 +96,14 @@ def grid_clusters(
     else:
         raise RuntimeError("labels didn't settle; raise max_rounds")
 
-    marked = cells.join(labels, "code", "left")
-    edge = marked.where("label IS NULL").select("code", *cs, hop).select("code", *moved)
-    best = edge.join(marked.where("label IS NOT NULL").select(*cs, "density", "label", F.col("code").alias("at")), cs).groupBy("code").agg(F.max(F.struct("density", (-F.col("at")).alias("at"), "label")).alias("b"))
-    cells = marked.join(best, "code", "left").select("code", *cs, "n", "density", F.coalesce("label", "b.label").alias("label"))
+    for ring in range(rings):
+        marked = cells.join(labels, "code", "left")
+        edge = marked.where("label IS NULL AND n > 0").select("code", *cs, hop).select("code", *moved)
+        known = marked.where("label IS NOT NULL" if ring == 0 else "label IS NOT NULL AND n > 0")
+        best = edge.join(known.select(*cs, "density", "label", F.col("code").alias("at")), cs).groupBy("code").agg(F.max(F.struct("density", (-F.col("at")).alias("at"), "label")).alias("b"))
+        joined = marked.where("label IS NOT NULL").select("code", "label").unionByName(best.select("code", F.col("b.label").alias("label")))
+        labels = cut(joined, "labels") if ring + 1 < rings else joined
+    cells = cells.join(labels, "code", "left").select("code", *cs, "n", "density", "label")
     sizes = cells.where("label IS NOT NULL").groupBy("label").agg(F.sum("n").alias("size"))
     kept = sizes.where(F.col("size") >= min_share * total)
     cells = cut(cells.join(kept.select("label", "size"), "label", "left_outer").withColumn("label", F.when(F.col("size").isNotNull(), F.col("label"))), "cells")

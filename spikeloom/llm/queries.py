@@ -103,8 +103,13 @@ dense AS (SELECT * FROM cell WHERE density >= 0.0008),
 nb AS (SELECT p.code AS a, q.code AS b FROM dense p JOIN off ON true JOIN dense q ON q.x = p.x + off.a AND q.y = p.y + off.b AND q.z = p.z + off.c),
 reach AS (SELECT code AS node, code AS seen FROM dense UNION SELECT r.node, nb.b FROM reach r JOIN nb ON r.seen = nb.a),
 lab AS (SELECT node AS code, min(seen) AS label FROM reach GROUP BY node),
-rim AS (SELECT c.code, arg_max(lab.label, (q.density, -q.code)) AS label FROM cell c JOIN off ON true
+rim1 AS (SELECT c.code, arg_max(lab.label, (q.density, -q.code)) AS label FROM cell c JOIN off ON true
   JOIN dense q ON q.x = c.x + off.a AND q.y = c.y + off.b AND q.z = c.z + off.c JOIN lab ON lab.code = q.code WHERE c.n > 0 AND c.density < 0.0008 GROUP BY c.code),
+in1 AS (SELECT code, label FROM lab UNION ALL SELECT code, label FROM rim1),
+rim2 AS (SELECT c.code, arg_max(in1.label, (q.density, -q.code)) AS label FROM cell c JOIN off ON true
+  JOIN cell q ON q.x = c.x + off.a AND q.y = c.y + off.b AND q.z = c.z + off.c JOIN in1 ON in1.code = q.code
+  WHERE c.n > 0 AND q.n > 0 AND c.code NOT IN (SELECT code FROM in1) GROUP BY c.code),
+rim AS (SELECT * FROM rim1 UNION ALL SELECT * FROM rim2),
 mem AS (SELECT unit_key, label, cell.density FROM pts JOIN cell USING (x, y, z) JOIN (SELECT * FROM lab UNION ALL SELECT * FROM rim) USING (code)),
 big AS (SELECT label, min(unit_key) AS cluster_key, count(*) AS n_units FROM mem GROUP BY label HAVING count(*) >= 0.02 * (SELECT total FROM total))
 """
