@@ -24,6 +24,9 @@ from spikeloom.functions.keys import usable
 from spikeloom.session import cut
 
 
+LAST_BIN = 2.0**53  #: bins beyond can't be told apart
+
+
 def _shifted(m: list[Column], g: Column, p: int) -> Column:
     """The sum of (x - g)^p from the sums of x^0..x^p."""
     binomial = {0: [1], 1: [1, 1], 2: [1, 2, 1], 3: [1, 3, 3, 1], 4: [1, 4, 6, 4, 1]}[p]
@@ -60,13 +63,14 @@ def regular_grid(
     ``min_support``, else ``missing`` (value NULL).
 
     Nulls: rows without source, or whose time or value is NULL, NaN or
-    negative, or whose time is infinite, are no readings. Repeated rows and ties: of readings of one
+    negative, or whose time is infinite or behind bin ``LAST_BIN``, are no
+    readings. Repeated rows and ties: of readings of one
     source at one time, the one greatest in the ``newest`` columns counts, then
     the greatest value. An empty table gives an empty grid. Other columns of
     the input, whatever their names, are ignored.
     """
     t, y = F.col(time), F.col(value)
-    ok = readings.where(F.col(source).isNotNull() & usable(time) & (t < float("inf")) & usable(value))
+    ok = readings.where(F.col(source).isNotNull() & usable(time) & (t < float("inf")) & (t < LAST_BIN * step) & usable(value))
     bin_no = F.floor(t / F.lit(step)).cast("long")
     rows = ok.select(
         F.col(source).cast("long").alias("source_key"),
@@ -81,9 +85,11 @@ def regular_grid(
     counted = cut(rows.groupBy("source_key", chunk(F.col("b")).alias("chunk")).agg(F.count("*").alias("n"), F.min("b").alias("lo"), F.max("b").alias("hi")), "chunks")
     hot = counted.where(F.col("n") > hot_rows).select("source_key", "chunk")
     spans = counted.groupBy("source_key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    markers = spans.select(
-        "source_key", "lo", "hi", F.explode(F.sequence(chunk(F.col("lo")), chunk(F.col("hi")))).alias("chunk")
-    ).select(
+    # Chunks unfold in two steps, so that no row holds an array of more than a block of them, however far a source's times spread.
+    block = lambda c: F.floor(c / F.lit(4096)).cast("long")
+    blocks = spans.select("source_key", "lo", "hi", F.explode(F.sequence(block(chunk(F.col("lo"))), block(chunk(F.col("hi"))))).alias("block"))
+    inside = F.sequence(F.greatest(chunk(F.col("lo")), F.col("block") * 4096), F.least(chunk(F.col("hi")), F.col("block") * 4096 + 4095))
+    markers = blocks.select("source_key", "lo", "hi", F.explode(inside).alias("chunk")).select(
         "source_key", "chunk", F.greatest("lo", F.col("chunk") * size).alias("from"),
         F.least("hi", F.col("chunk") * size + size - 1).alias("to"),
     )
@@ -143,9 +149,9 @@ def event_rates(events: DataFrame, source: str, time: str, step: float, same: tu
     """Point events as one reading per filled bin: events per unit of time, at the bin's centre.
 
     Events equal in ``source``, ``time`` and the ``same`` columns count once.
-    Rows without source, or with a NULL, NaN or negative time, are no events.
+    Rows without source, or with a NULL, NaN, negative or infinite time, are no events.
     """
-    ok = events.where(F.col(source).isNotNull() & usable(time))
+    ok = events.where(F.col(source).isNotNull() & usable(time) & (F.col(time) < float("inf")) & (F.col(time) < LAST_BIN * step))
     cols = [F.col(source).cast("long").alias("source_key"), F.col(time).cast("double").alias("t")]
     once = ok.select(*cols, *[F.col(c).alias(f"same{i}") for i, c in enumerate(same)]).distinct()
     b = F.floor(F.col("t") / F.lit(step)).cast("long")

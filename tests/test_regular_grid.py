@@ -82,6 +82,13 @@ def test_empty_and_one_reading(spark):
 
 
 def test_event_rates(spark):
-    df = spark.createDataFrame([(1, 7, 1.0), (1, 7, 1.0), (1, 8, 1.0), (1, 7, 25.0), (1, 7, None), (None, 7, 1.0), (1, 7, -1.0)], "src long, unit long, t double")
+    df = spark.createDataFrame([(1, 7, 1.0), (1, 7, 1.0), (1, 8, 1.0), (1, 7, 25.0), (1, 7, None), (None, 7, 1.0), (1, 7, -1.0), (1, 7, float("inf")), (1, 7, float("nan")), (1, 7, 1e300)], "src long, unit long, t double")
     got = {r.time: r.value for r in event_rates(df, "src", "t", 10.0, ("unit",)).collect()}
     assert got == {5.0: 0.2, 25.0: 0.1}
+
+
+def test_a_time_far_off_is_unfolded_in_blocks(spark):
+    rows = [(1, 0.2, 3.0, 1, 1, "", "", ""), (1, 600_000.2, 3.0, 1, 2, "", "", ""), (2, 1e300, 3.0, 1, 3, "", "", "")]
+    got = regular_grid(spark.createDataFrame(rows, DDL), "src", "t", "y", 0.5, ("arrived", "id"))
+    by = {r.status: r["count"] for r in got.groupBy("status").count().collect()}
+    assert by == {"observed": 2, "missing": 1_200_001 - 2}
