@@ -27,10 +27,12 @@ row, and returns some fifty sums to the driver.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,7 +50,7 @@ MATCHED, UNMATCHED = (0, 1), (2, 3)
 def _aligned(waves: pd.Series) -> pd.Series:
     """Each shape cut about its greatest excursion, and about the greatest of the other sign where that is nearly as great.
 
-    Both cuts are scaled to -1 at their middle. The second half is NaN where
+    Both cuts are scaled to -1 at their middle. There is no second one where
     the other sign's excursion is under ``SECOND`` of the first.
     """
     size = 2 * (HALF + SHIFT) + 1
@@ -62,22 +64,32 @@ def _aligned(waves: pd.Series) -> pd.Series:
             out.append(None)
             continue
         first, other = sorted((int(w.argmin()), int(w.argmax())), key=lambda p: -abs(w[p]))
-        x = np.full((2, size), np.nan, dtype=np.float32)
-        for k, p in enumerate((first, other) if w[first] * w[other] < 0 and abs(w[other]) >= SECOND * abs(w[first]) else (first,)):
-            x[k] = 0
+        cuts = (first, other) if w[first] * w[other] < 0 and abs(w[other]) >= SECOND * abs(w[first]) else (first,)
+        x = np.zeros((len(cuts), size), dtype=np.float32)
+        for k, p in enumerate(cuts):
             lo, hi = max(0, p - HALF - SHIFT), min(len(w), p + HALF + SHIFT + 1)
             x[k, lo - p + HALF + SHIFT : hi - p + HALF + SHIFT] = w[lo:hi] / -w[p]
         out.append(x.ravel())
     return pd.Series(out, dtype=object)
 
 
+def _padded(shapes: pd.Series, size: int) -> np.ndarray:
+    """One or two cuts of each shape; NaN for a second one that there isn't."""
+    out = np.full((len(shapes), 2, size), np.nan)
+    two = np.array([len(x) > size for x in shapes])
+    for k, which in ((1, ~two), (2, two)):
+        if which.any():
+            out[which, :k] = np.stack([x for x, t in zip(shapes, which) if t]).reshape(-1, k, size)
+    return out
+
+
 def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
     """The greatest correlation over small shifts and both cuts of either shape (but not the lesser of both); missing where a shape is."""
     both = (a.notna() & b.notna()).to_numpy()
     out = np.full(len(a), np.nan)
     if both.any():
         size, n = 2 * (HALF + SHIFT) + 1, 2 * HALF + 1
-        x, y = (np.stack(s[both].to_list()).astype(float).reshape(-1, 2, size) for s in (a, b))
+        x, y = (_padded(s[both], size) for s in (a, b))
         best = np.full(len(x), -1.0)
         for i, j in ((0, 0), (0, 1), (1, 0)):
             use = np.flatnonzero(~np.isnan(x[:, i, 0]) & ~np.isnan(y[:, j, 0]))
@@ -127,16 +139,17 @@ _APART = {"full": ("bare",), "row": ("bare", "col"), "col": ("bare", "row"), "ba
 def candidates(left: DataFrame, right: DataFrame, reach: int = 6, chunk: int = 1000) -> DataFrame:
     """Pairs of one recording whose known coordinates differ by ``reach`` at most: all fields of both, prefixed ``l`` and ``r``, each pair once.
 
-    A block is (recording, row cell, column cell) with cells ``reach`` wide;
-    right rows, of which there are fewer, enter their own cell and its
-    neighbours, left rows their own. Where one of the two rows lacks a
+    A block is (recording, row cell, column cell) with cells twice ``reach``
+    wide; right rows, of which there are fewer, enter the cells that their
+    reach touches (four at most), left rows their own. Where one of the two rows lacks a
     coordinate, the block is a band of the other one. Rows without a coordinate
     in common are all candidates, unless they share neither shape nor rate:
     they meet per recording in blocks of about ``chunk`` by ``chunk`` rows,
     however many a recording has. So a crowded recording divides. Left rows
     enter only kinds of blocks in which their recording has right rows.
     """
-    cell = lambda c: F.floor(F.col(c) / F.lit(reach)).cast("int")
+    cell = lambda c, off=0: F.floor((F.col(c) + F.lit(off)) / F.lit(2 * reach)).cast("int")
+    touched = lambda c: F.sequence(cell(c, -reach), cell(c, reach))
     some = F.col("shape").isNotNull() | F.col("lograte").isNotNull()
     n = lambda df: df.where(some).groupBy("rec", "knows").agg(F.count("*").alias("n"))
     le, ri = left.withColumn("knows", _knows()), right.withColumn("knows", _knows())
@@ -149,7 +162,7 @@ def candidates(left: DataFrame, right: DataFrame, reach: int = 6, chunk: int = 1
         return F.struct((F.lit(mark) if isinstance(mark, str) else mark).alias("mark"), x.cast("int").alias("x"), y.cast("int").alias("y"))
 
     zero, has = F.lit(0), lambda *k: F.arrays_overlap("has", F.array(*map(F.lit, k)))
-    around = [F.lit(o) for o in (-1, 0, 1)]
+    band = lambda mark, c: F.transform(touched(c), lambda x: block(mark, x, zero))
     none = F.array().cast("array<struct<mark:string,x:int,y:int>>")
     pick = lambda cond, blocks: F.when(cond, blocks).otherwise(none)
 
@@ -167,14 +180,14 @@ def candidates(left: DataFrame, right: DataFrame, reach: int = 6, chunk: int = 1
         pick(knows("full") & has("full"), F.array(block("rc", cell("row"), cell("col")))),
         pick(knows("full", "row") & has("row"), F.array(block("r", cell("row"), zero))),
         pick(knows("full", "col") & has("col"), F.array(block("c", cell("col"), zero))),
-        pick(knows("row") & has("full"), F.array(*[block("R", cell("row") + o, zero) for o in around])),
-        pick(knows("col") & has("full"), F.array(*[block("C", cell("col") + o, zero) for o in around])),
+        pick(knows("row") & has("full"), band("R", "row")),
+        pick(knows("col") & has("full"), band("C", "col")),
         *[apart(me, other, True) for me, others in _APART.items() for other in others],
     ]
     r_blocks = [
-        pick(knows("full"), F.array(*[block("rc", cell("row") + o, cell("col") + q) for o in around for q in around], block("R", cell("row"), zero), block("C", cell("col"), zero))),
-        pick(knows("row"), F.array(*[block("r", cell("row") + o, zero) for o in around])),
-        pick(knows("col"), F.array(*[block("c", cell("col") + o, zero) for o in around])),
+        pick(knows("full"), F.concat(F.flatten(F.transform(touched("row"), lambda x: F.transform(touched("col"), lambda y: block("rc", x, y)))), F.array(block("R", cell("row"), zero), block("C", cell("col"), zero)))),
+        pick(knows("row"), band("r", "row")),
+        pick(knows("col"), band("c", "col")),
         *[apart(other, me, False) for me, others in _APART.items() for other in others],
     ]
     fields = ("key", "source", "row", "col", "shape", "lograte", "logpeak")
@@ -218,6 +231,56 @@ def _scored(pairs: DataFrame, mix: Mixture) -> DataFrame:
     return d.withColumn("p", F.col("odds") / (1.0 + F.sum("odds").over(Window.partitionBy("rkey"))))
 
 
+def _sums(keys: np.ndarray, x: np.ndarray, mix: Mixture) -> np.ndarray:
+    """The E-step of whole groups of a right row's pairs, and their share in the M-step's sums: ``4 x (1 + 3 * dimensions)``.
+
+    A component's row holds its weight, then per dimension the weight of the
+    values that are there, their sum and their squares' sum.
+    """
+    have = ~np.isnan(x)
+    filled = np.where(have, x, 0.0)
+    mean, var = np.array(mix.mean), np.array(mix.var)
+    dens = [math.log(max(mix.weight[k], 1e-12)) + np.where(have, (filled - mean[k]) ** 2 * (-0.5 / var[k]) - 0.5 * np.log(2 * np.pi * var[k]), 0.0).sum(1) for k in (*MATCHED, *UNMATCHED)]
+    lm, lu = np.logaddexp(dens[0], dens[1]), np.logaddexp(dens[2], dens[3])
+    odds = np.exp(np.clip(lm - lu, -60.0, 60.0))
+    first = np.concatenate([[True], keys[1:] != keys[:-1]])
+    p = odds / (1.0 + np.add.reduceat(odds, np.flatnonzero(first))[np.cumsum(first) - 1])
+    out = np.zeros((4, 1 + 3 * x.shape[1]))
+    for k, share, whole in ((0, p, lm), (1, p, lm), (2, 1 - p, lu), (3, 1 - p, lu)):
+        r = share * np.exp(dens[k] - whole)
+        out[k, 0] = r.sum()
+        out[k, 1::3], out[k, 2::3], out[k, 3::3] = r @ have, r @ filled, r @ filled**2
+    return out
+
+
+def _step(pairs: DataFrame, mix: Mixture) -> np.ndarray:
+    """The sums of one iteration. ``pairs`` are partitioned and sorted by the right row; the plan is the same in each iteration, so its code is made once."""
+    width = 4 * (1 + 3 * len(DIMS))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rest = np.zeros((4, 1 + 3 * len(DIMS))), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0).to_numpy()
+            x = np.stack([batch.column(1 + i).to_numpy(zero_copy_only=False).astype(float) for i in range(len(DIMS))], 1)
+            if rest is not None:
+                keys, x = np.concatenate([rest[0], keys]), np.concatenate([rest[1], x])
+            cut_at = int(np.searchsorted(keys, keys[-1]))  # the last group may go on in the next batch
+            if cut_at:
+                total += _sums(keys[:cut_at], x[:cut_at], mix)
+            rest = keys[cut_at:], x[cut_at:]
+        if rest is not None:
+            total += _sums(*rest, mix)
+        yield pa.record_batch([pa.array(range(width)), pa.array(total.ravel())], names=["i", "s"])
+
+    rows = pairs.select("rkey", *DIMS).mapInArrow(scan, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()  # a row per sum
+    out = np.zeros(width)
+    for r in rows:
+        out[r.i] = r.s
+    return out.reshape(4, -1)
+
+
 def fit(pairs: DataFrame, start: Mixture | None = None, max_steps: int = 40, tol: float = 4e-3, ridge: float = 0.02) -> Mixture:
     """The mixture of matched and unmatched pairs, by EM over all pairs. ``ridge`` regularises variances.
 
@@ -240,30 +303,18 @@ def fit(pairs: DataFrame, start: Mixture | None = None, max_steps: int = 40, tol
         spread = lambda k: [0.5, 0.5, start.var[k][2], start.var[k][3], 0.05] if k in MATCHED else [var[0], var[1], start.var[k][2], start.var[k][3], var[4]]
         mix = Mixture(list(start.weight), [centred(k) for k in range(4)], [spread(k) for k in range(4)])
     for _ in range(max_steps):
-        d = _scored(pairs, mix)
-        parts = {
-            0: F.col("p") * F.exp(F.col("l0") - F.col("lm")), 1: F.col("p") * F.exp(F.col("l1") - F.col("lm")),
-            2: (1 - F.col("p")) * F.exp(F.col("l2") - F.col("lu")), 3: (1 - F.col("p")) * F.exp(F.col("l3") - F.col("lu")),
-        }
-        d = d.select(*DIMS, *[r.alias(f"r{k}") for k, r in parts.items()])
-        sums = [F.sum(f"r{k}").alias(f"n{k}") for k in parts]
-        for i, name in enumerate(DIMS):
-            r = lambda k: F.when(F.col(name).isNotNull(), F.col(f"r{k}"))  # noqa: B023, E731
-            for k in parts:
-                sums += [F.sum(r(k)).alias(f"n{k}_{i}"), F.sum(r(k) * F.col(name)).alias(f"s{k}_{i}"), F.sum(r(k) * F.col(name) * F.col(name)).alias(f"q{k}_{i}")]
-        s = d.agg(*sums).first()
-        total = sum(s[f"n{k}"] or 0.0 for k in parts)
+        s = _step(pairs, mix)
+        total = float(s[:, 0].sum())
         if not total:
             break
         old = [list(m) for m in mix.mean]
-        for k in parts:
-            mix.weight[k] = max((s[f"n{k}"] or 0.0) / total, 1e-6)
+        for k in (*MATCHED, *UNMATCHED):
+            mix.weight[k] = max(float(s[k, 0]) / total, 1e-6)
             for i in range(len(DIMS)):
-                n = s[f"n{k}_{i}"] or 0.0
+                n, sx, sq = (float(v) for v in s[k, 1 + 3 * i : 4 + 3 * i])
                 if n > 1e-6:
-                    m = s[f"s{k}_{i}"] / n
-                    mix.mean[k][i] = m
-                    mix.var[k][i] = max(s[f"q{k}_{i}"] / n - m * m, 0.0) + ridge * var[i] * (0.25 if k in MATCHED else 1.0)
+                    mix.mean[k][i] = sx / n
+                    mix.var[k][i] = max(sq / n - (sx / n) ** 2, 0.0) + ridge * var[i] * (0.25 if k in MATCHED else 1.0)
         mix.steps += 1
         moved = max(abs(a - b) / math.sqrt(v) for p, q in zip(old, mix.mean) for a, b, v in zip(p, q, var))
         mix.history.append(moved)
@@ -275,9 +326,10 @@ def fit(pairs: DataFrame, start: Mixture | None = None, max_steps: int = 40, tol
 def _centred(pairs: DataFrame, scored: DataFrame) -> DataFrame:
     """The pairs with each source's conventions taken out: its offset in a recording (drawn to 0 by one pair's weight), and its gain."""
     off = lambda c: (F.coalesce(F.sum(F.col("p") * F.col(c)), F.lit(0.0)) / (1.0 + F.coalesce(F.sum(F.when(F.col(c).isNotNull(), F.col("p"))), F.lit(0.0))))
-    place = scored.groupBy("rec", "source").agg(off("srow").alias("orow"), off("scol").alias("ocol"))
-    gain = scored.where("sgain IS NOT NULL").groupBy("source").agg((F.sum(F.col("p") * F.col("sgain")) / F.sum("p")).alias("ogain"))
-    out = pairs.join(place, ["rec", "source"], "left").join(gain, "source", "left")
+    weighed = [off("srow").alias("orow"), off("scol").alias("ocol"), F.sum(F.when(F.col("sgain").isNotNull(), F.col("p") * F.col("sgain"))).alias("g"), F.sum(F.when(F.col("sgain").isNotNull(), F.col("p"))).alias("w")]
+    place = cut(scored.groupBy("rec", "source").agg(*weighed), "places")
+    gain = cut(place.groupBy("source").agg((F.sum("g") / F.sum("w")).alias("ogain")), "gains")
+    out = pairs.join(place.drop("g", "w"), ["rec", "source"], "left").join(gain, "source", "left")
     keep = [c for c in pairs.columns if c not in ("drow", "dcol", "gain")]
     return out.select(*keep, (F.col("srow") - F.col("orow")).alias("drow"), (F.col("scol") - F.col("ocol")).alias("dcol"), (F.col("sgain") - F.col("ogain")).alias("gain"))
 
@@ -286,7 +338,7 @@ def _by_right(pairs: DataFrame) -> DataFrame:
     return pairs.repartition("rkey").sortWithinPartitions("rkey").persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def link(left: DataFrame, right: DataFrame, reach: int = 6, rounds: int = 2) -> DataFrame:
+def link(left: DataFrame, right: DataFrame, reach: int = 6, rounds: int = 1) -> DataFrame:
     """Confidence of every candidate pair: ``lkey, rkey`` , the similarities and ``confidence``.
 
     ``left`` and ``right`` come from ``prepared``; ``right`` is read several
@@ -304,13 +356,13 @@ def link(left: DataFrame, right: DataFrame, reach: int = 6, rounds: int = 2) ->
     shape = F.when(F.col("cc").isNotNull() & ~F.isnan("cc"), -F.log10(1.0 - F.col("cc") + 1e-3))
     both = cut(both.select("*", F.abs("srow").alias("drow"), F.abs("scol").alias("dcol"), shape.alias("shape"), F.lit(None).cast("double").alias("gain")).drop("cc"), "pairs")
     kept = _by_right(both)
-    mix = fit(kept)
-    for _ in range(rounds):
+    mix = fit(kept, max_steps=12)  # near enough for the conventions
+    for i in range(rounds):
         scored = _scored(kept, mix).select("rec", "source", "srow", "scol", "sgain", "p")
-        new = _by_right(_centred(kept, scored))
-        mix = fit(new, mix)
+        centred = _centred(both, scored)
         kept.unpersist()
-        kept = new
+        kept = _by_right(centred)
+        mix = fit(kept, mix, max_steps=40 if i + 1 == rounds else 12)
     whole = F.col("p") * F.exp(F.col("l0") - F.col("lm"))
     out = _scored(kept, mix).withColumn("whole", F.least(whole, F.lit(1 - 1e-9))).withColumn("part", F.greatest(F.col("p") - whole, F.lit(0.0)))
     odds = F.col("whole") / (1.0 - F.col("whole"))

@@ -112,3 +112,19 @@ def test_rows_without_a_common_coordinate_meet_all_rows_of_the_recording(spark):
         got = [(r.lkey, r.rkey) for r in linkage.candidates(le, ri, chunk=chunk).collect()]
         assert len(got) == len(set(got))
         assert {p for p in got if not any(x is not None and y is not None for x, y in zip(place[p[0]], place[p[1]]))} == want
+
+
+def test_the_step_in_batches_equals_the_scores_in_sql(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(r), *[None if rng.random() < 0.1 else float(v) for v in rng.normal(0, 1, 5)]) for r in np.sort(rng.integers(0, 300, 3000))]
+    pairs = spark.createDataFrame(rows, "rkey long, " + ", ".join(f"{d} double" for d in linkage.DIMS))
+    mix = linkage.Mixture([0.1, 0.1, 0.4, 0.4], rng.normal(0, 1, (4, 5)).tolist(), (0.5 + rng.random((4, 5))).tolist())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = linkage._step(linkage._by_right(pairs), mix)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sql = linkage._scored(pairs, mix).selectExpr("sum(p * exp(l0 - lm))", "sum((1 - p) * exp(l3 - lu) * rate)", "sum(p * exp(l1 - lm) * shape * shape)").first()
+    at = {d: i for i, d in enumerate(linkage.DIMS)}
+    assert np.allclose([got[0, 0], got[3, 2 + 3 * at["rate"]], got[1, 3 + 3 * at["shape"]]], list(sql))
+    assert abs(got[:, 0].sum() - 3000) < 1e-6
