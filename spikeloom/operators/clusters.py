@@ -7,12 +7,18 @@ weighted moments, whose size is components times dimensions, never rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spikeloom.session import cut
+
+MAX_CLUSTERS = 1000
+
 from spikeloom.functions import arrays
 
 
@@ -56,47 +62,67 @@ def _scored(df: DataFrame, dims: list[str], mix: DiagonalMixture) -> DataFrame:
     return d.withColumns({f"_r{i}": F.exp(F.col(f"_l{i}") - F.col("_lse")) for i in range(k)})
 
 
-def fit_mixture(df: DataFrame, dims: list[str], k: int, seed: int = 42, reg: float = 1e-3, max_steps: int = 60, tol: float = 1e-4) -> DiagonalMixture:
-    """A mixture of ``k`` diagonal Gaussians over complete rows, by EM.
+def _em_sums(x: np.ndarray, mix: DiagonalMixture) -> np.ndarray:
+    """The E-step over rows: per component its weight, sums and square sums; at the end the log-likelihood."""
+    logs = np.log(mix.weight + 1e-300) - 0.5 * (((x[:, None, :] - mix.mean) ** 2) / mix.var + np.log(2 * np.pi * mix.var)).sum(2)
+    top = logs.max(1, keepdims=True)
+    whole = top[:, 0] + np.log(np.exp(logs - top).sum(1))
+    r = np.exp(logs - whole[:, None])
+    return np.concatenate([r.sum(0), (r.T @ x).ravel(), (r.T @ x**2).ravel(), [whole.sum()]])
+
+
+def _em_step(rows: DataFrame, dims: list[str], mix: DiagonalMixture) -> np.ndarray:
+    width = len(mix.weight) * (1 + 2 * len(dims)) + 1
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width)
+        for b in batches:
+            if b.num_rows:
+                total += _em_sums(np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], 1).astype(float), mix)
+        yield pa.record_batch([pa.array(range(width)), pa.array(total)], names=["i", "s"])
+
+    out = np.zeros(width)
+    for r in rows.mapInArrow(scan, "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).collect():  # a row per sum
+        out[r.i] = r.s
+    return out
+
+
+def fit_mixture(df: DataFrame, dims: list[str], k: int, seed: int = 42, reg: float = 1e-3, max_steps: int = 60, tol: float = 1e-4, n_init: int = 1) -> DiagonalMixture:
+    """A mixture of ``k`` diagonal Gaussians over complete rows, by EM; of ``n_init`` starts the likeliest.
 
     Starts at ``k`` rows spread by k-means++ over a hash-ordered set of at most
-    ``256 * k`` rows (a bound on the start only; every step sees all rows).
+    ``256 * k`` rows (a bound on the start only; every step sees all rows). The
+    rows are written once; a step is one pass over them in Arrow batches.
     """
-    rows = df.dropna(subset=dims)
+    rows = cut(df.dropna(subset=dims).select(*[F.col(c).cast("double").alias(c) for c in dims]), "mixture")
     s = rows.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m_{c}") for c in dims], *[F.var_pop(c).alias(f"v_{c}") for c in dims]).first()
     n = s["n"]
     if n == 0:
         raise ValueError("no complete rows")
-    start = np.array([tuple(r) for r in rows.select(*dims).orderBy(F.xxhash64(*dims, F.lit(seed)), *dims).limit(256 * k).collect()], dtype=float)
-    rng = np.random.default_rng(seed)
     scale = np.sqrt([max(s[f"v_{c}"], 1e-12) for c in dims])
-    centres = [start[0]]
-    for _ in range(k - 1):
-        gap = np.min([(((start - c) / scale) ** 2).sum(1) for c in centres], axis=0)
-        centres.append(start[rng.choice(len(start), p=gap / gap.sum())] if gap.sum() > 0 else start[rng.integers(len(start))])
-    mix = DiagonalMixture(np.full(k, 1 / k), np.array(centres), np.tile(scale**2 + reg, (k, 1)), n=n)
-    before = -math.inf
-    for _ in range(max_steps):
-        d = _scored(rows, dims, mix)
-        sums = [F.avg("_lse").alias("ll")]
-        for i in range(k):
-            r = F.col(f"_r{i}")
-            sums.append(F.sum(r).alias(f"n{i}"))
-            for j, c in enumerate(dims):
-                sums += [F.sum(r * F.col(c)).alias(f"s{i}_{j}"), F.sum(r * F.col(c) * F.col(c)).alias(f"q{i}_{j}")]
-        got = d.agg(*sums).first()
-        for i in range(k):
-            nk = got[f"n{i}"] + 1e-10
-            mix.weight[i] = nk / n
-            for j in range(len(dims)):
-                m = got[f"s{i}_{j}"] / nk
-                mix.mean[i, j] = m
-                mix.var[i, j] = max(got[f"q{i}_{j}"] / nk - m * m, 0.0) + reg
-        mix.log_likelihood = got["ll"]
-        if got["ll"] - before < tol:
-            break
-        before = got["ll"]
-    return mix
+    best = None
+    for start_no in range(n_init):
+        own = seed + start_no
+        start = np.array([tuple(r) for r in rows.select(*dims).orderBy(F.xxhash64(*dims, F.lit(own)), *dims).limit(256 * k).collect()], dtype=float)
+        rng = np.random.default_rng(own)
+        centres = [start[0]]
+        for _ in range(k - 1):
+            gap = np.min([(((start - c) / scale) ** 2).sum(1) for c in centres], axis=0)
+            centres.append(start[rng.choice(len(start), p=gap / gap.sum())] if gap.sum() > 0 else start[rng.integers(len(start))])
+        mix = DiagonalMixture(np.full(k, 1 / k), np.array(centres), np.tile(scale**2 + reg, (k, 1)), n=n)
+        before = -math.inf
+        for _ in range(max_steps):
+            got = _em_step(rows, dims, mix)
+            nk, sx, sq = got[:k] + 1e-10, got[k : k + k * len(dims)].reshape(k, -1), got[k + k * len(dims) : -1].reshape(k, -1)
+            mix.weight, mix.mean = nk / n, sx / nk[:, None]
+            mix.var = np.maximum(sq / nk[:, None] - mix.mean**2, 0.0) + reg
+            mix.log_likelihood = float(got[-1]) / n
+            if mix.log_likelihood - before < tol:
+                break
+            before = mix.log_likelihood
+        if best is None or mix.log_likelihood > best.log_likelihood:
+            best = mix
+    return best
 
 
 def assign(df: DataFrame, dims: list[str], mix: DiagonalMixture) -> DataFrame:
@@ -232,17 +258,18 @@ def centre_silhouette(df: DataFrame, dims: list[str], cluster: str) -> DataFrame
     The mean squared distance of a point to a cluster follows from the
     cluster's size, sum and sum of squares, so no pair is formed.
     """
-    stats = df.groupBy(cluster).agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s_{c}") for c in dims], F.sum(sum((F.col(c) * F.col(c) for c in dims), F.lit(0.0))).alias("q")).collect()  # a row per cluster
-    own, other = F.lit(None).cast("double"), None
-    norm = sum((F.col(c) * F.col(c) for c in dims), F.lit(0.0))
-    for r in stats:
-        total = F.lit(float(r["n"])) * norm + float(r["q"]) - 2 * sum((F.col(c) * float(r[f"s_{c}"]) for c in dims), F.lit(0.0))
-        here = F.col(cluster) == F.lit(r[cluster])
-        own = F.when(here, F.when(F.lit(r["n"] > 1), total / float(max(r["n"] - 1, 1)))).otherwise(own)
-        there = F.when(~here, total / float(r["n"]))
-        other = [there] if other is None else [*other, there]
-    if not stats or len(stats) < 2:
-        return df.groupBy(cluster).agg(F.lit(0.0).alias("silhouette"))
-    near = F.array_min(F.array(*other))
-    s = F.when(own.isNull(), 0.0).when(F.greatest(own, near) > 0, (near - own) / F.greatest(own, near)).otherwise(0.0)
-    return df.groupBy(cluster).agg(F.avg(s).alias("silhouette"))
+    have = df.where(F.col(cluster).isNotNull())
+    square = sum((F.col(c) * F.col(c) for c in dims), F.lit(0.0))
+    per = have.groupBy(cluster).agg(F.count("*").alias("n"), F.array(*[F.sum(c) for c in dims]).alias("s"), F.sum(square).alias("q"))
+    # All clusters' sums go to every row: their number is small by nature, and checked.
+    if per.limit(MAX_CLUSTERS + 1).count() > MAX_CLUSTERS:
+        raise ValueError(f"more than {MAX_CLUSTERS} clusters")
+    every = per.agg(F.collect_list(F.struct(F.col(cluster).alias("c"), "n", "s", "q")).alias("all"))
+    rows = have.join(F.broadcast(every)).withColumn("_x", F.array(*dims)).withColumn("_sq", square)  # one row of at most MAX_CLUSTERS sums
+    inner = lambda r: F.aggregate(F.zip_with("_x", r["s"], lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    total = lambda r: r["n"] * F.col("_sq") + r["q"] - 2 * inner(r)
+    own = F.get(F.filter("all", lambda r: r["c"] == F.col(cluster)), 0)
+    near = F.array_min(F.transform(F.filter("all", lambda r: r["c"] != F.col(cluster)), lambda r: total(r) / r["n"]))
+    rows = rows.select(cluster, F.when(own["n"] > 1, total(own) / (own["n"] - 1)).alias("a"), near.alias("b"))
+    s = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).when(F.greatest("a", "b") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0)
+    return rows.groupBy(cluster).agg(F.avg(s).alias("silhouette"))

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spikeloom.operators.ordered import with_previous
-
 
 def range_join(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str, width: float, closed: bool = False) -> DataFrame:
     """Points inside spans of the same keys: ``start <= at < end`` (``<= end`` where ``closed``).
@@ -35,28 +33,43 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str
     left row, NULL where there is no partner. Times are numbers. Of right rows
     at one time, the greatest in ``take`` counts.
 
-    Built on ``with_previous``: rows of both sides are ordered inside (keys,
-    time bucket) and one row per bucket is carried over.
+    Both sides are laid together and ordered inside (keys, time bucket), one
+    shuffle for both directions; the first and last right row of each bucket
+    are carried to the buckets behind and before it. NULL keys and times have
+    no partner, as in SQL.
     """
+    one = right.where(F.col(right_time).isNotNull())
+    for k in keys:
+        one = one.where(F.col(k).isNotNull())
+    one = one.groupBy(*keys, F.col(right_time).alias("_t")).agg(F.max(F.struct(*take)).alias("_r"))
+    # At equal times the right row is met first by a look back, and last by a look forward; a strict join turns that round.
+    right_side = int((direction == "forward") != strict)
+    a = left.select(*keys, F.col(left_time).alias("_t"), F.lit(1 - right_side).alias("_side"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(one.schema["_r"].dataType).alias("_r"))
+    b = one.select(*keys, F.col("_t").cast(a.schema["_t"].dataType).alias("_t"), F.lit(right_side).alias("_side"), F.lit(None).cast(a.schema["_l"].dataType).alias("_l"), "_r")
+    both = a.unionByName(b).withColumn("_bucket", F.floor(F.col("_t") / F.lit(bucket))).withColumn("_p", F.when(F.col("_r").isNotNull(), F.struct("_t", "_r")))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy("_t", "_side")
+    back, fore = direction in ("backward", "nearest"), direction in ("forward", "nearest")
+    here = both
+    if back:
+        here = here.withColumn("_back", F.last("_p", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    if fore:
+        here = here.withColumn("_fore", F.first("_p", ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing)))
+    has = F.when(F.col("_p").isNotNull(), F.col("_t"))
+    ends = both.groupBy(*keys, "_bucket").agg(F.max_by("_p", has).alias("_last"), F.min_by("_p", has).alias("_first"))
+    over = Window.partitionBy(*keys).orderBy("_bucket")
+    before = F.last("_last", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))
+    behind = F.first("_first", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing))
+    carried = ends.select(*keys, "_bucket", before.alias("_cb"), behind.alias("_cf"))
+    got = here.where("_l IS NOT NULL").join(carried, [*keys, "_bucket"], "left")
+    at = F.col("_t")
+    hit_back, hit_fore = F.coalesce("_back", "_cb") if back else None, F.coalesce("_fore", "_cf") if fore else None
     if direction == "nearest":
-        back = asof_join(left, right, keys, left_time, right_time, [right_time, *[c for c in take if c != right_time]], "backward", bucket=bucket)
-        mark = [c for c in back.columns if c not in left.columns]
-        packed = back.withColumn("_back", F.struct(*mark)).select(*left.columns, "_back")
-        fore = asof_join(packed, right, keys, left_time, right_time, mark, "forward", bucket=bucket)
-        fore = fore.withColumn("_fore", F.struct(*mark)).select(*left.columns, "_back", "_fore")
-        gap = lambda s: F.abs(F.col(f"{s}.{right_time}") - F.col(left_time))
-        pick = F.when(F.col(f"_fore.{right_time}").isNull() | (gap("_back") <= gap("_fore")), F.col("_back")).otherwise(F.col("_fore"))
-        pick = F.when(F.col(f"_back.{right_time}").isNull(), F.col("_fore")).otherwise(pick)
-        return fore.withColumn("_pick", pick).select(*left.columns, *[F.col(f"_pick.{c}").alias(c) for c in take])
-    sign = 1 if direction == "backward" else -1
-    one = right.where(F.col(right_time).isNotNull()).groupBy(*keys, F.col(right_time).alias("_t")).agg(F.max(F.struct(*take)).alias("_r"))
-    # At equal times the right row comes first, so that it counts; a strict join puts it behind.
-    rank = 1 if strict else 0
-    a = left.select(*keys, F.col(left_time).alias("_t"), F.lit(1 - rank).alias("_side"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(one.schema["_r"].dataType).alias("_r"))
-    b = one.select(*keys, "_t", F.lit(rank).alias("_side"), F.lit(None).cast(a.schema["_l"].dataType).alias("_l"), "_r")
-    both = a.unionByName(b).withColumn("_o", F.col("_t") * sign)
-    got = with_previous(both, keys, ["_o", "_side"], F.floor(F.col("_o") / F.lit(bucket)), F.col("_r"), "_hit", F.col("_r").isNotNull())
-    return got.where("_l IS NOT NULL").select(*[F.col(f"_l.{c}").alias(c) for c in left.columns], *[F.col(f"_hit.{c}").alias(c) for c in take])
+        nearer = hit_fore["_t"].isNull() | (at - hit_back["_t"] <= hit_fore["_t"] - at)
+        hit = F.when(hit_back["_t"].isNotNull() & nearer, hit_back).otherwise(hit_fore)
+    else:
+        hit = hit_back if back else hit_fore
+    hit = F.when(at.isNotNull(), hit)
+    return got.withColumn("_hit", hit).select(*[F.col(f"_l.{c}").alias(c) for c in left.columns], *[F.col(f"_hit._r.{c}").alias(c) for c in take])
 
 
 def mutual_best(pairs: DataFrame, a: str, b: str, order: list[Column]) -> DataFrame:

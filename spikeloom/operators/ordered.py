@@ -33,16 +33,47 @@ def with_previous(df: DataFrame, keys: list[str], order: list[Column | str], buc
     here = rows.withColumn("_here", F.last("_v", ignorenulls=True).over(before))
     # The last kept value of each bucket: max_by over the order, which needs no sort.
     sort_key = F.struct(*[(F.col(o) if isinstance(o, str) else o).alias(f"o{i}") for i, o in enumerate(order)])
-    ends = rows.where("_v IS NOT NULL").groupBy(*keys, "_bucket").agg(F.max_by("_v", sort_key).alias("_end"))
     # Buckets without a kept row need the carry too, so every bucket that occurs is listed.
-    every = rows.select(*keys, "_bucket").distinct()
-    listed = every.join(ends, _match(every, ends, [*keys, "_bucket"]), "left").select(*[every[c] for c in [*keys, "_bucket"]], "_end")
+    listed = rows.groupBy(*keys, "_bucket").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), sort_key)).alias("_end"))
     over = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = listed.withColumn("_carry", F.last("_end", ignorenulls=True).over(over)).where("_carry IS NOT NULL").drop("_end")
     joined = here.join(carried, _match(here, carried, [*keys, "_bucket"]), "left")
     return joined.select(*[here[c] for c in cols], F.coalesce(here["_here"], carried["_carry"])["v"].alias(out))
 
 
+def with_neighbours(df: DataFrame, keys: list[str], order: str, bucket: Column, value: Column, before: str, after: str) -> DataFrame:
+    """Add ``before`` and ``after``: ``value`` of the row before and the row behind, of rows with the same keys. One shuffle for both.
+
+    ``bucket`` has to be monotone in the order. NULL where there is none.
+    """
+    cols = df.columns
+    rows = df.withColumn("_bucket", bucket).withColumn("_v", F.struct(value.alias("v")))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(order)
+    here = rows.withColumn("_a", F.lag("_v").over(inside)).withColumn("_b", F.lead("_v").over(inside))
+    ends = rows.groupBy(*keys, "_bucket").agg(F.max_by("_v", order).alias("_last"), F.min_by("_v", order).alias("_first"))
+    over = Window.partitionBy(*keys).orderBy("_bucket")
+    carried = ends.select(*keys, "_bucket", F.lag("_last").over(over).alias("_ca"), F.lead("_first").over(over).alias("_cb"))
+    joined = here.join(carried, _match(here, carried, [*keys, "_bucket"]), "left")
+    return joined.select(*[here[c] for c in cols], F.coalesce(here["_a"], carried["_ca"])["v"].alias(before), F.coalesce(here["_b"], carried["_cb"])["v"].alias(after))
+
+
+def exact_median(df: DataFrame, keys: list[str], value: str, width: float, out: str = "median") -> DataFrame:
+    """``keys, out``: the median of a number per key, the middle of two; NULL and NaN are left out.
+
+    Equal values are counted first; counts are summed up inside (key, stretch
+    of ``width`` of the values), and one row per stretch carries over. So no
+    task holds all values of a key, as Spark's own median does.
+    """
+    c = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*keys, F.col(value).alias("_x")).agg(F.count("*").alias("_k"))
+    up = running_sum(c, keys, ["_x"], F.floor(F.col("_x") / F.lit(width)), F.col("_k"), "_before")
+    n = c.groupBy(*keys).agg(F.sum("_k").alias("_n"))
+    both = up.join(n, _match(up, n, keys)).select(*[up[k] for k in keys], "_x", "_k", "_before", "_n") if keys else up.crossJoin(F.broadcast(n))
+    lo, hi = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
+    holds = lambda i: (F.col("_before") <= i) & (i < F.col("_before") + F.col("_k"))
+    mid = both.where(holds(lo) | holds(hi))
+    return mid.groupBy(*keys).agg(((F.min("_x") + F.max("_x")) / 2).alias(out))
+
+
 def running_sum(df: DataFrame, keys: list[str], order: list[str], bucket: Column, value: Column, out: str) -> DataFrame:
     """Add ``out``: the sum of ``value`` over earlier rows of the same keys, this row left out (0 for the first)."""
     cols = df.columns
@@ -82,8 +113,5 @@ def longest_run(df: DataFrame, keys: list[str], order: str, max_gap: float, buck
 
 def local_peaks(df: DataFrame, keys: list[str], order: str, value: str, height: float, bucket: float) -> DataFrame:
     """Rows above the row before and not below the row behind, and at least ``height``. Of a plateau of two, the first."""
-    cell = F.floor(F.col(order) / F.lit(bucket))
-    with_before = with_previous(df, keys, [order], cell, F.col(value), "_a")
-    back = -F.col(order)
-    rows = with_previous(with_before.withColumn("_o", back), keys, ["_o"], F.floor(F.col("_o") / F.lit(bucket)), F.col(value), "_b")
-    return rows.where((F.col(value) >= height) & (F.col(value) > F.col("_a")) & (F.col(value) >= F.col("_b"))).drop("_a", "_b", "_o")
+    rows = with_neighbours(df, keys, order, F.floor(F.col(order) / F.lit(bucket)), F.col(value), "_before", "_after")
+    return rows.where((F.col(value) >= height) & (F.col(value) > F.col("_before")) & (F.col(value) >= F.col("_after"))).drop("_before", "_after")

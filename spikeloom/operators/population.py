@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -49,25 +51,48 @@ def binary_purity(df: DataFrame, by: list[str], cluster: str, label: Column) ->
     return c.groupBy(*by).agg(F.sum("k").alias("n"), (F.sum(F.greatest(F.col("p"), F.col("k") - F.col("p"))) / F.sum("k")).alias("purity"))
 
 
+def _joined(a: DataFrame, b: DataFrame, cols: list[str], how: str = "inner") -> DataFrame:
+    """``a`` with the other columns of ``b`` where ``cols`` are equal, NULL being equal to NULL; ``a`` and ``b`` may come from one table."""
+    other = b.select(*[F.col(c).alias(f"_b_{c}") for c in cols], *[c for c in b.columns if c not in cols])
+    on = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in cols])
+    return a.join(other, on, how).drop(*[f"_b_{c}" for c in cols])
+
+
 def enrichment(df: DataFrame, cluster: str, positive: Column, top: int = 3) -> DataFrame:
     """``cluster, n, n_positive, fraction, enrichment, purity, rank`` of the ``top`` clusters by enrichment; ties by cluster."""
     per = df.groupBy(cluster).agg(F.count("*").alias("n"), F.count_if(positive).alias("n_positive"))
-    everything = Window.partitionBy(F.lit(1))  # over clusters, not rows
-    base = F.sum("n_positive").over(everything) / F.sum("n").over(everything)
+    base = per.agg((F.sum("n_positive") / F.sum("n")).alias("_base"))
     frac = F.col("n_positive") / F.col("n")
-    out = per.withColumn("_base", base).select(cluster, "n", "n_positive", frac.alias("fraction"), F.when(F.col("_base") > 0, frac / F.col("_base")).otherwise(0.0).alias("enrichment"), F.greatest(frac, 1 - frac).alias("purity"))
-    rank = F.row_number().over(Window.orderBy(F.desc("enrichment"), cluster))
-    return out.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top)
-
-
-def fdr_adjusted(df: DataFrame, by: list[str], p: str, out: str = "p_adjusted") -> DataFrame:
-    """Step-up adjusted p-values: the running minimum from the greatest p of ``p * n / rank``, at most 1. NULL p stay NULL and don't count."""
-    w = Window.partitionBy(*by)
-    up = w.orderBy(p)
-    # Equal p share the rank of the last of them, which the running minimum would give them anyway.
-    ties = df.where(F.col(p).isNotNull()).withColumn("_n", F.count("*").over(w)).withColumn("_r", F.count("*").over(up.rangeBetween(Window.unboundedPreceding, 0)))
-    adj = F.min(F.col(p) * F.col("_n") / F.col("_r")).over(w.orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, 0))
-    return ties.withColumn(out, F.least(F.lit(1.0), adj)).drop("_n", "_r")
+    out = per.join(F.broadcast(base)).select(cluster, "n", "n_positive", frac.alias("fraction"), F.when(F.col("_base") > 0, frac / F.col("_base")).otherwise(0.0).alias("enrichment"), F.greatest(frac, 1 - frac).alias("purity"))  # one row
+    best = out.orderBy(F.desc("enrichment"), cluster).limit(top)  # each task keeps its own best only
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("enrichment"), cluster)).cast("long"))
+
+
+def fdr_adjusted(df: DataFrame, by: list[str], p: str, out: str = "p_adjusted", cells: int = 4096) -> DataFrame:
+    """Step-up adjusted p-values: the running minimum from the greatest p of ``p * n / rank``, at most 1. NULL p don't count and are left out.
+
+    Equal p share the rank of the last of them. They are counted first, then
+    ranked inside (group, cell of p), with one row per cell that carries over,
+    so neither a hot group nor the whole table is ordered by one task.
+    """
+    have = df.where(F.col(p).isNotNull())
+    keys = by or ["_all"]
+    have = have if by else have.withColumn("_all", F.lit(0))
+    cell = F.least(F.floor(F.col("_p") * cells), F.lit(cells - 1))
+    c = have.groupBy(*keys, F.col(p).alias("_p")).agg(F.count("*").alias("_k")).withColumn("_cell", cell)
+    inside = Window.partitionBy(*keys, "_cell").orderBy("_p")
+    over = Window.partitionBy(*keys).orderBy("_cell")  # at most ``cells`` rows
+    sums = c.groupBy(*keys, "_cell").agg(F.sum("_k").alias("_t"))
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_t").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_n", F.sum("_t").over(Window.partitionBy(*keys)))
+    ranked = _joined(c, sums.select(*keys, "_cell", "_before", "_n"), [*keys, "_cell"])
+    ranked = ranked.withColumn("_r", F.col("_before") + F.sum("_k").over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_v", F.col("_p") * F.col("_n") / F.col("_r"))
+    lows = ranked.groupBy(*keys, "_cell").agg(F.min("_v").alias("_low"))
+    lows = lows.select(*keys, "_cell", F.min("_low").over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_above"))
+    low = _joined(ranked, lows, [*keys, "_cell"], "left")
+    here = F.min("_v").over(inside.rowsBetween(0, Window.unboundedFollowing))
+    adjusted = low.withColumn(out, F.least(F.lit(1.0), here, "_above")).select(*keys, "_p", out)
+    got = _joined(have.withColumn("_p", F.col(p)), adjusted, [*keys, "_p"])
+    return got.select(*df.columns, out)
 
 
 def log_bayes_choice(df: DataFrame, by: list[str], k: str, bic: str, least: float = 6.0) -> DataFrame:
@@ -199,8 +224,8 @@ def binomial_two_sided(k: Column, n: Column, p: Column) -> Column:
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows in the order of a seeded hash of their key: the same rows every time."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """``n`` rows in the order of a seeded hash of their key, the same rows in any engine: MD5 of ``seed:key``."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
 
 
 def bucketed_counts(df: DataFrame, value: str, edges: list[float], by: list[str]) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from spikeloom.functions import arrays as A
-from spikeloom.operators.ordered import with_previous
+from spikeloom.operators.ordered import exact_median, with_previous
 
 
 def variance_ratio_qi(long: DataFrame, keys: list[str], trial: str, sample: str, value: str) -> DataFrame:
@@ -42,13 +46,15 @@ def interval_stats(events: DataFrame, keys: list[str], time: str, bucket: float)
     """``keys, n, isi_mean, isi_cv, isi_median``: intervals between consecutive events; CV with the population deviation.
 
     Events are ordered inside buckets of ``bucket`` and one event per bucket is
-    carried over. The median is exact; its state holds the distinct intervals
-    of a key, which the clock's resolution bounds.
+    carried over. The median is exact and comes from counts of equal intervals.
     """
     rows = events.where(F.col(time).isNotNull()).select(*keys, time)
     d = with_previous(rows, keys, [time], F.floor(F.col(time) / F.lit(bucket)), F.col(time), "_before").withColumn("d", F.col(time) - F.col("_before"))
     m = F.avg("d")
-    return d.groupBy(*keys).agg(F.count("*").alias("n"), m.alias("isi_mean"), F.when(m > 0, F.stddev_pop("d") / m).alias("isi_cv"), F.median("d").alias("isi_median"))
+    whole = d.groupBy(*keys).agg(F.count("*").alias("n"), m.alias("isi_mean"), F.when(m > 0, F.stddev_pop("d") / m).alias("isi_cv"))
+    middle = exact_median(d, keys, "d", 1.0, "isi_median")
+    on = reduce(lambda x, y: x & y, [whole[k].eqNullSafe(middle[k]) for k in keys])
+    return whole.join(middle, on, "left").select(*[whole[k] for k in keys], "n", "isi_mean", "isi_cv", "isi_median")
 
 
 def conditional_counts(df: DataFrame, by: list[str], conditions: dict[str, Column]) -> DataFrame:

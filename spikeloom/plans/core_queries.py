@@ -154,14 +154,14 @@ def unit_candidates(spark, d):
     return a.join(b, ["rec", "x", "y"]).select("a", "b", d2.cast("long").alias("d2"), F.abs(F.col("fa") - F.col("fb")).alias("gap")).where("d2 <= 4")
 
 
-_PASS = lambda k, lim, free: f"p{k} AS (SELECT a, b, d2, {k} AS pass_no FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d2, gap, a, b) AS ra, row_number() OVER (PARTITION BY b ORDER BY d2, gap, a, b) AS rb FROM cand WHERE d2 <= {lim} {free}) WHERE ra = 1 AND rb = 1)"
+_PASS = lambda k, lim, free: f"p{k} AS MATERIALIZED (SELECT a, b, d2, {k} AS pass_no FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d2, gap, a, b) AS ra, row_number() OVER (PARTITION BY b ORDER BY d2, gap, a, b) AS rb FROM cand c WHERE d2 <= {lim} {free}) WHERE ra = 1 AND rb = 1)"
 _RECKEY = lambda c: f"regexp_extract({c}, '(\\d{{4}}\\.\\d{{2}}\\.\\d{{2}})[-.](\\d{{2}}\\.\\d{{2}}\\.\\d{{2}})', 1) || '-' || regexp_extract({c}, '(\\d{{4}}\\.\\d{{2}}\\.\\d{{2}})[-.](\\d{{2}}\\.\\d{{2}}\\.\\d{{2}})', 2) || '-Rec'"
 _CAND = f"""{_UNIT}, rc AS (SELECT DISTINCT {_RECKEY("dataset_id")} AS rec, chip FROM recordings WHERE chip IS NOT NULL AND dataset_id IS NOT NULL),
 nx AS (SELECT rec, lead(rec) OVER (PARTITION BY chip ORDER BY rec) AS nxt FROM rc), u2 AS (SELECT *, {_RECKEY("dataset_id")} AS rec FROM un WHERE rate IS NOT NULL),
-cand AS (SELECT x.unit_key AS a, y.unit_key AS b, (x.row - y.row) * (x.row - y.row) + (x.col - y.col) * (x.col - y.col) AS d2, abs(x.rate - y.rate) AS gap
+cand AS MATERIALIZED (SELECT x.unit_key AS a, y.unit_key AS b, (x.row - y.row) * (x.row - y.row) + (x.col - y.col) * (x.col - y.col) AS d2, abs(x.rate - y.rate) AS gap
 FROM u2 x JOIN nx ON nx.rec = x.rec JOIN u2 y ON y.rec = nx.nxt WHERE (x.row - y.row) * (x.row - y.row) + (x.col - y.col) * (x.col - y.col) <= 4)"""
-_FREE1 = "AND a NOT IN (SELECT a FROM p0) AND b NOT IN (SELECT b FROM p0)"
-_MATCH = f"{_CAND}, {_PASS(0, 0, '')}, {_PASS(1, 1, _FREE1)}, {_PASS(2, 4, _FREE1 + ' AND a NOT IN (SELECT a FROM p1) AND b NOT IN (SELECT b FROM p1)')}, mt AS (SELECT * FROM p0 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2)"
+_FREE = lambda k: f"AND NOT EXISTS (SELECT 1 FROM p{k} p WHERE p.a = c.a) AND NOT EXISTS (SELECT 1 FROM p{k} p WHERE p.b = c.b)"
+_MATCH = f"{_CAND}, {_PASS(0, 0, '')}, {_PASS(1, 1, _FREE(0))}, {_PASS(2, 4, _FREE(0) + ' ' + _FREE(1))}, mt AS MATERIALIZED (SELECT * FROM p0 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2)"
 
 
 def matched_units(spark, d):
@@ -174,7 +174,7 @@ def progressive_match(spark, d):
     return matched_units(spark, d).select("a", "b", "d2", "pass_no")
 
 
-@query(f"WITH {_MATCH} SELECT m0.a AS n0, m0.b AS n1, m1.b AS n2, m2.b AS n3 FROM mt m0 LEFT JOIN mt m1 ON m1.a = m0.b LEFT JOIN mt m2 ON m2.a = m1.b WHERE m0.a NOT IN (SELECT b FROM mt)")
+@query(f"WITH {_MATCH} SELECT m0.a AS n0, m0.b AS n1, m1.b AS n2, m2.b AS n3 FROM mt m0 LEFT JOIN mt m1 ON m1.a = m0.b LEFT JOIN mt m2 ON m2.a = m1.b WHERE NOT EXISTS (SELECT 1 FROM mt m3 WHERE m3.b = m0.a)")
 def alignment_chain(spark, d):
     m = matched_units(spark, d).select("a", "b")
     heads = m.join(m.select(F.col("b").alias("a")), "a", "left_anti")
@@ -269,15 +269,17 @@ def time_course_concat(spark, d):
 
 
 def trial_counts(spark, d):
-    """Dense counts: every unit, ten trials of a minute, twelve bins of five seconds."""
-    s = spikes(spark, d).where("t < 600 AND unit_key IS NOT NULL")
+    """Dense counts: every unit, the whole minutes of its recording as trials, twelve bins of five seconds."""
+    n_trials = F.floor(F.col("dur") / 60).cast("long")
+    s = spikes(spark, d).where("unit_key IS NOT NULL").join(lengths(spark, d), "recording_no").where(F.floor(F.col("t") / 60) < n_trials)
     n = s.groupBy("unit_key", F.floor(F.col("t") / 60).cast("long").alias("trial"), F.floor(F.pmod(F.col("t"), F.lit(60.0)) / 5).cast("long").alias("bin")).agg(F.count("*").alias("n"))
-    grid = s.select("unit_key").distinct().select("unit_key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("trial")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))).alias("bin"))
+    grid = s.groupBy("unit_key").agg(F.max(n_trials).alias("k")).select("unit_key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("trial")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))).alias("bin"))
     return grid.join(n, ["unit_key", "trial", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("double"))
 
 
-_TC = f"""{_SP}, s6 AS (SELECT * FROM sp WHERE t < 600 AND unit_key IS NOT NULL), c6 AS (SELECT unit_key, CAST(floor(t / 60) AS BIGINT) AS trial, CAST(floor((t % 60) / 5) AS BIGINT) AS bin, count(*) AS n FROM s6 GROUP BY ALL),
-tc AS (SELECT unit_key, trial, bin, CAST(coalesce(n, 0) AS DOUBLE) AS n FROM (SELECT * FROM (SELECT DISTINCT unit_key FROM s6) CROSS JOIN (SELECT unnest(range(10)) AS trial) CROSS JOIN (SELECT unnest(range(12)) AS bin)) LEFT JOIN c6 USING (unit_key, trial, bin))"""
+_TC = f"""{_SP}, {_LEN}, s6 AS (SELECT sp.*, CAST(floor(dur / 60) AS BIGINT) AS k FROM sp JOIN len USING (recording_no) WHERE unit_key IS NOT NULL AND floor(t / 60) < floor(dur / 60)),
+c6 AS (SELECT unit_key, CAST(floor(t / 60) AS BIGINT) AS trial, CAST(floor((t % 60) / 5) AS BIGINT) AS bin, count(*) AS n FROM s6 GROUP BY ALL),
+tc AS (SELECT unit_key, trial, bin, CAST(coalesce(n, 0) AS DOUBLE) AS n FROM (SELECT * FROM (SELECT unit_key, unnest(range(max(k))) AS trial FROM s6 GROUP BY unit_key) CROSS JOIN (SELECT unnest(range(12)) AS bin)) LEFT JOIN c6 USING (unit_key, trial, bin))"""
 
 
 @query(f"""WITH {_TC}, v AS (SELECT unit_key, avg(v) AS noise FROM (SELECT unit_key, trial, var_pop(n) AS v FROM tc GROUP BY ALL) GROUP BY 1),
@@ -519,9 +521,9 @@ def nan_trace_filter(spark, d):
     return one_unit_each(spark, d).select("unit_key", A.has_bad(F.col("waveform")).alias("bad"))
 
 
-@query(f"WITH {_W} SELECT unit_key, list_transform(w, lambda x: round((x - list_avg(w)) / list_stddev_pop(w), 5)) AS z FROM wv")
+@query(f"WITH {_W} SELECT unit_key, list_transform(w, lambda x: round((x - list_avg(w)) / list_stddev_pop(w), 5) + 0.0) AS z FROM wv")
 def trace_zscore(spark, d):
-    return waves(spark, d).select("unit_key", F.transform(A.zscore(F.col("w")), lambda x: R(x, 5)).alias("z"))
+    return waves(spark, d).select("unit_key", F.transform(A.zscore(F.col("w")), lambda x: R(x, 5) + F.lit(0.0)).alias("z"))
 
 
 @query(f"WITH {_W}, m AS (SELECT unit_key, w, list_max(list_transform(w, lambda x: abs(x))) AS m FROM wv) SELECT unit_key, round(m, 6) AS top, list_transform(w, lambda x: round(x / (m + 1e-8), 5)) AS scaled FROM m")
@@ -529,16 +531,16 @@ def trace_maxabs(spark, d):
     return waves(spark, d).select("unit_key", R(A.max_abs(F.col("w"))).alias("top"), F.transform(A.by_max_abs(F.col("w")), lambda x: R(x, 5)).alias("scaled"))
 
 
-@query(f"WITH {_W} SELECT unit_key, list_transform(range(CAST(floor(len(w) / 8) AS BIGINT)), lambda i: round(list_avg(w[i * 8 + 1 : i * 8 + 8]), 6)) AS blocks FROM wv")
+@query(f"WITH {_W} SELECT unit_key, list_transform(range(CAST(floor(len(w) / 8) AS BIGINT)), lambda i: round(list_sum(w[i * 8 + 1 : i * 8 + 8]) / 8 + 1e-9, 5) + 0.0) AS blocks FROM wv")
 def trace_block_mean(spark, d):
-    return waves(spark, d).select("unit_key", F.transform(A.block_mean(F.col("w"), 8), lambda x: R(x)).alias("blocks"))
+    return waves(spark, d).select("unit_key", F.transform(A.block_mean(F.col("w"), 8), lambda x: R(x + 1e-9, 5) + F.lit(0.0)).alias("blocks"))
 
 
-@query(f"""WITH {_W} SELECT unit_key, round(list_avg(w[1:10]), 6) AS base, round(CASE WHEN abs(list_min(w[11:30])) > abs(list_max(w[11:30])) THEN list_min(w[11:30]) ELSE list_max(w[11:30]) END, 6) AS extreme,
-CAST(list_position(w, list_min(w)) - 1 AS BIGINT) AS trough, round(list_median(w[1:10]), 6) AS base_median FROM wv""")
+@query(f"""WITH {_W} SELECT unit_key, round(list_avg(w[1:10]), 6) + 0.0 AS base, round(CASE WHEN abs(list_min(w[11:30])) > abs(list_max(w[11:30])) THEN list_min(w[11:30]) ELSE list_max(w[11:30]) END, 6) + 0.0 AS extreme,
+CAST(list_position(w, list_min(w)) - 1 AS BIGINT) AS trough, round(list_median(w[1:10]), 6) + 0.0 AS base_median FROM wv""")
 def trace_slice_features(spark, d):
     w = F.col("w")
-    return waves(spark, d).select("unit_key", R(A.mean(A.window(w, 0, 10))).alias("base"), R(A.extreme(A.window(w, 10, 30))).alias("extreme"), A.argmin(w).alias("trough"), R(A.median_first(w, 10)).alias("base_median"))
+    return waves(spark, d).select("unit_key", (R(A.mean(A.window(w, 0, 10))) + F.lit(0.0)).alias("base"), (R(A.extreme(A.window(w, 10, 30))) + F.lit(0.0)).alias("extreme"), A.argmin(w).alias("trough"), (R(A.median_first(w, 10)) + F.lit(0.0)).alias("base_median"))
 
 
 @query(f"""WITH {_W}, a AS (SELECT unit_key, w, list_position(w, list_min(w)) AS lo FROM wv), b AS (SELECT *, lo + list_position(w[lo:], list_max(w[lo:])) - 1 AS hi FROM a)
@@ -621,15 +623,18 @@ def sta_average(spark, d):
     return got.select("user_id", F.col("offset").cast("long").alias("offset"), R("average", 8).alias("average"), "n_spikes")
 
 
-@query(f"""WITH {_SP}, c AS (SELECT unit_key, CAST(floor(t / 10) AS BIGINT) AS k, count(*) AS n FROM sp WHERE t < 600 AND unit_key IS NOT NULL GROUP BY ALL),
-g AS (SELECT u.unit_key, b.k, coalesce(n, 0) AS y, sin(2 * pi() * b.k / 6) AS s, cos(2 * pi() * b.k / 6) AS c FROM (SELECT DISTINCT unit_key FROM c) u CROSS JOIN (SELECT unnest(range(60)) AS k) b LEFT JOIN c USING (unit_key, k)),
-f AS (SELECT unit_key, sum(y * s) / 30 AS a, sum(y * c) / 30 AS b, avg(y) AS o FROM g GROUP BY 1) SELECT unit_key, round(sqrt(a * a + b * b), 5) AS amp, round(o, 5) AS "offset" FROM f""")
+@query(f"""WITH {_SP}, {_LEN}, s AS (SELECT sp.*, 6 * CAST(floor(dur / 60) AS BIGINT) AS bins FROM sp JOIN len USING (recording_no) WHERE unit_key IS NOT NULL AND floor(t / 10) < 6 * floor(dur / 60)),
+c AS (SELECT unit_key, CAST(floor(t / 10) AS BIGINT) AS k, max(bins) AS bins, count(*) AS n FROM s GROUP BY ALL),
+g AS (SELECT u.unit_key, u.k, u.bins, coalesce(n, 0) AS y, sin(2 * pi() * u.k / 6) AS s, cos(2 * pi() * u.k / 6) AS c FROM (SELECT unit_key, max(bins) AS bins, unnest(range(max(bins))) AS k FROM c GROUP BY unit_key) u LEFT JOIN c USING (unit_key, k)),
+f AS (SELECT unit_key, 2 * sum(y * s) / max(bins) AS a, 2 * sum(y * c) / max(bins) AS b, avg(y) AS o FROM g GROUP BY 1) SELECT unit_key, round(sqrt(a * a + b * b), 5) AS amp, round(o, 5) AS "offset" FROM f""")
 def sine_fit_closed_form(spark, d):
-    """Over whole periods the sine, the cosine and the constant are orthogonal, so each weight is one sum and empty bins add nothing."""
-    c = spikes(spark, d).where("t < 600 AND unit_key IS NOT NULL").groupBy("unit_key", F.floor(F.col("t") / 10).alias("k")).agg(F.count("*").alias("n"))
+    """Over whole periods the sine, the cosine and the constant are orthogonal, so each weight is one sum and empty bins add nothing. Periods are the whole minutes of a recording."""
+    bins = 6 * F.floor(F.col("dur") / 60)
+    s = spikes(spark, d).where("unit_key IS NOT NULL").join(lengths(spark, d), "recording_no").where(F.floor(F.col("t") / 10) < bins)
+    c = s.groupBy("unit_key", F.floor(F.col("t") / 10).alias("k")).agg(F.count("*").alias("n"), F.max(bins).alias("bins"))
     w = 2 * 3.141592653589793 * F.col("k") / 6
-    a, b = F.sum(F.col("n") * F.sin(w)) / 30, F.sum(F.col("n") * F.cos(w)) / 30
-    return c.groupBy("unit_key").agg(R(F.sqrt(a * a + b * b), 5).alias("amp"), R(F.sum("n") / 60, 5).alias("offset"))
+    a, b = 2 * F.sum(F.col("n") * F.sin(w)) / F.max("bins"), 2 * F.sum(F.col("n") * F.cos(w)) / F.max("bins")
+    return c.groupBy("unit_key").agg(R(F.sqrt(a * a + b * b), 5).alias("amp"), R(F.sum("n") / F.max("bins"), 5).alias("offset"))
 
 
 @query()
@@ -665,7 +670,14 @@ def embedding_components(spark, d):
     return e.select("vec_id", F.transform(clusters.project(F.col("embedding").cast("array<double>"), mean, comp), lambda x: R(x, 4)).alias("scores"))
 
 
-@query()
+_DIMS3 = ("dsi", "osi", "iprgc_2hz_QI")
+_SIL = f"""{_CELL}, pt AS (SELECT unit_key, axon_type, dsi, osi, iprgc_2hz_QI AS q FROM ce WHERE dsi IS NOT NULL AND osi IS NOT NULL AND iprgc_2hz_QI IS NOT NULL AND axon_type IS NOT NULL),
+cl AS (SELECT axon_type AS c, count(*) AS n, sum(dsi) AS x, sum(osi) AS y, sum(q) AS z, sum(dsi * dsi + osi * osi + q * q) AS qq FROM pt GROUP BY 1),
+far AS (SELECT unit_key, axon_type, c, n, n * (dsi * dsi + osi * osi + q * q) + qq - 2 * (dsi * x + osi * y + q * z) AS total FROM pt CROSS JOIN cl),
+ab AS (SELECT unit_key, axon_type, max(CASE WHEN c = axon_type AND n > 1 THEN total / (n - 1) END) AS a, min(CASE WHEN c <> axon_type THEN total / n END) AS b FROM far GROUP BY ALL)"""
+
+
+@query(f"WITH {_SIL} SELECT axon_type, round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END), 5) AS silhouette FROM ab GROUP BY 1")
 def cluster_silhouette(spark, d):
     dims = ["dsi", "osi", "iprgc_2hz_QI"]
     return clusters.centre_silhouette(kmeans_input(spark, d), dims, "axon_type").select("axon_type", R("silhouette", 5).alias("silhouette"))

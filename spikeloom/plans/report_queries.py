@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spikeloom.functions import geometry as G
 from spikeloom.functions.keys import usable
-from spikeloom.operators import pathways, population, responses, timeline
+from spikeloom.operators import ordered, pathways, population, responses, timeline
 from spikeloom.plans import core_queries as C
 from spikeloom.plans.core_queries import _CELL, _LEN, _LINE, _MATCH, _RD, _SP, _TR, _UNIT, R
 from spikeloom.session import cut, shared_dir, table
@@ -95,7 +95,7 @@ def threshold_grid(spark, d):
     return responses.threshold_grid(C.one_cell_each(spark, d), ["dataset_id"], "step_up_QI", _THR, _EDGE)
 
 
-@query(f"""WITH {_MATCH}, ch AS (SELECT m0.a AS n0, m0.b AS n1, m1.b AS n2 FROM mt m0 LEFT JOIN mt m1 ON m1.a = m0.b WHERE m0.a NOT IN (SELECT b FROM mt))
+@query(f"""WITH {_MATCH}, ch AS (SELECT m0.a AS n0, m0.b AS n1, m1.b AS n2 FROM mt m0 LEFT JOIN mt m1 ON m1.a = m0.b WHERE NOT EXISTS (SELECT 1 FROM mt m3 WHERE m3.b = m0.a))
 SELECT n0, n1, n2, coalesce(x.rate, 0) AS v0, coalesce(y.rate, 0) AS v1, coalesce(z.rate, 0) AS v2 FROM ch LEFT JOIN un x ON x.unit_key = n0 LEFT JOIN un y ON y.unit_key = n1 LEFT JOIN un z ON z.unit_key = n2""")
 def chain_zero_fill(spark, d):
     from spikeloom.operators.joins import left_chain
@@ -106,11 +106,12 @@ def chain_zero_fill(spark, d):
 
 
 @query(f"""WITH {_SP}, {_LEN}, {_TR}, j AS (SELECT sp.recording_no, trial_idx FROM sp JOIN tr ON sp.recording_no = tr.recording_no AND t >= s AND t < e)
-SELECT recording_no, {", ".join(f"count(*) FILTER (trial_idx = {i}) AS trial_{i}" for i in range(10))} FROM j GROUP BY 1""")
+SELECT recording_no, {", ".join(f"count(*) FILTER (trial_idx = {i}) AS trial_{i}" for i in range(10))}, count(*) FILTER (trial_idx >= 10) AS later FROM j GROUP BY 1""")
 def pivot_trials(spark, d):
     j = timeline.section_events(C.spikes(spark, d), C.trial_spans(spark, d), ["recording_no"], "t", "s", "e", 0.0, 0.0, 30.0)
-    wide = j.groupBy("recording_no").pivot("trial_idx", list(range(10))).count().na.fill(0)
-    return wide.select("recording_no", *[F.col(str(i)).alias(f"trial_{i}") for i in range(10)])
+    # A column per trial of the usual length, and one for those of longer recordings.
+    wide = j.withColumn("slot", F.least("trial_idx", F.lit(10))).groupBy("recording_no").pivot("slot", list(range(11))).count().na.fill(0)
+    return wide.select("recording_no", *[F.col(str(i)).alias(f"trial_{i}") for i in range(10)], F.col("10").alias("later"))
 
 
 @query("""SELECT chip, count(*) AS n_rows, count(DISTINCT dataset_id) AS n_recordings, coalesce(bool_and(stage1_completed), false) AS all_done, round(avg(duration_sec) FILTER (duration_sec > 0 AND CAST(duration_sec AS VARCHAR) <> 'nan'), 6) AS mean_duration,
@@ -187,8 +188,9 @@ SELECT CAST(i % 8 AS BIGINT) AS direction, count(g) AS n, round(min(g), 6) AS sh
 def durations_by_direction(spark, d):
     from spikeloom.operators.directions import duration_stats
 
-    w = Window.partitionBy("unit_key").orderBy("t")
-    s = C.spikes(spark, d).where("unit_key IS NOT NULL").select(F.pmod(F.row_number().over(w) - 1, F.lit(8)).cast("long").alias("direction"), "t", F.lead("t").over(w).alias("e")).where("e IS NOT NULL")
+    b = F.floor(F.col("t") / 60)
+    n = ordered.running_sum(C.spikes(spark, d).where("unit_key IS NOT NULL"), ["unit_key"], ["t"], b, F.lit(1), "i")
+    s = ordered.with_neighbours(n, ["unit_key"], "i", b, F.col("t"), "before", "e").where("e IS NOT NULL").select(F.pmod(F.col("i"), F.lit(8)).cast("long").alias("direction"), "t", "e")
     got = duration_stats(s, ["direction"], "t", "e")
     return got.select("direction", "n", *[R(c).alias(c) for c in ("shortest", "longest", "mean", "sd")], "n_negative")
 
@@ -201,17 +203,21 @@ def length_consistency(spark, d):
     return n.groupBy("condition_name").agg(F.count("*").alias("n_files"), F.count_distinct("k").alias("n_lengths"), F.min("k").alias("shortest"), F.max("k").alias("longest"), (F.count_distinct("k") == 1).alias("consistent"))
 
 
-@query()
+@query(f"""WITH {_CELL}, per AS (SELECT dataset_id, count(*) AS n, count(*) FILTER (iprgc_2hz_QI > 0.8) AS k FROM ce WHERE iprgc_2hz_QI IS NOT NULL GROUP BY 1), base AS (SELECT sum(k) / sum(n) AS p0 FROM per),
+pmf AS (SELECT dataset_id, n, k, i, exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(p0) + (n - i) * ln(1 - p0)) AS m FROM (SELECT *, unnest(range(n + 1)) AS i FROM per), base),
+own AS (SELECT dataset_id, max(m) FILTER (i = k) AS mk FROM pmf GROUP BY 1), t AS (SELECT pmf.dataset_id, any_value(n) AS n, any_value(k) AS k, least(1, sum(m) FILTER (m <= mk * (1 + 1e-7))) AS p FROM pmf JOIN own USING (dataset_id) GROUP BY 1),
+r AS (SELECT *, count(*) OVER () AS total, count(*) OVER (ORDER BY p RANGE UNBOUNDED PRECEDING) AS rk FROM (SELECT dataset_id, n, k, round(p, 12) AS p FROM t))
+SELECT dataset_id, n, k, round(p, 8) AS p, round(least(1, min(p * total / rk) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING)), 8) AS p_adjusted FROM r""")
 def binomial_enrichment(spark, d):
     """Per recording: is the share of ipRGC cells off the overall one? Exact test, adjusted over recordings."""
     c = C.one_cell_each(spark, d).where("iprgc_2hz_QI IS NOT NULL")
     per = c.groupBy("dataset_id").agg(F.count("*").alias("n"), F.count_if(F.col("iprgc_2hz_QI") > 0.8).alias("k"))
     base = per.agg((F.sum("k") / F.sum("n")).alias("base"))
-    tested = per.join(F.broadcast(base)).withColumn("p", population.binomial_two_sided(F.col("k"), F.col("n"), F.col("base")))  # one row
+    tested = per.join(F.broadcast(base)).withColumn("p", F.round(population.binomial_two_sided(F.col("k"), F.col("n"), F.col("base")), 12))  # one row
     return population.fdr_adjusted(cut(tested, "tested"), [], "p").select("dataset_id", "n", "k", R("p", 8).alias("p"), R("p_adjusted", 8).alias("p_adjusted"))
 
 
-@query()
+@query(f"WITH {_CELL} SELECT unit_key, axon_type FROM ce ORDER BY md5('42:' || unit_key), unit_key LIMIT 200")
 def seeded_sample(spark, d):
     """A sampling operator: two hundred cells in the order of a seeded hash."""
     return population.seeded_sample(C.one_cell_each(spark, d), "unit_key", 200).select("unit_key", "axon_type")
@@ -223,7 +229,9 @@ def stream_tumbling(spark, d):
     source = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
     counts = streams.tumbling_rates(source, ["event_type"], "ts", "1 hour", "40 days")
     path = f"{shared_dir(spark)}/spikeloom/{spark.sparkContext.applicationId}/stream-{abs(hash((d, id(source))))}"
-    q = counts.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
-    q = q.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{path}/out")).start()
+    # Only windows that changed come out of a batch; of each the last count holds. The watermark drops windows from the state.
+    q = counts.writeStream.outputMode("update").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+    q = q.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{path}/out/batch={i}")).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{path}/out").select("event_type", F.unix_micros("start").alias("start_us"), "n")
+    last = spark.read.parquet(f"{path}/out").groupBy("event_type", "start").agg(F.max_by("n", "batch").alias("n"))
+    return last.select("event_type", F.unix_micros("start").alias("start_us"), "n")

@@ -18,9 +18,31 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+def _swap(spark: SparkSession, side: str, path: str) -> None:
+    """Put ``side`` in the place of ``path``: the old table is moved aside first and deleted last, so there is always one whole table."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = f"{path}.old"
+    fs.delete(at(old), True)
+    if not fs.rename(at(path), at(old)):
+        raise OSError(f"{path} can't be moved; nothing was changed")
+    if not fs.rename(at(side), at(path)):
+        fs.rename(at(old), at(path))
+        raise OSError(f"{side} can't be moved to {path}; the old table is back in its place")
+    fs.delete(at(old), True)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Undo a swap that a crash cut in two: the old table goes back where there is none."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    if not exists(spark, path) and exists(spark, f"{path}.old"):
+        at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(at(f"{path}.old"), at(path))
+
+
 def append_new(df: DataFrame, path: str, keys: list[str], force: bool = False) -> None:
     """Append rows whose keys aren't there; with ``force`` the new rows replace the old ones (written aside, then swapped)."""
     spark = df.sparkSession
+    recover(spark, path)
     if not exists(spark, path):
         df.write.parquet(path)
         return
@@ -30,10 +52,7 @@ def append_new(df: DataFrame, path: str, keys: list[str], force: bool = False) -
         return
     side = f"{path}.new"
     old.join(df.select(*keys).distinct(), keys, "left_anti").unionByName(df, allowMissingColumns=True).write.mode("overwrite").parquet(side)
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(fs_path(path), True)
-    fs.rename(fs_path(side), fs_path(path))
+    _swap(spark, side, path)
 
 
 def export_features(df: DataFrame, path: str, keys: list[str], width: int = 10) -> None:
