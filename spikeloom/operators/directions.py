@@ -62,6 +62,7 @@ def selectivity(totals: np.ndarray, seed: int, rounds: int = 2000) -> list[float
         out.append((float(real), 1.0 if z is None else 0.5 * math.erfc(z / math.sqrt(2))))
     vector = mean @ np.exp(1j * angle)
     preferred = float(np.degrees(np.angle(vector)) % 360) if abs(vector) > 1e-12 else math.nan
+    preferred = 0.0 if preferred == 360.0 else preferred  # the remainder of a tiny negative angle
     return [out[0][0], out[1][0], preferred, out[0][1], out[1][1]]
 
 

@@ -19,9 +19,14 @@ class Extractor:
     name: str
     version: str
     inputs: tuple[str, ...]
-    schema: StructType
+    shape: StructType | str
     run: Callable[..., DataFrame]
 
+    @property
+    def schema(self) -> StructType:
+        """What ``run`` returns; a schema given as text is parsed by the session, so only when there is one."""
+        return self.shape if isinstance(self.shape, StructType) else StructType.fromDDL(self.shape)
+
     def missing(self, tables: dict[str, DataFrame]) -> list[str]:
         """Inputs (``table`` or ``table.column``) that the tables don't have."""
         out = []
@@ -42,8 +47,7 @@ class Registry:
             raise ValueError(f"{name!r} is registered already")
 
         def add(run: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-            shape = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-            self._by_name[name] = Extractor(name, version, tuple(inputs), shape, run)
+            self._by_name[name] = Extractor(name, version, tuple(inputs), schema, run)
             return run
 
         return add
