@@ -102,9 +102,10 @@ def nan_to_zero(a: Column) -> Column:
 def mean_trace(trials: Column) -> Column:
     """The mean over trials, cut to the shortest; NULL without trials."""
     n = F.array_min(F.transform(trials, lambda t: F.size(t)))
-    at = lambda v, i: total(F.transform(v.t, lambda t: t[i].cast("double"))) / F.size(v.t)
-    body = lambda v: F.when(v.n > 0, F.transform(F.sequence(F.lit(0), F.greatest(v.n - 1, F.lit(0))), lambda i: at(v, i))).otherwise(F.array().cast("array<double>"))
-    return F.when(F.size(trials) > 0, let(body, t=trials, n=n))
+    add = lambda acc, t: F.zip_with(acc, F.slice(t, 1, F.size(acc)), lambda x, y: x + y.cast("double"))
+    sums = F.aggregate(trials, F.array_repeat(F.lit(0.0), n), add)
+    body = lambda v: F.transform(v.s, lambda x: x / v.k)
+    return F.when(F.size(trials) > 0, F.when(n > 0, let(body, s=sums, k=F.size(trials))).otherwise(F.array().cast("array<double>")))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -168,8 +168,8 @@ def standardized(df: DataFrame, dims: list[str], by: list[str] | None = None) ->
     return joined.withColumns({c: F.when(F.col(f"_s_{c}") > 1e-12, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).otherwise(F.when(F.col(c).isNotNull(), 0.0)) for c in dims}).drop(*[f"_m_{c}" for c in dims], *[f"_s_{c}" for c in dims])
 
 
-def principal_components(df: DataFrame, vector: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Mean, components (rows, sign fixed by the largest weight) and explained shares, from summed Gram matrices per task."""
+def covariance(df: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance (population) of a vector column, from summed Gram matrices per task; NULL vectors are left out."""
     import pandas as pd
 
     def grams(batches):
@@ -185,15 +185,19 @@ def principal_components(df: DataFrame, vector: str, k: int) -> tuple[np.ndarray
             yield pd.DataFrame({"g": [total]})
 
     parts = df.select(F.col(vector).cast("array<double>").alias(vector)).mapInPandas(grams, "g array<double>")
-    size = parts.select(F.size("g").alias("s")).first()
-    if size is None:
-        raise ValueError("no vectors")
     # Position by position, the sum over tasks.
     rows = parts.select(F.posexplode("g")).groupBy("pos").agg(F.sum("col").alias("v")).orderBy("pos").collect()  # dimensions squared
+    if not rows:
+        raise ValueError("no vectors")
     g = np.array([r.v for r in rows])
     d = int((math.sqrt(1 + 4 * (len(g) - 1)) - 1) / 2)
     n, m = g[0], g[1 : d + 1] / g[0]
-    cov = g[d + 1 :].reshape(d, d) / n - np.outer(m, m)
+    return m, g[d + 1 :].reshape(d, d) / n - np.outer(m, m)
+
+
+def principal_components(df: DataFrame, vector: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, components (rows, sign fixed by the largest weight) and explained shares, from one pass."""
+    m, cov = covariance(df, vector)
     val, vec = np.linalg.eigh(cov)
     order = np.argsort(val)[::-1][:k]
     comp = vec[:, order].T
