@@ -168,6 +168,11 @@ def standardized(df: DataFrame, dims: list[str], by: list[str] | None = None) ->
     return joined.withColumns({c: F.when(F.col(f"_s_{c}") > 1e-12, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).otherwise(F.when(F.col(c).isNotNull(), 0.0)) for c in dims}).drop(*[f"_m_{c}" for c in dims], *[f"_s_{c}" for c in dims])
 
 
+def moments(df: DataFrame, cluster: str, vector: str) -> DataFrame:
+    """``cluster, dim, mean, sd``: mean and population deviation of each dimension of a vector, per cluster."""
+    return df.select(cluster, F.posexplode(vector).alias("dim", "_v")).groupBy(cluster, "dim").agg(F.avg(F.col("_v").cast("double")).alias("mean"), F.stddev_pop(F.col("_v").cast("double")).alias("sd"))
+
+
 def covariance(df: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray]:
     """Mean and covariance (population) of a vector column, from summed Gram matrices per task; NULL vectors are left out."""
     import pandas as pd

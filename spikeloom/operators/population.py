@@ -103,6 +103,21 @@ def log_bayes_choice(df: DataFrame, by: list[str], k: str, bic: str, least: floa
     return lbf.groupBy(*by).agg(F.coalesce(F.min(F.when(F.col("_l") < least, F.col(k))), low).alias("k"))
 
 
+def bic_choice(df: DataFrame, by: list[str], k: str, bic: str, elbow: float = 0.01) -> DataFrame:
+    """``by, k_min, k_elbow``: the k of the lowest BIC (the smaller of equals), and the last k before the relative gain falls below ``elbow``, else that of the lowest."""
+    w = Window.partitionBy(*by).orderBy(k)
+    before = df.withColumn("_b", F.lag(bic).over(w)).withColumn("_k", F.lag(k).over(w))
+    low = F.min_by(k, F.struct(bic, k))
+    small = (F.col("_b") - F.col(bic)) / F.abs("_b") < elbow
+    return before.groupBy(*by).agg(low.alias("k_min"), F.coalesce(F.min(F.when(small, F.col("_k"))), low).alias("k_elbow"))
+
+
+def encoded(df: DataFrame, label: str, out: str) -> DataFrame:
+    """Add ``out``: the place of each label in their order, from 0; NULL stays NULL. The labels are aggregated first."""
+    codes = df.where(F.col(label).isNotNull()).select(label).distinct().withColumn(out, (F.row_number().over(Window.orderBy(label)) - 1).cast("long"))  # a row per label
+    return df.join(codes, label, "left").select(*df.columns, out)
+
+
 def binned_course(df: DataFrame, by: list[str], unit: str, time: str, value: str, width: float) -> DataFrame:
     """Means per unit and bin first, then over units: ``by, bin_no, n_units, mean, sem`` with the sample deviation."""
     b = F.floor(F.col(time) / F.lit(width)).cast("long").alias("bin_no")

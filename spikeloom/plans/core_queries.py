@@ -18,16 +18,22 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL."""
+def query_of(queries: dict, sqls: dict[str, str]):
+    """A decorator that registers a query under its function's name, with its SQL."""
 
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
+    def query(sql: str | None = None):
+        def add(f):
+            queries[f.__name__] = f
+            if sql is not None:
+                sqls[f.__name__] = sql
+            return f
 
-    return add
+        return add
+
+    return query
+
+
+query = query_of(QUERIES, SQL)
 
 
 def R(c, digits: int = 6):

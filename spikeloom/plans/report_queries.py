@@ -9,7 +9,7 @@ from spikeloom.functions import geometry as G
 from spikeloom.functions.keys import usable
 from spikeloom.operators import ordered, pathways, population, responses, timeline
 from spikeloom.plans import core_queries as C
-from spikeloom.plans.core_queries import _CELL, _LEN, _LINE, _MATCH, _RD, _SP, _TR, _UNIT, R
+from spikeloom.plans.core_queries import _CELL, _LEN, _LINE, _MATCH, _RD, _SP, _TR, _UNIT, R, query_of
 from spikeloom.session import cut, shared_dir, table
 from spikeloom.streaming import streams
 
@@ -17,14 +17,7 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+query = query_of(QUERIES, SQL)
 
 
 @query(f"""WITH {_SP}, {_LEN}, k AS (SELECT recording_no, floor(dur / 60) AS k FROM len WHERE dur >= 60)
