@@ -62,7 +62,12 @@ def pad_or_trim(trace: Column, length: int | Column, fill: float = 0.0) -> Colum
 
 
 def stack_trials(df: DataFrame, keys: list[str], trial: str, trace: str, out: str = "trials") -> DataFrame:
-    """One row per key: its trials in order, all cut to the shortest."""
+    """One row per key: its trials in order, all cut to the shortest.
+
+    A row holds all trials of a key, so ``keys`` have to name a unit and a
+    movie, whose trials are as many as the stimulus has; for anything that
+    grows with the data aggregate instead.
+    """
     got = df.where(F.col(trace).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(trial, trace))).alias("_t"), F.min(F.size(trace)).alias("_n"))
     return got.select(*keys, F.transform("_t", lambda x: F.slice(x[trace], 1, F.col("_n"))).alias(out))
 

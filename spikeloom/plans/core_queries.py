@@ -619,8 +619,8 @@ def common_line_point(spark, d):
 SELECT p.user_id, o AS "offset", round(avg(s.value), 8) AS average, count(*) AS n_spikes FROM p, (SELECT unnest(range(-5, 1)) AS o) JOIN s ON s.i = p.i + o GROUP BY ALL""")
 def sta_average(spark, d):
     e = table(spark, d, "events")
-    # Frame numbers come from ranks inside days and day totals, so no task orders the whole table.
-    day = F.to_date("ts")
+    # Frame numbers come from ranks inside hours and their totals, so no task orders the whole table.
+    day = F.date_trunc("hour", F.col("ts").cast("timestamp"))
     ranked = e.select("user_id", "event_type", "value", day.alias("day"), F.row_number().over(Window.partitionBy(day).orderBy("ts", "event_id")).alias("k"))
     days = ranked.groupBy("day").agg(F.max("k").alias("n"))
     days = days.select("day", F.coalesce(F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))

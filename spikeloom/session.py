@@ -58,26 +58,41 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and return the written table.
 
     Later stages start from the files, so a lost executor costs no more than
-    its own tasks. The files go when the driver's Python ends, or with
-    ``drop_cuts``.
+    its own tasks. The files go with ``discard``, with ``drop_cuts``, or when
+    the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spikeloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _CUTS.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._spikeloom_cut = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session may be gone already
+        pass
 
 
 def drop_cuts(keep: int = 0) -> None:
     """Delete the tables that ``cut`` wrote, but for the first ``keep``."""
     while len(_CUTS) > keep:
-        spark, path = _CUTS.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session may be gone already
-            pass
+        _delete(*_CUTS.pop())
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``cut`` returned, as soon as what was made of it is written. Other frames are left alone."""
+    at = getattr(df, "_spikeloom_cut", None)
+    if at is None:
+        return
+    for i in range(len(_CUTS) - 1, -1, -1):
+        if _CUTS[i][1] == at:
+            _delete(*_CUTS.pop(i))
 
 
 def cut_mark() -> int:

@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from spikeloom.functions.names import has_words, playlist_movies
+from spikeloom.sources.hdf5 import open_input
+from spikeloom.sources.stores import register_stores
 
 CONFIG_SCHEMA = "name string, section_kwargs struct<start_frame: int, trial_length_frame: int, repeat: int, group_count: int, group_gap: int>"
 
@@ -82,15 +84,16 @@ def parquet_info(path: str) -> dict:
     """Rows, columns and key-value metadata of a Parquet file's footer."""
     import pyarrow.parquet as pq
 
-    meta = pq.read_metadata(path)
+    with open_input(path) as f:
+        meta = pq.read_metadata(f)
     return {"rows": meta.num_rows, "columns": meta.num_columns, "metadata": {k.decode(): v.decode(errors="replace") for k, v in (meta.metadata or {}).items()}}
 
 
 def load_json(path: str) -> dict:
     """A configuration file on the driver, with errors that name it."""
     try:
-        with open(path, encoding="utf-8") as f:
-            return json.load(f)
+        with open_input(path) as f:
+            return json.loads(f.read().decode("utf-8"))
     except FileNotFoundError as e:
         raise FileNotFoundError(f"no configuration {path}") from e
     except json.JSONDecodeError as e:
@@ -114,24 +117,39 @@ class _Chunk(InputPartition):
         self.path, self.start, self.end = path, start, end
 
 
+def _npy_header(f) -> tuple[tuple[int, ...], object, int]:
+    """Shape, type and where the data begin; files with pickled objects or in column order are refused."""
+    import numpy as np
+
+    version = np.lib.format.read_magic(f)
+    shape, fortran, dtype = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(f)
+    if dtype.hasobject or fortran or not shape:
+        raise ValueError("only plain arrays in row order with one dimension or more can be read")
+    return shape, dtype, f.tell()
+
+
 class _ArrayReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.rows = options["path"], int(options.get("chunkrows", 4096))
         self.limit = int(options["limit"]) if "limit" in options else None
 
     def partitions(self):
-        import numpy as np
-
-        n = np.load(self.path, mmap_mode="r", allow_pickle=False).shape[0]
+        with open_input(self.path) as f:
+            n = _npy_header(f)[0][0]
         n = n if self.limit is None else min(n, self.limit)
         return [_Chunk(self.path, s, min(s + self.rows, n)) for s in range(0, n, self.rows)] or [_Chunk(self.path, 0, 0)]
 
     def read(self, part):
         import numpy as np
 
-        a = np.load(part.path, mmap_mode="r", allow_pickle=False)
-        for i in range(part.start, part.end):
-            yield (i, np.asarray(a[i], dtype=float).ravel().tolist())
+        with open_input(part.path) as f:
+            shape, dtype, at = _npy_header(f)
+            width = int(np.prod(shape[1:], dtype=np.int64))
+            f.seek(at + part.start * width * dtype.itemsize)
+            raw = f.read((part.end - part.start) * width * dtype.itemsize)
+        a = np.frombuffer(raw, dtype).reshape(part.end - part.start, width)
+        for i, row in enumerate(a):
+            yield (part.start + i, np.asarray(row, dtype=float).tolist())
 
 
 class ArrayFile(DataSource):
@@ -152,38 +170,6 @@ class ArrayFile(DataSource):
         return _ArrayReader(self.options)
 
 
-class _StoreReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.paths = [p for p in options["path"].split(",") if p]
-
-    def partitions(self):
-        return [_Chunk(p, 0, 0) for p in self.paths]
-
-    def read(self, part):
-        import h5py  # optional: only this source needs it
-
-        with h5py.File(part.path, "r") as f:
-            stem = part.path.rsplit("/", 1)[-1].removesuffix(".h5")
-            for unit, g in f.get("units", {}).items():
-                times = g["spike_times"][()].astype("int64").tolist() if "spike_times" in g else []
-                wave = g["waveform"][()].astype(float).ravel().tolist() if "waveform" in g else None
-                yield (stem, unit, int(g.attrs["row"]) if "row" in g.attrs else None, int(g.attrs["col"]) if "col" in g.attrs else None, wave, times)
-
-
-class RecordingStore(DataSource):
-    """``spark.read.format("recording_store")``: units of recording stores, a file per task; needs h5py on the executors."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "recording_store"
-
-    def schema(self) -> str:
-        return "dataset_id string, unit_id string, row int, col int, waveform array<double>, spike_sample array<bigint>"
-
-    def reader(self, schema):
-        return _StoreReader(self.options)
-
-
 def register_sources(spark: SparkSession) -> None:
     spark.dataSource.register(ArrayFile)
-    spark.dataSource.register(RecordingStore)
+    register_stores(spark)
