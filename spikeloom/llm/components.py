@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spikeloom.session import cut
+from spikeloom.session import cut, discard
 
 
 def forest_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,9 +98,13 @@ def components(edges: DataFrame, a: str, b: str, bound: int = 1_000_000) -> Data
         if not loose:  # every node has one root and no root has another: the stars are the groups
             whole = stars
             break
-        stars = cut(_merged(_rewired(stars), -(-n // bound)), "forest")
+        merged = cut(_merged(_rewired(stars), -(-n // bound)), "forest")
+        discard(stars)
+        stars = merged
         n = stars.count()
     else:
         whole = cut(_merged(stars, 1), "forest")
+        discard(stars)
+    discard(level)
     grouped = whole.select(F.col("a").alias("node"), F.col("b").alias("group_key"))
     return grouped.unionAll(whole.select(F.col("b").alias("node"), F.col("b").alias("group_key")).distinct()).distinct()

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spikeloom.functions.keys import usable
-from spikeloom.session import cut
+from spikeloom.session import cut, discard
 
 
 def grid_clusters(
@@ -82,15 +82,17 @@ def grid_clusters(
     hop = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"o{i}") for i, v in enumerate(o)]) for o in around])).alias("o")
     reach = dense.select("code", *cs, hop).select(F.col("code").alias("from"), *moved)
     links = cut(reach.join(dense.select(*cs, F.col("code").alias("to")), cs).select("from", "to"), "links")
-    labels = cut(dense.select("code", F.col("code").alias("label")), "labels")
+    labels = held = cut(dense.select("code", F.col("code").alias("label")), "labels")
     for _ in range(max_rounds):
         # The smallest label of a cell and its neighbours, then the label of that label: paths halve.
         near = links.join(labels, links["to"] == labels["code"]).groupBy("from").agg(F.min("label").alias("near"))
         new = labels.join(near, labels["code"] == near["from"], "left").select("code", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
         up = new.select(F.col("code").alias("new"), F.col("new").alias("up"))
-        new = cut(new.join(up, "new").select("code", F.col("label").alias("was"), F.col("up").alias("label")), "labels")
-        done = new.where("label <> was").limit(1).count() == 0
-        labels = new.select("code", "label")
+        step = cut(new.join(up, "new").select("code", F.col("label").alias("was"), F.col("up").alias("label")), "labels")
+        discard(held)
+        held = step
+        done = step.where("label <> was").limit(1).count() == 0
+        labels = step.select("code", "label")
         if done:
             break
     else:

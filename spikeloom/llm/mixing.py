@@ -102,7 +102,7 @@ def plan_shares(available: pd.DataFrame, targets: pd.DataFrame, total: float | N
     t = t[t["source"].notna() & (t["target_share"] > 0)]
     t["max_repeats"] = t["max_repeats"].fillna(1).clip(lower=0)
     t = t.groupby("source", as_index=False).agg({"target_share": "sum", "max_repeats": "min"})
-    t = t.merge(available, on="source", how="left").fillna({"tokens": 0, "documents": 0})
+    t = t.merge(available, on="source", how="left").fillna({"tokens": 0.0, "documents": 0.0})
     t["reachable"] = (t["tokens"] > 0) & (t["max_repeats"] > 0)
     within = t["target_share"].where(t["reachable"], 0.0)
     share = within / within.sum() if within.sum() else within
@@ -129,6 +129,8 @@ def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "t
     not positive are ignored, several of one source add up under the lowest
     cap, a NULL cap is 1. Equal seeds give equal results.
     """
+    if block < 4 * LANDING:
+        raise ValueError(f"a block needs {4 * LANDING} documents or more")
     spark = docs.sparkSession
     goal = targets.select(F.col("source").cast("string").alias("source"), F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("double").alias("max_repeats"))
     rows = goal.limit(max_targets + 1).collect()

@@ -17,9 +17,9 @@ from spikeloom.session import cut, table
 # -- 2: groups of linked units ---------------------------------------------------------------------------------------
 
 
-def unit_links(spark: SparkSession, d: str) -> DataFrame:
-    """Accepted links as pairs of unit keys. A unit that isn't in ``units`` gets a key of 2^62 or more from its name."""
-    units = table(spark, d, "units").groupBy(recording_key("dataset_id").alias("rec"), unit_number("unit_id").alias("no")).agg(F.min("unit_key").alias("unit_key"))
+def unit_links(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """Accepted links as pairs of unit keys, and the greatest key of ``units``. A unit that isn't in ``units`` has a key of its own behind that."""
+    units = table(spark, d, "units").where("unit_key IS NOT NULL").groupBy(recording_key("dataset_id").alias("rec"), unit_number("unit_id").alias("no")).agg(F.min("unit_key").alias("unit_key"))
     links = table(spark, d, "chain_links").where("accepted").select(
         recording_key("ref_file").alias("r0"), unit_number("ref_unit").alias("u0"), recording_key("matched_file").alias("r1"), unit_number("matched_unit").alias("u1")
     )
@@ -27,13 +27,19 @@ def unit_links(spark: SparkSession, d: str) -> DataFrame:
     for i in (0, 1):
         side = units.select(F.col("rec").alias(f"r{i}"), F.col("no").alias(f"u{i}"), F.col("unit_key").alias(f"k{i}"))
         links = links.join(side, [f"r{i}", f"u{i}"], "left")
-    name = lambda i: F.xxhash64(f"r{i}", f"u{i}").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
-    return links.select(F.coalesce("k0", name(0)).alias("a"), F.coalesce("k1", name(1)).alias("b"))
+    links = cut(links, "links")
+    last = table(spark, d, "units").agg(F.max("unit_key").alias("last")).first().last or 0
+    ends = [links.where(f"k{i} IS NULL").select(F.col(f"r{i}").alias("r"), F.col(f"u{i}").alias("u")) for i in (0, 1)]
+    # Written once, so that a name's number stays what it is.
+    names = cut(ends[0].unionAll(ends[1]).distinct().withColumn("own", F.monotonically_increasing_id() + F.lit(last + 1)), "names")
+    for i in (0, 1):
+        links = links.join(names.select(F.col("r").alias(f"r{i}"), F.col("u").alias(f"u{i}"), F.col("own").alias(f"n{i}")), [f"r{i}", f"u{i}"], "left")
+    return links.select(F.coalesce("k0", "n0").alias("a"), F.coalesce("k1", "n1").alias("b")), int(last)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    groups = components(unit_links(spark, d), "a", "b")
-    return groups.where(F.col("node") < (1 << 62)).select(F.col("node").alias("unit_key"), "group_key")
+    links, last = unit_links(spark, d)
+    return components(links, "a", "b").where(F.col("node") <= last).select(F.col("node").alias("unit_key"), "group_key")
 
 
 def p2_sizes(spark: SparkSession, d: str) -> DataFrame:
