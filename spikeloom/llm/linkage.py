@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 from spikeloom.functions.keys import recording_key, usable
 from spikeloom.session import cut
 
-HALF, SHIFT, SECOND = 12, 2, 0.6  #: samples kept on either side of a peak; shifts tried; least size of a second peak
+HALF, SHIFT, SECOND, SCALE = 12, 2, 0.6, 16384  #: samples kept on either side of a peak; shifts tried; least size of a second peak; 1 in a packed shape
 DIMS = ("drow", "dcol", "shape", "rate", "gain")
 #: Components: a whole match, a match with a part of a divided unit, close strangers, other strangers.
 MATCHED, UNMATCHED = (0, 1), (2, 3)
@@ -50,7 +50,8 @@ MATCHED, UNMATCHED = (0, 1), (2, 3)
 def _aligned(waves: pd.Series) -> pd.Series:
     """Each shape cut about its greatest excursion, and about the greatest of the other sign where that is nearly as great.
 
-    Both cuts are scaled to -1 at their middle. There is no second one where
+    Both cuts are scaled to -1 at their middle, and packed as 16-bit numbers,
+    as shapes travel with every block that their row enters. There is no second one where
     the other sign's excursion is under ``SECOND`` of the first.
     """
     size = 2 * (HALF + SHIFT) + 1
@@ -69,17 +70,17 @@ def _aligned(waves: pd.Series) -> pd.Series:
         for k, p in enumerate(cuts):
             lo, hi = max(0, p - HALF - SHIFT), min(len(w), p + HALF + SHIFT + 1)
             x[k, lo - p + HALF + SHIFT : hi - p + HALF + SHIFT] = w[lo:hi] / -w[p]
-        out.append(x.ravel())
+        out.append(np.round(x.ravel() * SCALE).astype("<i2").tobytes())
     return pd.Series(out, dtype=object)
 
 
 def _padded(shapes: pd.Series, size: int) -> np.ndarray:
     """One or two cuts of each shape; NaN for a second one that there isn't."""
     out = np.full((len(shapes), 2, size), np.nan)
-    two = np.array([len(x) > size for x in shapes])
+    two = np.array([len(x) > 2 * size for x in shapes])
     for k, which in ((1, ~two), (2, two)):
         if which.any():
-            out[which, :k] = np.stack([x for x, t in zip(shapes, which) if t]).reshape(-1, k, size)
+            out[which, :k] = np.frombuffer(b"".join(shapes[which]), "<i2").reshape(-1, k, size)
     return out
 
 
@@ -104,7 +105,7 @@ def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-aligned = F.pandas_udf(_aligned, T.ArrayType(T.FloatType()))
+aligned = F.pandas_udf(_aligned, T.BinaryType())
 alike = F.pandas_udf(_alike, T.DoubleType())
 
 
@@ -114,18 +115,18 @@ def prepared(df: DataFrame, key: str, recording: str, row: str, col: str, wavefo
     ``source`` names who wrote the row, as conventions are its own. ``within``
     keeps rows of the recordings (``rec``) it holds, before anything is shuffled.
     """
+    wave = F.when(F.size(waveform) > 0, F.col(waveform).cast("array<float>"))
+    peak = F.greatest(F.abs(F.array_max(wave)), F.abs(F.array_min(wave))).cast("double")
     one = df.select(
-        F.col(key).cast("long").alias("key"), recording_key(recording).alias("rec"), (F.col(source).cast("string") if source else F.lit(None).cast("string")).alias("source"),
-        F.when(F.col(row) >= 0, F.col(row)).cast("int").alias("row"), F.when(F.col(col) >= 0, F.col(col)).cast("int").alias("col"),
-        F.when(F.size(waveform) > 0, F.col(waveform).cast("array<float>")).alias("waveform"),
-        F.when(usable(rate) & (F.col(rate) > 0), F.col(rate).cast("double")).alias("rate"),
+        F.col(key).cast("long").alias("key"), recording_key(recording).alias("rec"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source") if source else F.lit("").alias("source"),
+        F.when(F.col(row) >= 0, F.col(row)).cast("int").alias("row"), F.when(F.col(col) >= 0, F.col(col)).cast("int").alias("col"), wave.alias("wave"),
+        F.when(usable(rate) & (F.col(rate) > 0), F.log(F.col(rate).cast("double"))).alias("lograte"), F.when(usable(peak) & (peak > 0) & (peak < float("inf")), F.log(peak)).alias("logpeak"),
     ).where("key IS NOT NULL AND rec IS NOT NULL")
     if within is not None:
         one = one.join(within.select("rec").distinct(), "rec", "left_semi")
-    one = one.groupBy("key").agg(*[F.max(c).alias(c) for c in ("rec", "source", "row", "col", "waveform", "rate")])
-    peak = F.greatest(F.abs(F.array_max("waveform")), F.abs(F.array_min("waveform"))).cast("double")
-    shape = aligned("waveform")
-    return one.select("key", "rec", F.coalesce("source", F.lit("")).alias("source"), "row", "col", shape.alias("shape"), F.log("rate").alias("lograte"), F.when(usable(peak) & (peak > 0) & (peak < float("inf")), F.log(peak)).alias("logpeak"))
+    # Shapes are packed before repeated rows meet: they are a third of a waveform's size.
+    packed = one.select("key", "rec", "source", "row", "col", aligned("wave").alias("shape"), "lograte", "logpeak")
+    return packed.groupBy("key").agg(*[F.max(c).alias(c) for c in packed.columns if c != "key"])
 
 
 def _knows() -> Column:
