@@ -117,6 +117,21 @@ class Session:
             rows = [("table", i, n) for i, n in enumerate(self.tables)] + [("step", i, n) for i, n in enumerate(self.steps)] + [("warning", i, n) for i, n in enumerate(self.warnings)]
             spark.createDataFrame(rows, "kind string, i int, name string").coalesce(1).write.mode("overwrite" if overwrite else "errorifexists").parquet(f"{path}/_ledger")
 
+    def checkpoint(self, folder: str, name: str | None = None) -> str:
+        """A snapshot under ``folder``, by name or by the last step; the session goes on unchanged. An older one of the name is replaced."""
+        path = f"{folder.rstrip('/')}/{name or (self.steps[-1] if self.steps else 'start')}"
+        self.save(path, overwrite=True)
+        return path
+
+    def ensure_saved(self, path: str) -> str:
+        """Save unless ``path`` holds a session with the same steps already; where it is now."""
+        from spikeloom.sources.writers import exists
+
+        spark = next(iter(self.tables.values())).sparkSession if self.tables else SparkSession.getActiveSession()
+        if not (exists(spark, f"{path}/_ledger") and Session.load(spark, path, []).steps == self.steps):
+            self.save(path, overwrite=True)
+        return path
+
     @classmethod
     def load(cls, spark: SparkSession, path: str, tables: list[str] | None = None) -> Session:
         """A saved session, its tables lazy; ``tables`` picks some of them."""

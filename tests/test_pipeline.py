@@ -157,3 +157,19 @@ def test_electrode_images_against_plain_averages(spark, tmp_path):
         electrode_sta.filtered(read(256), 1500.0, 2000.0)
     images = electrode_sta.electrode_images(read(1000), sp, 10, 20, None)
     assert {r.unit_id for r in images.collect()} == {"a", "b"}
+
+
+def test_snapshots_of_a_session(spark, tmp_path):
+    s = P.Session({"units": spark.createDataFrame([(1, "a")], "k long, v string")})
+    s.step("load", lambda x: None)
+    assert s.checkpoint(str(tmp_path)).endswith("/load") and P.Session.load(spark, str(tmp_path / "load")).steps == ["load"]
+    path = s.ensure_saved(str(tmp_path / "whole"))
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "whole").rglob("*.parquet")}
+    s.ensure_saved(path)
+    assert {p: p.stat().st_mtime_ns for p in (tmp_path / "whole").rglob("*.parquet")} == before
+    s.put("units", spark.createDataFrame([(2, "b")], "k long, v string"), ["k"])
+    s.step("more", lambda x: None)
+    s.tables["units"] = s.tables["units"].persist()
+    s.tables["units"].count()
+    s.ensure_saved(path)
+    assert P.Session.load(spark, path).tables["units"].count() == 2
