@@ -42,6 +42,7 @@ from spikeloom.functions.keys import recording_key, usable
 from spikeloom.session import cut
 
 HALF, SHIFT, SECOND, SCALE = 12, 2, 0.6, 16384  #: samples kept on either side of a peak; shifts tried; least size of a second peak; 1 in a packed shape
+SMALL = 50_000  #: rows of a table of recordings up to which it is sent to all tasks (some ten MB); larger ones are joined by shuffle
 DIMS = ("drow", "dcol", "shape", "rate", "gain")
 #: Components: a whole match, a match with a part of a divided unit, close strangers, other strangers.
 MATCHED, UNMATCHED = (0, 1), (2, 3)
@@ -109,6 +110,11 @@ aligned = F.pandas_udf(_aligned, T.BinaryType())
 alike = F.pandas_udf(_alike, T.DoubleType())
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """The table with a broadcast hint if it has ``SMALL`` rows or fewer; its rows are counted."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
 def prepared(df: DataFrame, key: str, recording: str, row: str, col: str, waveform: str, rate: str, source: str | None = None, within: DataFrame | None = None) -> DataFrame:
     """One row per key: ``key, rec, source, row, col, shape, lograte, logpeak``. Unusable fields become NULL; rows without key or recording go.
 
@@ -123,7 +129,7 @@ def prepared(df: DataFrame, key: str, recording: str, row: str, col: str, wavefo
         F.when(usable(rate) & (F.col(rate) > 0), F.log(F.col(rate).cast("double"))).alias("lograte"), F.when(usable(peak) & (peak > 0) & (peak < float("inf")), F.log(peak)).alias("logpeak"),
     ).where("key IS NOT NULL AND rec IS NOT NULL")
     if within is not None:
-        one = one.join(within.select("rec").distinct(), "rec", "left_semi")
+        one = one.join(_small(within.select("rec").distinct()), "rec", "left_semi")
     # Shapes are packed before repeated rows meet: they are a third of a waveform's size.
     packed = one.select("key", "rec", "source", "row", "col", aligned("wave").alias("shape"), "lograte", "logpeak")
     return packed.groupBy("key").agg(*[F.max(c).alias(c) for c in packed.columns if c != "key"])
@@ -157,7 +163,7 @@ def candidates(left: DataFrame, right: DataFrame, reach: int = 6, chunk: int = 1
     # Per recording: what its right rows know, and into how many chunks each kind of row is cut.
     kinds = ri.groupBy("rec").agg(F.collect_set("knows").alias("has"))  # at most four values
     parts = lambda df: F.map_from_entries(F.collect_list(F.struct("knows", F.ceil(F.col("n") / F.lit(float(chunk))).cast("int").alias("k"))))
-    sizes = kinds.join(n(le).groupBy("rec").agg(parts(le).alias("lk")), "rec", "left").join(n(ri).groupBy("rec").agg(parts(ri).alias("rk")), "rec", "left")
+    sizes = _small(cut(kinds.join(n(le).groupBy("rec").agg(parts(le).alias("lk")), "rec", "left").join(n(ri).groupBy("rec").agg(parts(ri).alias("rk")), "rec", "left"), "sizes"))
 
     def block(mark: str | Column, x: Column, y: Column) -> Column:
         return F.struct((F.lit(mark) if isinstance(mark, str) else mark).alias("mark"), x.cast("int").alias("x"), y.cast("int").alias("y"))
@@ -330,7 +336,7 @@ def _centred(pairs: DataFrame, scored: DataFrame) -> DataFrame:
     weighed = [off("srow").alias("orow"), off("scol").alias("ocol"), F.sum(F.when(F.col("sgain").isNotNull(), F.col("p") * F.col("sgain"))).alias("g"), F.sum(F.when(F.col("sgain").isNotNull(), F.col("p"))).alias("w")]
     place = cut(scored.groupBy("rec", "source").agg(*weighed), "places")
     gain = cut(place.groupBy("source").agg((F.sum("g") / F.sum("w")).alias("ogain")), "gains")
-    out = pairs.join(place.drop("g", "w"), ["rec", "source"], "left").join(gain, "source", "left")
+    out = pairs.join(_small(place.drop("g", "w")), ["rec", "source"], "left").join(_small(gain), "source", "left")
     keep = [c for c in pairs.columns if c not in ("drow", "dcol", "gain")]
     return out.select(*keep, (F.col("srow") - F.col("orow")).alias("drow"), (F.col("scol") - F.col("ocol")).alias("dcol"), (F.col("sgain") - F.col("ogain")).alias("gain"))
 
@@ -348,7 +354,7 @@ def link(left: DataFrame, right: DataFrame, reach: int = 6, rounds: int = 1) ->
     dimensions missing their odds are the prior's. Empty tables give an empty
     result.
     """
-    le = cut(left.join(right.select("rec").distinct(), "rec", "left_semi"), "left")  # other recordings have no partner
+    le = cut(left, "left")
     both = candidates(le, right, reach)
     both = both.select(
         "rec", F.col("rsource").alias("source"), "lkey", "rkey", (F.col("rrow") - F.col("lrow")).cast("double").alias("srow"), (F.col("rcol") - F.col("lcol")).cast("double").alias("scol"),
