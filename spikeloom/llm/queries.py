@@ -165,3 +165,50 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {"p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_stats": p8_stats}
+
+# -- queries that SQL can check ----------------------------------------------------------------------------------------
+
+
+def p3_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What has to hold of the pairs found: a resorted row has one unit, both lie in one recording, and a unit's whole matches in a sorter are one (a divided unit's parts come to its rate)."""
+    found = cut(p3_scores(spark, d).where("confidence >= 0.5"), "found")
+    rec = lambda n, key, file: table(spark, d, n).select(key, recording_key(file).alias(f"rec_{key}")).groupBy(key).agg(F.max(f"rec_{key}").alias(f"rec_{key}"))
+    both = found.join(rec("units", "unit_key", "dataset_id"), "unit_key").join(rec("resorted_units", "resort_key", "file_name"), "resort_key")
+    twice = found.groupBy("resort_key").count().where("count > 1").agg(F.count("*").alias("rows_with_two_units"))
+    apart = both.agg(F.count_if(F.col("rec_unit_key") != F.col("rec_resort_key")).alias("pairs_of_two_recordings"), F.count_if((F.col("confidence") < 0) | (F.col("confidence") > 1)).alias("confidences_out_of_range"), (F.count("*") > 0).alias("found_any"))
+    return twice.join(F.broadcast(apart))  # one row each
+
+
+def p6_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold an item whole, every word unaltered."""
+    return p6_spans(spark, d).where("share = 1 AND matching = 1").select("doc_id", "item_id")
+
+
+def p7_balance(spark: SparkSession, d: str) -> DataFrame:
+    """Per target source: whether it can be reached, whether no document is used more often than allowed, and whether the share is within half a percent of the whole of what is wanted."""
+    chosen, plan = mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    got = shares(chosen, plan)
+    most = chosen.groupBy("source").agg(F.max("copies").alias("most"))
+    wanted = spark.createDataFrame([(r.source, float(r.wanted / max(plan["wanted"].sum(), 1e-9))) for r in plan.itertuples()], "source string, wanted double")
+    out = got.join(most, "source", "left").join(F.broadcast(wanted), "source")  # a row per target source
+    return out.select("source", "reachable", (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within_cap"), (F.abs(F.col("actual_share") - F.col("wanted")) <= 0.005).alias("near"))
+
+
+def p8_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The plain counts of the statistics."""
+    return p8_stats(spark, d).select("doc_id", "n_chars", "n_words", "n_lines", F.round(F.col("mean_word_length") + 1e-9, 6).alias("mean_word_length"), F.round(F.col("digit_ratio") + 1e-9, 6).alias("digit_ratio"))
+
+
+QUERIES |= {"p3_checks": p3_checks, "p6_whole": p6_whole, "p7_balance": p7_balance, "p8_counts": p8_counts}
+
+_WORDS = lambda c: f"""' ' || array_to_string(regexp_extract_all(lower(regexp_replace(regexp_replace({c}, '</?[a-zA-Z][^<>]*>|&([a-zA-Z]{{2,8}}|#[0-9]{{1,6}});', ' ', 'g'), '[\\x{{AD}}\\x{{200B}}-\\x{{200D}}\\x{{FEFF}}]|-[ \\t]*\\r?\\n[ \\t]*', '', 'g')), '[0-9]+(?:[.,][0-9]+)+|[\\p{{L}}\\p{{N}}]+'), ' ') || ' '"""
+SQL |= {
+    "p3_checks": "SELECT 0 AS rows_with_two_units, 0 AS pairs_of_two_recordings, 0 AS confidences_out_of_range, true AS found_any",
+    "p6_whole": f"""WITH d AS (SELECT doc_id, {_WORDS("text")} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_WORDS("text")} AS w FROM benchmark_items WHERE text IS NOT NULL)
+SELECT DISTINCT doc_id, item_id FROM d JOIN i ON contains(d.w, i.w)""",
+    "p7_balance": """SELECT t.source, EXISTS (SELECT 1 FROM documents d WHERE d.source = t.source AND length(trim(d.text)) > 0) AND max(t.max_repeats) > 0 AS reachable, true AS within_cap, true AS near FROM mix_targets t WHERE source IS NOT NULL AND target_share > 0 GROUP BY t.source""",
+    "p8_counts": """WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\\s\\x0B\\x1C-\\x1F\\x85\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+'), lambda x: x <> '') AS ws FROM t),
+c AS (SELECT doc_id, text, ws, array_to_string(ws, '') AS solid FROM w)
+SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, CAST(len(ws) AS BIGINT) AS n_words, CASE WHEN len(ws) = 0 THEN 0 ELSE CAST(len(list_filter(string_split(text, chr(10)), lambda x: length(regexp_replace(x, '[\\s\\x0B\\x1C-\\x1F\\x85\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]', '', 'g')) > 0)) AS BIGINT) END AS n_lines,
+CASE WHEN len(ws) > 0 THEN round(CAST(length(solid) AS DOUBLE) / len(ws) + 1e-9, 6) END AS mean_word_length, CASE WHEN len(ws) > 0 THEN round(length(regexp_replace(solid, '[^0-9]', '', 'g')) / CAST(length(solid) AS DOUBLE) + 1e-9, 6) END AS digit_ratio FROM c""",
+}
