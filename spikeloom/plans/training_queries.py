@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spikeloom.operators import schema_drift as drift
 from spikeloom.operators.regular_grid import event_rates, regular_grid
-from spikeloom.session import table
+from spikeloom.session import cut, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -45,7 +45,7 @@ def rate_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def spike_grid(spark: SparkSession, d: str) -> DataFrame:
-    rates = event_rates(table(spark, d, "spikes"), "recording_no", "spike_times_sec", 10.0, ("unit_key",))
+    rates = cut(event_rates(table(spark, d, "spikes"), "recording_no", "spike_times_sec", 10.0, ("unit_key",)), "rates")  # read twice by the grid
     return regular_grid(rates, "source_key", "time", "value", 10.0)
 
 
