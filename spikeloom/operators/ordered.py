@@ -67,7 +67,7 @@ def exact_median(df: DataFrame, keys: list[str], value: str, width: float, out:
     c = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*keys, F.col(value).alias("_x")).agg(F.count("*").alias("_k"))
     up = running_sum(c, keys, ["_x"], F.floor(F.col("_x") / F.lit(width)), F.col("_k"), "_before")
     n = c.groupBy(*keys).agg(F.sum("_k").alias("_n"))
-    both = up.join(n, _match(up, n, keys)).select(*[up[k] for k in keys], "_x", "_k", "_before", "_n") if keys else up.crossJoin(F.broadcast(n))
+    both = up.join(n, _match(up, n, keys)).select(*[up[k] for k in keys], "_x", "_k", "_before", "_n") if keys else up.join(F.broadcast(n))  # without keys, one row
     lo, hi = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
     holds = lambda i: (F.col("_before") <= i) & (i < F.col("_before") + F.col("_k"))
     mid = both.where(holds(lo) | holds(hi))
