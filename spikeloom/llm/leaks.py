@@ -191,7 +191,7 @@ class ItemSeeds:
         owner = np.repeat(np.arange(len(start) - 1), np.diff(start))
         load = np.zeros(len(start) - 1, dtype=np.int64)
         for _, at, _, n in found:
-            np.add.at(load, owner[at], n)
+            load += np.bincount(owner[at], weights=n, minlength=len(load)).astype(np.int64)
         total, runs, first = np.cumsum(load), [], 0
         while first < len(load):
             last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + bound, side="right")))
