@@ -102,7 +102,8 @@ def plan_shares(available: pd.DataFrame, targets: pd.DataFrame, total: float | N
     t = t[t["source"].notna() & (t["target_share"] > 0)]
     t["max_repeats"] = t["max_repeats"].fillna(1).clip(lower=0)
     t = t.groupby("source", as_index=False).agg({"target_share": "sum", "max_repeats": "min"})
-    t = t.merge(available, on="source", how="left").fillna({"tokens": 0.0, "documents": 0.0})
+    t = t.merge(available, on="source", how="left")
+    t[["tokens", "documents"]] = t[["tokens", "documents"]].astype(float).fillna(0.0)
     t["reachable"] = (t["tokens"] > 0) & (t["max_repeats"] > 0)
     within = t["target_share"].where(t["reachable"], 0.0)
     share = within / within.sum() if within.sum() else within
