@@ -107,14 +107,19 @@ def _codes(m):
 def fuse(docs: DataFrame) -> DataFrame:
     """The union schema: a row per path and alternative type.
 
-    ``path, tag, path_code, n_documents, first_at, last_at, n_alternatives,
-    canonical``: ``canonical`` is the type all alternatives of the path convert
+    ``path, tag, path_code, n_documents, first_at, last_at, obj, fits,
+    n_alternatives, canonical``: ``obj`` is the object that holds the field,
+    NULL at the top level; ``fits`` tells whether no value is an integer of
+    more than 38 digits; ``canonical`` is the type all alternatives of the path convert
     to: the type itself, decimal for integer and decimal, else text. A path
     under the top level and one of the same spelling at the top level have
     different codes.
     """
     m = docs.select("at", F.explode("members").alias("m"))
-    alt = m.groupBy("m.path", "m.tag", _codes(F.col("m"))[0].alias("path_code")).agg(F.count("*").alias("n_documents"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+    fits = (F.col("m.tag") != "integer") | F.col("m.text").try_cast("decimal(38,0)").isNotNull()
+    alt = m.groupBy("m.path", "m.tag", _codes(F.col("m"))[0].alias("path_code")).agg(
+        F.count("*").alias("n_documents"), F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.min("m.obj").alias("obj"), F.bool_and(fits).alias("fits")
+    )
     tags = alt.groupBy("path").agg(F.sort_array(F.collect_set("tag")).alias("tags"))  # at most len(TAGS) per path
     numeric = F.size(F.array_except("tags", F.array(F.lit("integer"), F.lit("decimal")))) == 0
     canonical = F.when(F.size("tags") == 1, F.col("tags")[0]).when(numeric, "decimal").otherwise("text")
@@ -162,18 +167,45 @@ def typed_branches(docs: DataFrame, schema: DataFrame) -> DataFrame:
 _SQL_TYPES = {"integer": "decimal(38,0)", "decimal": "double", "text": "string", "boolean": "boolean", "array": "string", "object": "string"}
 
 
-def wide_table(docs: DataFrame, schema: DataFrame, max_columns: int = 2000) -> DataFrame:
-    """The consistent table with a row per document: ``doc_key``, and a column per path in its canonical type.
+def _column_names(fields: list, key: str) -> list[str]:
+    """A column name for each of ``fields`` (``path, n``), no two of them or ``key`` the same where case is ignored.
+
+    A field is named by its path. Of fields whose paths are the same then, the
+    one in most documents has the path, the others ``path#2``, ``path#3``, ..,
+    without those that are paths themselves.
+    """
+    fold = lambda name: name.lower().upper()
+    paths, taken, out = {fold(r.path) for r in fields}, {fold(key)}, {}
+    for i in sorted(range(len(fields)), key=lambda i: (-fields[i].n, i)):
+        name, k = fields[i].path, 1
+        while fold(name) in taken or (k > 1 and fold(name) in paths):
+            k += 1
+            name = f"{fields[i].path}#{k}"
+        taken.add(fold(name))
+        out[i] = name
+    return [out[i] for i in range(len(fields))]
+
+
+def wide_table(docs: DataFrame, schema: DataFrame, max_columns: int = 2000, key: str = "doc_key") -> DataFrame:
+    """The consistent table with a row per document: ``key``, and a column per field in the canonical type of its path.
 
     A path with several types has a struct ``value`` (canonical) beside a typed
-    branch ``as_<tag>`` for each. Columns are in order of their paths. The union schema goes to
-    the driver to name the columns: more than ``max_columns`` paths are an
-    error, not a cut.
+    branch ``as_<tag>`` for each. Integers of a field that has one of more than
+    38 digits are text. Columns are in order of their paths and named by them.
+    Fields that differ in letter case alone, fields of one spelling at two
+    levels and fields named as ``key`` keep columns of their own: see
+    ``_column_names``. A column's metadata tell its field: ``path``, and
+    ``object``, NULL at the top level. The union schema goes to the driver to
+    name the columns: more than ``max_columns`` fields are an error, not a cut.
     """
-    paths = schema.groupBy("path").agg(F.sort_array(F.collect_set("tag")).alias("tags"), F.first("canonical").alias("canonical")).orderBy("path").limit(max_columns + 1).collect()
-    if len(paths) > max_columns:
+    per_field = schema.groupBy("path", "path_code").agg(
+        F.min("obj").alias("obj"), F.sort_array(F.collect_set("tag")).alias("tags"), F.first("canonical").alias("canonical"),
+        F.max("n_alternatives").alias("n_alternatives"), F.sum("n_documents").alias("n"), F.bool_and("fits").alias("fits"),
+    )
+    fields = per_field.orderBy("path", "obj").limit(max_columns + 1).collect()
+    if len(fields) > max_columns:
         raise ValueError(f"more than {max_columns} paths; use typed_branches")
-    rows = docs.select("doc_key", F.map_from_entries(F.transform("members", lambda m: F.struct(F.xxhash64(m["path"]).alias("k"), F.struct(m["tag"].alias("tag"), m["text"].alias("text")).alias("v")))).alias("m"))
+    rows = docs.select(F.col("doc_key").alias(key), F.map_from_entries(F.transform("members", lambda m: F.struct(_codes(m)[0].alias("k"), F.struct(m["tag"].alias("tag"), m["text"].alias("text")).alias("v")))).alias("m"))
 
     def typed(v, tag: str, only: bool):
         text = v["text"]
@@ -182,11 +214,12 @@ def wide_table(docs: DataFrame, schema: DataFrame, max_columns: int = 2000) -> D
         return F.when(v["tag"] == tag, got) if only else got
 
     out = []
-    for r in paths:
-        v = F.try_element_at("m", F.xxhash64(F.lit(r.path)))
-        value = typed(v, r.canonical, False)
-        out.append((value if len(r.tags) == 1 else F.when(v.isNotNull(), F.struct(value.alias("value"), *[typed(v, t, True).alias(f"as_{t}") for t in r.tags]))).alias(r.path))
-    return rows.select("doc_key", *out)
+    for r, name in zip(fields, _column_names(fields, key)):
+        v = F.try_element_at("m", F.lit(r.path_code).cast("long"))
+        value = typed(v, r.canonical if r.fits or r.canonical != "integer" else "text", False)
+        column = value if r.n_alternatives == 1 else F.when(v.isNotNull(), F.struct(value.alias("value"), *[typed(v, t, True).alias(f"as_{t}") for t in r.tags]))
+        out.append(column.alias(name, metadata={"path": r.path, "object": r.obj}))
+    return rows.select(key, *out)
 
 
 def changes(docs: DataFrame, schema: DataFrame, n_series: int, bucket: str = "month") -> DataFrame:

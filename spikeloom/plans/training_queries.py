@@ -29,9 +29,9 @@ def p1_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_wide(spark: SparkSession, d: str) -> DataFrame:
-    """One row per snapshot and one column per field; conflicting fields as typed branches."""
+    """One row per snapshot and one column per field; conflicting fields as typed branches, names unique where case is ignored."""
     docs = drift.snapshot_documents(table(spark, d, "stimulus_snapshots"))
-    return drift.wide_table(docs, drift.fuse(docs)).withColumnRenamed("doc_key", "snapshot_id")
+    return drift.wide_table(docs, drift.fuse(docs), key="snapshot_id")
 
 
 def p1_alternatives(spark: SparkSession, d: str) -> DataFrame:

@@ -1,6 +1,7 @@
 from datetime import datetime
 
 from spikeloom.operators import schema_drift as drift
+from spikeloom.plans.training_queries import p1_wide
 
 DDL = "snapshot_id long, rig string, movie string, exported_at timestamp_ntz, raw string, members string, _v string"
 
@@ -94,3 +95,36 @@ def test_wide_table(spark):
     assert rows[2]["a"] is None and rows[2]["k.b"] is None
     with pytest.raises(ValueError, match="more than 2"):
         drift.wide_table(d, drift.fuse(d), 2)
+
+
+def test_wide_table_names(spark, tmp_path):
+    raws = [
+        '{"note": "x", "k": {"ab": 1}, "Snapshot_ID": 7, "a.b": 1, "a": {"b": "y"}}',  # one spelling at two levels, the key's name
+        '{"NOTE": 5, "Note": "z", "k": {"AB": 2.5}, "note#2": "w"}',  # other letter case, the name of a second spelling
+        '{"note": "v", "k": {"Ab": 1, "ab": true}}',
+    ]
+    docs(spark, raws).write.parquet(str(tmp_path / "stimulus_snapshots.parquet"))
+    p1_wide(spark, str(tmp_path)).write.parquet(str(tmp_path / "wide"))  # refuses names that are the same but for letter case
+    got = spark.read.parquet(str(tmp_path / "wide")).orderBy("snapshot_id")
+    assert got.columns == ["snapshot_id", "NOTE#3", "Note#4", "Snapshot_ID#2", "a.b", "a.b#2", "k.AB#2", "k.Ab#3", "k.ab", "note", "note#2"]
+    of = {f.name: (f.metadata["object"], f.metadata["path"]) for f in got.schema.fields[1:]}
+    assert of["NOTE#3"] == (None, "NOTE") and of["note#2"] == (None, "note#2") and of["a.b"] == (None, "a.b") and of["a.b#2"] == ("a", "a.b") and of["k.Ab#3"] == ("k", "k.Ab")
+    a, b, c = got.collect()
+    assert (a["note"], a["NOTE#3"], a["Snapshot_ID#2"], a["k.ab"].as_integer, a["k.AB#2"]) == ("x", None, 7, 1, None)
+    assert (a["a.b"].as_integer, a["a.b"].value, a["a.b#2"].as_text, a["a.b#2"].value) == (1, "1", "y", "y")
+    assert (b["note"], b["NOTE#3"], b["Note#4"], b["k.AB#2"], b["k.ab"], b["note#2"], b["a.b"]) == (None, 5, "z", 2.5, None, "w", None)
+    assert (c["note"], c["k.Ab#3"], c["k.ab"].as_boolean, c["k.AB#2"]) == ("v", 1, True, None)
+
+
+def test_wide_table_names_with_letters_of_uneven_case(spark, tmp_path):
+    names = ["ß", "ẞ", "ſ", "s", "ı", "I", "K", "k"]
+    d = drift.documents_of(docs(spark, ["{%s}" % ", ".join(f'"{n}": {i}' for i, n in enumerate(names))]), "snapshot_id", ("rig", "movie"), "exported_at", "raw")
+    drift.wide_table(d, drift.fuse(d)).write.parquet(str(tmp_path / "wide"))
+    got = spark.read.parquet(str(tmp_path / "wide"))
+    assert {f.metadata["path"]: got.first()[i + 1] for i, f in enumerate(got.schema.fields[1:])} == {n: i for i, n in enumerate(names)}
+
+
+def test_wide_table_keeps_integers_of_any_length(spark):
+    d = drift.documents_of(docs(spark, ['{"n": %s, "k": {"m": 1}}' % ("7" * 42), '{"n": %s, "k": {"m": %s}}' % ("7" * 38, "7" * 38)]), "snapshot_id", ("rig", "movie"), "exported_at", "raw")
+    a, b = drift.wide_table(d, drift.fuse(d)).orderBy("doc_key").collect()
+    assert float(a["n"]) == float("7" * 42) and b["n"] == "7" * 38 and (a["k.m"], b["k.m"]) == (1, int("7" * 38))
